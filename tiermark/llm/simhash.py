@@ -116,5 +116,5 @@ def deduplicated(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFram
     doc_id, one is kept. Columns are those of docs.
     """
     keep = simhash_groups(docs, width, distance).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return rows.join(keep, rows["doc_id"] == keep["_keep"], "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null")
+    return rows.join(keep, rows["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
