@@ -55,11 +55,11 @@ def year_costs(terms: DataFrame, groups: Sequence[str], cap: int, standard: int,
     same partitioning and order: one shuffle and one sort.
     """
     gross, older = F.col(rule) == "gross", F.col(rule) == "older"
-    order = [F.col("month"), F.col("price").isNull(), F.col("price"), F.col("pos")]
+    order = ["month", "unknown", "price", "pos"]
     before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     flat, flat_cost = F.col("flat").isNotNull(), F.col("flat").cast("long") * UNIT
-    rows = months(terms).withColumn("r", F.coalesce(F.col("price"), F.lit(0)).cast("long") * UNIT)
+    rows = months(terms.withColumn("unknown", F.col("price").isNull())).withColumn("r", F.coalesce(F.col("price"), F.lit(0)).cast("long") * UNIT)
     subject = F.col("ded_applies") & (F.col("r") > 0) & ~flat
     rows = rows.withColumn("ded_use", F.when(gross | older, F.when(flat, flat_cost).otherwise(F.col("r"))).otherwise(F.when(subject, F.col("r")).otherwise(zero)))
     rows = rows.withColumn("ded_before", F.coalesce(F.sum("ded_use").over(before), zero)).withColumn("std_before", F.coalesce(F.sum(F.when(flat, zero).otherwise(F.col("r"))).over(before), zero))
@@ -86,7 +86,7 @@ def year_costs(terms: DataFrame, groups: Sequence[str], cap: int, standard: int,
     crossing = F.when(older & (F.col("cap_add") > room), F.greatest(zero, F.col("cost0") - (F.col("cap_add") - room))).otherwise(F.least(F.col("cost0"), room))
     cost = F.when(room <= 0, zero).otherwise(crossing)
     rows = rows.withColumn("cost", cost).withColumn("ded_run", F.col("ded_before") + F.col("ded_use")).withColumn("cap_run", F.col("cap_before") + F.col("cap_add"))
-    return rows.drop("r", "ded_before", "std_before", "left", "part", "benefit", "cost0", "cap_before")
+    return rows.drop("unknown", "r", "ded_before", "std_before", "left", "part", "benefit", "cost0", "cap_before")
 
 
 def group_year(costs: DataFrame, groups: Sequence[str], cap: int) -> DataFrame:
