@@ -108,13 +108,3 @@ def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_groups(docs, width=3, distance=2).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
-
-def deduplicated(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """One row of docs for each group of near-duplicates, that of the smallest doc_id.
-
-    Rows without a doc_id have no group and are all kept; of rows that repeat a
-    doc_id, one is kept. Columns are those of docs.
-    """
-    keep = simhash_groups(docs, width, distance).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where("doc_id is not null")
-    return rows.join(keep, rows["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
