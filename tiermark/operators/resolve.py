@@ -97,3 +97,13 @@ def spelled(mentions: DataFrame, names: DataFrame, alike: float = ALIKE, margin:
     w = Window.partitionBy("mention").orderBy(F.desc("score"), "name")
     ranked = pairs.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
     return ranked.where((F.col("rn") == 1) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).select("mention", "name", "score")
+
+
+def first_known(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """mention and attempt: the place of the first of its tries that is a known word; null if none is.
+
+    mentions: mention, tries (array; null ones are passed over); known: word.
+    """
+    each = mentions.select("mention", F.posexplode("tries").alias("attempt", "word"))
+    hits = each.join(known.withColumn("hit", F.lit(True)), "word", "left")
+    return hits.groupBy("mention").agg(F.min(F.when(F.col("hit"), F.col("attempt"))).alias("attempt"))

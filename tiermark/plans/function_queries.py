@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiermark.functions import clean, text
+from tiermark.functions.geo import miles
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 
@@ -290,3 +291,21 @@ def h13(t: Tables) -> DataFrame:
 def h14(t: Tables) -> DataFrame:
     k = F.col("c_custkey") % 3
     return t.read("customer").select("c_custkey", text.written_name(F.lit(""), F.when(k == 0, F.col("c_name")).otherwise(""), F.when(k == 1, F.col("c_mktsegment")).otherwise(""), F.lit("as written")).alias("doctor"))
+
+
+@query("h1_distance", """select c_custkey, s_suppkey, floor(10 * 2 * 3958.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))::bigint as tenths
+    from (select client as c_custkey, zip, lat, lon from clients) a join (select npi as s_suppkey, zip, lat, lon from stores) b on a.zip = b.zip""")
+def h1(t: Tables) -> DataFrame:
+    a = t.clients.select(F.col("client").alias("c_custkey"), "zip", F.col("lat").alias("a1"), F.col("lon").alias("o1"))
+    b = t.stores.select(F.col("npi").alias("s_suppkey"), "zip", "lat", "lon")
+    return a.join(b, "zip").select("c_custkey", "s_suppkey", F.floor(miles(F.col("a1"), F.col("o1"), F.col("lat"), F.col("lon")) * 10).cast("long").alias("tenths"))
+
+
+@query("h15_cost_story", """select plan, tier, 'first ' || (1 + plan % 3) || case when plan % 3 = 0 then ' month: ' else ' months: ' end || '$' || (premium // 100) || '; then ' || case when cost_type = 2 then cost_amt || '%' else '$' || (cost_amt // 100) end || case when ded_applies then ', after the deductible' else '' end as story
+    from tier_cost join plans using (plan)""")
+def h15(t: Tables) -> DataFrame:
+    rows = t.tier_cost.join(t.plans.select("plan", "premium"), "plan")
+    n = 1 + F.col("plan") % 3
+    first = F.format_string("first %d month%s: $%d", n, F.when(n == 1, "").otherwise("s"), F.expr("premium div 100"))
+    then = F.when(F.col("cost_type") == 2, F.format_string("%d%%", "cost_amt")).otherwise(F.format_string("$%d", F.expr("cost_amt div 100")))
+    return rows.select("plan", "tier", text.story([first, F.concat(F.lit("then "), then)], F.when(F.col("ded_applies"), "after the deductible")).alias("story"))

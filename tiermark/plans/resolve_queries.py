@@ -174,3 +174,14 @@ def r18(t: Tables) -> DataFrame:
     products = resolve.dictionary(concepts(t)).select("rxcui", F.col("ingredients")[0].alias("head"), F.col("strengths")[0].alias("s"))
     counts = products.groupBy("head", "s").agg(F.count(F.lit(1)).alias("n"))
     return products.join(counts, ["head", "s"]).select("rxcui", (F.col("n") - 1).alias("siblings"))
+
+
+@query("r13_alternates", f"""with {DICTIONARY}, {MENTIONS}, tries as (select distinct first || '+' || second || '+' || kind as mention, case kind when 0 then first else 'zz' end as t1, case kind when 1 then second else 'yy' end as t2, first as t3, kind from mentions),
+    words as (select distinct unnest(ingredients) as word from dict where rxcui % 2 = 0)
+    select mention, case when t1 in (select word from words) then 0 when t2 in (select word from words) then 1 when kind < 3 and t3 in (select word from words) then 2 end::int as attempt from tries""")
+def r13(t: Tables) -> DataFrame:
+    """The first of several readings that the dictionary has: the name, another name, then the spelling."""
+    known = resolve.postings(resolve.dictionary(concepts(t)).where("rxcui % 2 = 0")).select("word").distinct()
+    k = F.col("kind")
+    asked_ = mentions(t).select("first", "second", "kind").distinct().select(F.concat_ws("+", "first", "second", k.cast("string")).alias("mention"), F.array(F.when(k == 0, F.col("first")), F.when(k == 1, F.col("second")), F.when(k < 3, F.col("first"))).alias("tries"))
+    return resolve.first_known(asked_, known).select("mention", "attempt")
