@@ -63,12 +63,9 @@ def c6(t: Tables) -> DataFrame:
     return t.captures.join(t.plans.where("plan_type = 'MA'").select("plan", "plan_name"), "plan").join(t.products.where("tier = 2").select("drug", "drug_name"), "drug").select("l_orderkey", "l_linenumber", "plan_name", "drug_name", "retail")
 
 
-BRANDS = "wants as (select r.client, r.drug, p.brand from regimen r join products p on r.drug = p.drug where r.pos <= 3)"
-LISTED = "(e.plan * 31 + p.drug * 17) % 10 < 8"
-
-
-@query("c7_best_coverage", f"""with {BRANDS}, cand as (select w.client, e.plan, w.drug as wanted, p.drug, p.tier, case when {LISTED} then p.cents end as price from wants w join eligible e on e.client = w.client join products p on p.drug in (w.drug, w.drug + 1, w.drug + 2))
-    select client, plan, wanted, drug, tier, price from (select *, row_number() over (partition by client, plan, wanted order by tier, (price is null)::int, price, drug) as rn from cand) where rn = 1""")
+@query("c7_best_coverage", """with wants as (select client, drug as wanted, drug + k as drug from regimen, (values (0), (1), (2)) v(k) where pos <= 3), cand as (select w.client, e.plan, w.wanted, p.p_partkey as drug, 1 + p.p_size % 5 as tier, case when (e.plan * 31 + w.drug * 17) % 10 < 8 then cast(round(p.p_retailprice * 100) as bigint) end as price from wants w join eligible e on e.client = w.client join part p on p.p_partkey = w.drug),
+    best as (select client, plan, wanted, min(tier * 1000000000000 + (price is null)::int * 500000000000 + coalesce(price, 0) * 1000 + drug - wanted) as k from cand group by client, plan, wanted)
+    select client, plan, wanted, (wanted + k % 1000)::bigint as drug, (k // 1000000000000)::int as tier, case when k // 500000000000 % 2 = 0 then (k % 500000000000) // 1000 end::bigint as price from best""")
 def c7(t: Tables) -> DataFrame:
     """Of the products that a written drug may be, the one with the best tier and price on each plan."""
     wants = t.regimen.where("pos <= 3").select("client", F.col("drug").alias("wanted"), F.explode(F.array(F.col("drug"), F.col("drug") + 1, F.col("drug") + 2)).alias("drug"))
