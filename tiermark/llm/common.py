@@ -48,7 +48,7 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def running_total(df: DataFrame, group: str, key: str, value: str, out: str, per_part: int = 2000) -> DataFrame:
+def running_total(df: DataFrame, group: str, key: str, value: str, out: str, per_part: int = 500) -> DataFrame:
     """Adds out: the sum of value over the group's rows with a smaller key.
 
     key is a non-negative long that spreads evenly and, within the group, is unique.
