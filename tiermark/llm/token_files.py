@@ -18,6 +18,8 @@ from tiermark.llm.common import small_batches, use_checkpoints
 
 #: Words whose ids a worker remembers.
 KEEP = 800_000
+#: Words that are encoded in one call, and the character from which on a word is encoded by itself.
+TOGETHER, PLAIN = 128, "\u0250"
 #: Bytes of an ORC stripe, and rows between two entries of its row index.
 STRIPE, STRIDE = 32 << 20, 1000
 
@@ -38,10 +40,22 @@ class Words:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
+        """Encodes words many at a time, as a call takes longer than a word; tokens find their words by their places."""
         if len(self.known) + len(words) > KEEP:
             self.known = {"": b""}
-        for w, e in zip(words, self.model.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        plain = [w for w in words if max(w) < PLAIN]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[w] for w in words if max(w) >= PLAIN]
+        for group, made in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, dtype="<u4")
+            if len(group) == 1:
+                self.known[group[0]] = ids.tobytes()
+                continue
+            starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+            upto = np.searchsorted([s for s, _ in made.offsets], [*starts[1:], 1 << 60]).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, n in zip(group, upto, strict=True):
+                self.known[w] = raw[at : 4 * n]
+                at = 4 * n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 little-endian bytes each."""
