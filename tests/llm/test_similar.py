@@ -51,3 +51,17 @@ def test_odd_rows(odd, nothing):
     assert deduplicated(odd).columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in deduplicated(odd).collect()) == sorted(map(str, {None, *by.values()} | {by[8]}))
     assert similar_groups(nothing).collect() == [] and deduplicated(nothing).collect() == []
+
+
+def test_only_pairs_at_the_similarity_link(spark):
+    """Pairs of a family of its own each, from 0.6 to 0.95: those at 0.8 and above are linked, no others."""
+    rng = random.Random(3)
+    base = [[f"{k}w{rng.randrange(10**6)}" for _ in range(300)] for k in range(160)]
+    texts = [" ".join(b) for b in base] + [edited(rng, base[k], 2 + k % 16) for k in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(docs).collect()}
+    near = {k for k in range(160) if jaccard(texts[k], texts[k + 160]) >= 0.8}
+    assert 20 < len(near) < 140
+    linked = {k for k in range(160) if got[k + 160] == k}
+    assert not linked - near and len(near - linked) <= 1  # bands miss two in a thousand
+    assert all(got[k] == k for k in range(160))

@@ -1,4 +1,4 @@
-"""Near-duplicates of a given shingle similarity: SimHash of 256 bits verifies what shared min-hash bands suggest.
+"""Near-duplicates of a given shingle similarity: exact Jaccard verifies what shared min-hash bands suggest.
 
 Blocks of a fingerprint find pairs that differ in a few bits. At a similarity of 0.8 two
 texts differ in about 15 % of the bits, and blocks that such a pair surely shares would
@@ -24,8 +24,9 @@ from tiermark.llm.simhash import SEED, near_links
 BANDS, ROWS = 20, 6
 #: In a band's bucket of more texts than this, texts are compared with two of them, not each with each.
 BUCKET = 16
-#: Standard deviations by which a pair's bits may differ more than is expected of the similarity.
-SLACK = 1.6
+#: Standard deviations by which a pair's bits may differ more than is expected of the similarity. The bits only
+#: spare the exact comparison of what is far from it: a pair at the similarity is lost with a chance of 0.00003.
+SLACK = 4
 WIDE = 4
 
 _rng = np.random.default_rng(SEED)
@@ -53,18 +54,32 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """The hash of each word shingle of a text, in its order; a text of fewer words than width is one shingle."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = zip(*(found[i:] for i in range(width)), strict=False) if len(found) > width else [found] if found else []
+    return np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype=np.uint64)
+
+
+def digest(h: np.ndarray) -> list[int]:
+    """128 bits that name a set of shingles (its sorted hashes), as two signed numbers; zero for none."""
+    return np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=">i8").tolist() if len(h) else [0, 0]
+
+
 def signature(text: str | None, width: int) -> tuple[list[int], list[int]]:
     """A text's SimHash, the wide SimHash of its set of word shingles, and its bands' keys, as signed numbers.
 
     First come the five numbers of the SimHashes, then the keys; without words all bits are zero and there are no bands.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    every = hashes(text, width)
+    return _signed(every, np.unique(every))
+
+
+def _signed(every: np.ndarray, h: np.ndarray) -> tuple[list[int], list[int]]:
+    """The signature of a text with these hashes; h: each once, sorted."""
+    if not len(every):
         return [0] * (1 + WIDE), []
-    grams = zip(*(found[i:] for i in range(width)), strict=False) if len(found) > width else [found]
-    every = np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype=np.uint64)
     plain = sum(_ones(every[i : i + 4096]) for i in range(0, len(every), 4096))
-    h = np.unique(every)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     ones = np.zeros((WIDE, 64), np.int64)
     for i in range(0, len(h), 2048):
@@ -91,9 +106,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     docs: doc_id, text; other columns do not matter. Texts whose sets of word shingles
     have a Jaccard similarity of at least `similarity` are linked: those that share a
-    band, or a SimHash but for two bits, and whose SimHashes of 256 bits differ no more
-    than is expected of that similarity and a bit of slack. Texts alike in all of these
-    are one from the start, so large groups of copies make no pairs; in a band's large
+    band, or a SimHash but for two bits, and whose sets, compared exactly, are that
+    similar. Pairs whose sizes or 256-bit SimHashes rule it out are not compared. Texts
+    with equal sets are one from the start, so large groups of copies make no pairs; in a band's large
     bucket each text is compared with the smallest and the largest id, so work grows
     with the rows. A null text counts as an empty one; texts without words are one
     group. A null doc_id gets a component, the smallest doc_id that is not null. An
@@ -103,15 +118,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [signature(x, width) for x in batch.column("text").to_pylist()]
-            wide = [pa.array([w[k] for w, _ in made], pa.int64()) for k in range(1 + WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *wide, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", "fp", *names, "bands"])
-
-    names = [f"w{k}" for k in range(WIDE)]
+            every = [hashes(x, width) for x in batch.column("text").to_pylist()]
+            sets = [np.unique(x) for x in every]
+            made = [_signed(x, h) for x, h in zip(every, sets, strict=True)]
+            numbers = [[*digest(h), len(h), *w] for h, (w, _) in zip(sets, made, strict=True)]
+            columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(4 + WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", *same, *about, "bands"])
+
+    same, names = ["d0", "d1"], [f"w{k}" for k in range(WIDE)]
+    about = ["size", "fp", *names]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = checkpoint(plain.mapInArrow(of, f"doc_id long, fp long, {', '.join(f'{n} long' for n in names)}, bands array<long>"))
-    same = ["fp", *names]
-    reps = checkpoint(each.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    each = checkpoint(plain.mapInArrow(of, f"doc_id long, {', '.join(f'{n} long' for n in [*same, *about])}, bands array<long>"))
+    first = [F.min_by(n, "doc_id").alias(n) for n in [*about, "bands"]]
+    reps = checkpoint(each.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *first))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("n > 1")
     shared = checkpoint(keys.join(sizes, "key"))
@@ -122,14 +141,50 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     close = near_links(reps.groupBy("fp").agg(F.min("rep").alias("rep")), 2)
     equal = reps.join(reps.groupBy("fp").agg(F.min("rep").alias("b")), "fp").where("rep > b").select(F.col("rep").alias("a"), "b")
     candidates = pairs.union(ends).union(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).union(equal).distinct()
-    side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names])
+    side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in about])
     bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names[1:]), F.bit_count(F.col(f"a_{names[0]}").bitwiseXOR(F.col(f"b_{names[0]}"))))
-    links = candidates.join(side("a"), "a").join(side("b"), "b").where(bits <= most_bits(similarity)).select("a", "b")
+    alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-6
+    likely = checkpoint(candidates.join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= most_bits(similarity))).select("a", "b"))
+    needed = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
+    sets = shingle_sets(plain, reps.select("rep", *same).join(needed, "rep"), width)
+    links = verified(likely, sets, similarity)
     found = components(links)
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return each.join(named, same, "left").select("doc_id", "component_id")
 
 
+def shingle_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """rep, d0, d1 and hashes (the sorted hashes of its shingles) of each of reps, whose texts are made of docs again."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(hashes(x, width)) for x in batch.column("text").to_pylist()]
+            names = [digest(h) for h in sets]
+            columns = [pa.array([n[k] for n in names], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["rep", "d0", "d1", "hashes"])
+
+    some = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = some.mapInArrow(of, "rep long, d0 long, d1 long, hashes array<long>")
+    # a doc_id may stand for several texts, and only some of them be reps
+    return checkpoint(made.join(reps, ["rep", "d0", "d1"], "left_semi").dropDuplicates(["rep", "d0", "d1"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets have a Jaccard similarity of at least `similarity`."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(*(batch.column(s) for s in ("x", "y")), strict=True):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both / (len(p) + len(q) - both) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda s, h: sets.select(F.col("rep").alias(s), F.col("hashes").alias(h))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long").distinct()
+
+
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of near-duplicates, that of the smallest doc_id.
 
