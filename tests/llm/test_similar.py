@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+
 from tests.llm.test_simhash import union
 from tiermark.llm.simhash import fingerprint
-from tiermark.llm.similar import deduplicated, signature, similar_groups
+from tiermark.llm.similar import deduplicated, overlaps, signature, similar_groups
 
 
 def shingles(text, width=5):
@@ -65,3 +67,24 @@ def test_only_pairs_at_the_similarity_link(spark):
     linked = {k for k in range(160) if got[k + 160] == k}
     assert not linked - near and len(near - linked) <= 1  # bands miss two in a thousand
     assert all(got[k] == k for k in range(160))
+
+
+def test_a_crowded_bucket_is_compared_whole(spark):
+    """120 copies, each 0.85 to their seed and 0.7 to each other, hang together by the seed alone, whose id is no end."""
+    rng = random.Random(4)
+    seed = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [edited(rng, seed, 5) for _ in range(120)]
+    texts.insert(60, " ".join(seed))
+    near = [k for k in range(121) if jaccard(texts[k], texts[60]) >= 0.8]
+    assert len(near) == 121 and jaccard(texts[0], texts[120]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in similar_groups(docs).collect()} == {0}
+
+
+def test_overlaps():
+    rng = random.Random(5)
+    sets = [[sorted(rng.sample(range(9000), rng.randrange(1, 6000))) for _ in range(7)] for _ in range(2)]
+    flat = [np.array(sum(s, [])) for s in sets]
+    sizes = [np.array([len(x) for x in s]) for s in sets]
+    assert overlaps(flat[0], sizes[0], flat[1], sizes[1]).tolist() == [[len({*a} & {*b}) for b in sets[1]] for a in sets[0]]
+    assert not overlaps(flat[0], sizes[0], flat[1] + 9000, sizes[1]).any()

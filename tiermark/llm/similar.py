@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,15 @@ from pyspark.sql import functions as F
 
 from tiermark.llm.common import checkpoint, small_batches
 from tiermark.llm.components import components
-from tiermark.llm.simhash import SEED, near_links
+from tiermark.llm.embedding_dedup import _local
+from tiermark.llm.simhash import SEED, _key
 
 #: Bands of min-hashes and hashes of a band: two texts of similarity 0.8 share a band with a chance of 0.998.
 BANDS, ROWS = 20, 6
-#: In a band's bucket of more texts than this, texts are compared with two of them, not each with each.
+#: A bucket of more texts than this is compared within tasks, by pairs of tiles, so that its pairs are no rows.
 BUCKET = 16
+#: Texts of a tile, and hashes of all its texts, about.
+TILE, HASHES = 256, 1 << 18
 #: Standard deviations by which a pair's bits may differ more than is expected of the similarity. The bits only
 #: spare the exact comparison of what is far from it: a pair at the similarity is lost with a chance of 0.00003.
 SLACK = 4
@@ -108,9 +112,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     have a Jaccard similarity of at least `similarity` are linked: those that share a
     band, or a SimHash but for two bits, and whose sets, compared exactly, are that
     similar. Pairs whose sizes or 256-bit SimHashes rule it out are not compared. Texts
-    with equal sets are one from the start, so large groups of copies make no pairs; in a band's large
-    bucket each text is compared with the smallest and the largest id, so work grows
-    with the rows. A null text counts as an empty one; texts without words are one
+    with equal sets are one from the start, so large groups of copies make no pairs; a
+    large bucket is cut into tiles and each pair of tiles compared whole in a task, which
+    returns no more links than texts. Buckets of the same texts are compared once.
+    A null text counts as an empty one; texts without words are one
     group. A null doc_id gets a component, the smallest doc_id that is not null. An
     empty table gives an empty one.
     """
@@ -131,23 +136,22 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     each = checkpoint(plain.mapInArrow(of, f"doc_id long, {', '.join(f'{n} long' for n in [*same, *about])}, bands array<long>"))
     first = [F.min_by(n, "doc_id").alias(n) for n in [*about, "bands"]]
     reps = checkpoint(each.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *first))
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("n > 1")
-    shared = checkpoint(keys.join(sizes, "key"))
+    cuts = [0, 16, 32, 48, 64]
+    blocks = [F.xxhash64(F.lit(i), _key(F.col("fp"), c, cuts)) for i, c in enumerate(combinations(range(4), 2))]
+    keys = reps.where("size > 0").select("rep", "d0", "size", F.explode(F.concat("bands", F.array(*blocks))).alias("key"))
+    members = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep", "d0")).alias("who")]
+    sizes = keys.groupBy("key").agg(*members).where("n > 1").groupBy("n", "total", "first", "last", "who").agg(F.min("key").alias("key"))
+    shared = checkpoint(keys.join(sizes.select("key", "n", "total"), "key"))
     some = shared.where(F.col("n") <= BUCKET).select("key", "rep")
-    pairs = some.withColumnRenamed("rep", "a").join(some.withColumnRenamed("rep", "b"), "key").where("a > b").select("a", "b")
+    candidates = some.withColumnRenamed("rep", "a").join(some.withColumnRenamed("rep", "b"), "key").where("a > b").select("a", "b").distinct()
     crowd = shared.where(F.col("n") > BUCKET)
-    ends = crowd.select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a > b").union(crowd.select(F.col("last").alias("a"), F.col("rep").alias("b")).where("a > b"))
-    close = near_links(reps.groupBy("fp").agg(F.min("rep").alias("rep")), 2)
-    equal = reps.join(reps.groupBy("fp").agg(F.min("rep").alias("b")), "fp").where("rep > b").select(F.col("rep").alias("a"), "b")
-    candidates = pairs.union(ends).union(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).union(equal).distinct()
     side = lambda s: reps.select(F.col("rep").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in about])
     bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names[1:]), F.bit_count(F.col(f"a_{names[0]}").bitwiseXOR(F.col(f"b_{names[0]}"))))
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-6
     likely = checkpoint(candidates.join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= most_bits(similarity))).select("a", "b"))
-    needed = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
+    needed = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).union(crowd.select("rep")).distinct()
     sets = shingle_sets(plain, reps.select("rep", *same).join(needed, "rep"), width)
-    links = verified(likely, sets, similarity)
+    links = verified(likely, sets, similarity).union(crowd_links(crowd, sets, similarity))
     found = components(links)
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return each.join(named, same, "left").select("doc_id", "component_id")
@@ -163,6 +167,7 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             columns = [pa.array([n[k] for n in names], pa.int64()) for k in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["rep", "d0", "d1", "hashes"])
 
+    small_batches(docs.sparkSession)
     some = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     made = some.mapInArrow(of, "rep long, d0 long, d1 long, hashes array<long>")
     # a doc_id may stand for several texts, and only some of them be reps
@@ -181,8 +186,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 good.append(both / (len(p) + len(q) - both) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    small_batches(pairs.sparkSession, 32)
     side = lambda s, h: sets.select(F.col("rep").alias(s), F.col("hashes").alias(h))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long").distinct()
+    return checkpoint(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(of, "a long, b long").distinct())
+
+
+def overlaps(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many hashes each set of one tile shares with each of another. x, y: the sets end to end; p, q: their sizes."""
+    rows, others = np.repeat(np.arange(len(p)), p), np.repeat(np.arange(len(q)), q)
+    known = np.intersect1d(x, y)
+    both = np.zeros((len(p), len(q)))
+    if not len(known):
+        return both
+    i, j = np.searchsorted(known, x).clip(max=len(known) - 1), np.searchsorted(known, y).clip(max=len(known) - 1)
+    yes, fine = known[i] == x, known[j] == y
+    i, rows, j, others = i[yes], rows[yes], j[fine], others[fine]
+    for k in range(0, len(known), 4096):
+        a, b = np.zeros((len(p), 4096), np.float32), np.zeros((len(q), 4096), np.float32)
+        here, there = (i >= k) & (i < k + 4096), (j >= k) & (j < k + 4096)
+        a[rows[here], i[here] - k] = 1
+        b[others[there], j[there] - k] = 1
+        both += a @ b.T
+    return both
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all members of a bucket whose sets have a Jaccard similarity of at least `similarity`.
+
+    crowd: key, n, total, rep, d0, the members of buckets, how many their bucket has, and
+    hashes it has. Each bucket is cut into tiles, and every two of them are compared
+    whole; a pair of tiles returns a spanning forest of its links.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, flat = ([batch.column(f"{s}_{c}")[k].values.to_numpy() for s in "ab"] for c in ("ids", "sizes", "flat"))
+                both = overlaps(flat[0], sizes[0], flat[1], sizes[1])
+                i, j = np.nonzero(both / (sizes[0][:, None] + sizes[1] - both) >= similarity)
+                nodes, at = np.unique(np.concatenate(ids), return_inverse=True)
+                least = _local(len(nodes), at[i], at[j + len(ids[0])])
+                yes = least != np.arange(len(nodes))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[yes]), pa.array(nodes[least[yes]])], ["a", "b"])
+
+    spark = crowd.sparkSession
+    parts = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / HASHES))
+    cut = crowd.withColumn("part", F.pmod(F.xxhash64("rep", "d0"), parts)).join(sets, ["rep", "d0"])
+    tiles = cut.groupBy("key", "part").agg(F.collect_list(F.struct("rep", F.size("hashes").cast("long").alias("size"), "hashes")).alias("x"))
+    tiles = checkpoint(tiles.select("key", "part", F.col("x.rep").alias("ids"), F.col("x.size").alias("sizes"), F.flatten("x.hashes").alias("flat")))
+    side = lambda s: tiles.select("key", F.col("part").alias(f"{s}_part"), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "sizes", "flat")])
+    pairs = side("a").join(side("b"), "key").where("a_part <= b_part").drop("key", "a_part", "b_part")
+    small_batches(spark, 4)
+    return checkpoint(pairs.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(of, "a long, b long").distinct())
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
