@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from tiermark.llm.secrets import KINDS, base_spans, fitted, op5, redacted, scanned
+import numpy as np
+
+from tiermark.llm.secrets import KINDS, all_spans, base_spans, fitted, op5, redacted, scanned, windows
 
 
 def plain(text):
@@ -61,6 +63,37 @@ def test_redaction(spark):
     assert rows[0]["n_chars"] == len("a [secret]' b")
 
 
+class Accepting:
+    """Accepts windows whose candidate has a Z, and keeps what it was asked."""
+
+    threshold = 0.5
+
+    def __init__(self):
+        self.asked = []
+
+    def probability(self, some):
+        self.asked += some
+        return np.array([float("Z" in w[24:64]) for w in some])
+
+
+def test_every_candidate_reaches_the_network():
+    letters = "correctZhorseZbattery"
+    longer = "QzQ_deadbeefdeadbeef_ZZtailofthekey"
+    late = "x" * 70 + "Z" + "y" * 9
+    net = Accepting()
+    texts = [f"my {letters} here", f"a {longer} b", f"c {late} d", "token = abcdefghijklZ", None, "", "unremarkable words only"]
+    got = all_spans(texts, net)
+    assert got[0] == [(3, 3, 3 + len(letters))]
+    assert got[1] == [(2, 3, 2 + len(longer)), (6, 2, 22)]
+    assert got[2] == [(2, 3, 2 + len(late))]
+    assert got[3] == [(0, 0, 21)] and got[4:] == [[], [], []]
+    assert len({len(w) for w in net.asked}) == 1 and any("unremarkable" in w for w in net.asked)
+    for n in (12, 40, 41, 60, 61, 100, 177):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        made = windows(text, 0, n)
+        assert all(any(text[i : i + 20] in w for w in made) for i in range(n - 20)) and len(made) == max(1, -(-(n - 40) // 20) + 1)
+
+
 def test_odd_rows(odd, nothing):
     rows = scanned(odd).collect()
     assert len(rows) == odd.count() and all(r["row"]["kept"] == "clash" for r in rows)

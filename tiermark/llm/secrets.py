@@ -17,7 +17,6 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
 #: Characters of a candidate's window: before it, of it and after it.
 BEFORE, INSIDE, AFTER = 24, 40, 16
 #: The network is fitted on findings in this many documents, the first by hash, and on so many of each label at most.
@@ -38,21 +37,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def other_candidates(text: str, base: list[tuple[int, int, int]], digits: bool) -> list[tuple[int, int]]:
-    """Other long tokens; digits: only those that hold one."""
+def other_candidates(text: str, base: list[tuple[int, int, int]], beyond: bool) -> list[tuple[int, int]]:
+    """Long tokens apart from the base spans; beyond: also those that overlap some, but lie in none."""
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if (not digits or DIGIT.search(m[0])) and not any(a < e and s < b for a, _, b in base):
+        met = [(a, b) for a, _, b in base if a < e and s < b]
+        if not met or beyond and not any(a <= s and e <= b for a, b in met):
             found.append((s, e))
     return found
 
 
-def window(text: str, start: int, end: int) -> str:
-    """The candidate's characters and its context, always as long; other than ASCII becomes ?."""
-    before = text[max(0, start - BEFORE) : start].rjust(BEFORE)
-    made = before + text[start : min(end, start + INSIDE)].ljust(INSIDE) + text[end : end + AFTER].ljust(AFTER)
-    return made.encode("ascii", "replace").decode("ascii")
+def windows(text: str, start: int, end: int) -> list[str]:
+    """The candidate's characters and its context, always as long; other than ASCII becomes ?.
+
+    A candidate of more than INSIDE characters has several windows, which overlap by half.
+    """
+    before, after = text[max(0, start - BEFORE) : start].rjust(BEFORE), text[end : end + AFTER].ljust(AFTER)
+    last = max(start, end - INSIDE)
+    made = [before + text[i : min(end, i + INSIDE)].ljust(INSIDE) + after for i in [*range(start, last, INSIDE // 2), last]]
+    return [x.encode("ascii", "replace").decode("ascii") for x in made]
 
 
 @dataclass
@@ -158,8 +162,8 @@ def labelled(docs: DataFrame) -> DataFrame:
         for text in texts.to_pylist():
             text = text or ""
             base = base_spans(text)
-            yes = [{"window": window(text, s, e), "label": 1} for s, _, e in base]
-            rows.append(yes + [{"window": window(text, s, e), "label": 0} for s, e in other_candidates(text, base, False)])
+            yes = [{"window": w, "label": 1} for s, _, e in base for w in windows(text, s, e)]
+            rows.append(yes + [{"window": w, "label": 0} for s, e in other_candidates(text, base, False) for w in windows(text, s, e)])
         return pa.array(rows, pa.list_(pa.struct([("window", pa.string()), ("label", pa.int32())])))
 
     ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
@@ -176,14 +180,31 @@ def trained(docs: DataFrame) -> Network:
     return fitted([r["window"] for r in rows], [r["label"] for r in rows])
 
 
-def all_spans(text: str, net: Network) -> list[tuple[int, int, int]]:
-    """The patterns' spans, and those of other candidates that the network accepts."""
-    base = base_spans(text)
-    others = other_candidates(text, base, True)
-    if others and net.threshold <= 1:
-        p = net.probability([window(text, s, e) for s, e in others])
-        base = sorted(base + [(s, 3, e) for (s, e), x in zip(others, p, strict=True) if x >= net.threshold])
-    return base
+def all_spans(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int]]]:
+    """For each text the patterns' spans, and those of other candidates of which the network accepts a window."""
+    found = [base_spans(x) if x else [] for x in texts]
+    if net.threshold > 1:
+        return found
+    more: list[set[tuple[int, int, int]]] = [set() for _ in texts]
+    some: list[str] = []
+    of: list[tuple[int, int, int]] = []
+
+    def score() -> None:
+        for (k, s, e), p in zip(of, net.probability(some) if some else [], strict=True):
+            if p >= net.threshold:
+                more[k].add((s, KINDS.index("model"), e))
+        some.clear()
+        of.clear()
+
+    for k, x in enumerate(texts):
+        for s, e in other_candidates(x or "", found[k], True):
+            for w in windows(x, s, e):
+                some.append(w)
+                of.append((k, s, e))
+                if len(some) == 512:
+                    score()
+    score()
+    return [sorted([*a, *b]) for a, b in zip(found, more, strict=True)]
 
 
 def spans(text: Column, net: Network) -> Column:
@@ -192,7 +213,7 @@ def spans(text: Column, net: Network) -> Column:
 
     @F.arrow_udf("array<struct<start:long,kind:string,end:long>>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in all_spans(x, net)] if x else [] for x in texts.to_pylist()], shape)
+        return pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in x] for x in all_spans(texts.to_pylist(), net)], shape)
 
     return of(text)
 
@@ -200,9 +221,9 @@ def spans(text: Column, net: Network) -> Column:
 def blotted(text: Column, net: Network, by: str = "[secret]") -> Column:
     """Each text with its spans, overlapping ones together, replaced."""
 
-    def one(x: str) -> str:
+    def one(x: str, found: list[tuple[int, int, int]]) -> str:
         parts, done = [], 0
-        for s, _, e in all_spans(x, net):
+        for s, _, e in found:
             if s >= done:
                 parts += [x[done:s], by]
             done = max(done, e)
@@ -210,7 +231,8 @@ def blotted(text: Column, net: Network, by: str = "[secret]") -> Column:
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([one(x) if x else x for x in texts.to_pylist()], pa.string())
+        rows = texts.to_pylist()
+        return pa.array([one(x, found) if x else x for x, found in zip(rows, all_spans(rows, net), strict=True)], pa.string())
 
     return of(text)
 
@@ -220,7 +242,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text and any others. The patterns' spans are always there; the
     network, fitted on a bounded sample of them and of other long tokens, adds spans
-    of kind model where it finds a token with a digit as likely as they are. A null
+    of kind model where it finds another long token as likely as they are; a token that
+    reaches beyond a pattern's span may be one. A null
     or empty text has no spans. Repeated rows are scanned as often as they are there.
     An empty table gives an empty one. Texts are scanned whole.
     """
