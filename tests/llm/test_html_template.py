@@ -51,3 +51,12 @@ def test_odd_rows(spark):
     made = extracted(pages).collect()
     assert sorted(len(r["text"]) for r in made) == [0, 0, 1, 1, 20000 * 10 - 1] and all(r["row"]["text"] == "x" for r in made)
     assert extracted(pages.where("false")).collect() == []
+
+
+def test_other_pages_do_not_undo_a_template(spark):
+    page = "<html><body><div>Our site</div>{}<div><p>story {}</p></div><p>Legal &amp; terms</p></body></html>"
+    rows = [(i, f"http://h.org/{i}", page.format("<div>more</div>" * (i % 2), i)) for i in range(6)]
+    rows += [(10, "http://h.org/a", None), (11, "http://h.org/b", " "), (12, "http://h.org/c", "<html><body><h1>Not found</h1></body></html>"), (13, "http://h.org/d", "<script>x")]
+    made = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r["row"]["page_id"]: r["text"] for r in made}
+    assert got == {**{i: "more " * (i % 2) + f"story {i}" for i in range(6)}, 10: "", 11: "", 12: "Not found", 13: ""}

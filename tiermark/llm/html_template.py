@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiermark.llm.common import small_batches
+from tiermark.llm.common import checkpoint, small_batches
 
 # Names of HTML elements, and words of class and id attributes.
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
@@ -33,6 +33,8 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 LEAST = 3
 #: Template tokens that are sent to all tasks, at most; beyond it, pages and templates are joined by host.
 SENT = 200_000
+#: Stands for the page itself among its tokens, if it has any.
+PAGE = -1
 
 
 def _named(attributes: str) -> str:
@@ -135,7 +137,7 @@ def host(url):
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """host, token, text, pages and vector of each token on two pages or more.
+    """host, token, text, pages and vector of each token on two pages or more; token PAGE counts the pages with tokens.
 
     pages: host, page_id, html. Tokens of a host with the same vector, a digest of how
     often each of its pages has the token, are an equivalence class. Digests are sums,
@@ -145,7 +147,8 @@ def classes(pages: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [[{"token": t, "text": x, "n": n} for (t, x), n in counted(h).items()] for h in batch.column("html").to_pylist()]
+            each = [counted(h) for h in batch.column("html").to_pylist()]
+            made = [[{"token": t, "text": x, "n": n} for (t, x), n in [*c.items(), *([((PAGE, False), 1)] if c else [])]] for c in each]
             kind = pa.list_(pa.struct([("token", pa.int64()), ("text", pa.bool_()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), pa.array(made, kind)], ["host", "page_id", "found"])
 
@@ -159,17 +162,19 @@ def classes(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host and constant, the ids of the texts that are part of the host's template.
 
-    The template of a host begins with the class of what all its pages have, LEAST
-    pages at least. A class is valid if it holds elements: these nest by their paths,
-    so that a valid class's tokens stand in the same order in each page and within
-    those of the class around it. A valid class's texts are constant parts of the
-    template; all other text of the pages stands in its slots.
+    A class is valid if it is on more than half of the host's pages that have tokens,
+    LEAST pages at least, and nests: by its path, a text stands within the elements of
+    the class around it, and some element is on as many pages. So an empty page, or a
+    page of another layout, does not undo the template of the others; a layout of half
+    the pages or fewer has no template of its own. A valid class's texts are constant
+    parts of the template; all other text of the pages stands in its slots.
     """
-    found = classes(pages)
-    size = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    whole = found.join(size, "host").where(F.col("pages") == F.col("all")).where(F.col("all") >= LEAST)
-    valid = whole.groupBy("host", "vector").agg(F.count(F.when(~F.col("text"), 1)).alias("elements"), F.collect_list(F.when(F.col("text"), F.col("token"))).alias("texts")).where("elements > 0")
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("constant")).where("size(constant) > 0")
+    found = checkpoint(classes(pages).where(F.col("pages") >= LEAST).select("host", "token", "text", "pages"))
+    size = found.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
+    most = found.where(F.col("token") != PAGE).join(size, "host").where(F.col("pages") * 2 > F.col("all"))
+    valid = most.groupBy("host").agg(F.max(F.when(~F.col("text"), F.col("pages"))).alias("outer"), F.collect_list(F.when(F.col("text"), F.struct("token", "pages"))).alias("texts"))
+    constant = F.transform(F.filter("texts", lambda x: x["pages"] <= F.col("outer")), lambda x: x["token"])
+    return valid.select("host", constant.alias("constant")).where("size(constant) > 0")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
