@@ -72,3 +72,22 @@ def test_odd_rows(spark):
     assert near_duplicates(df.where("false")).collect() == []
     twice = near_duplicates(df.where("vec_id in (1, 2)").union(df.where("vec_id = 2"))).collect()
     assert len(twice) == 3 and {r["component_id"] for r in twice} == {1}
+
+
+def test_lengths_that_the_sample_misses(spark, monkeypatch):
+    """Links of lengths without directions, or with few, are found once each."""
+    import numpy as np
+
+    from tiermark.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 40)
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(size=d).tolist() for d in [4] * 600 + [1] * 2 + [2] * 60 + [3] * 3]
+    vectors += [[x * 1.5 + 0.001 for x in v] for v in vectors[-65:]]
+    distinct = spark.createDataFrame([(i, 1, 0, v) for i, v in enumerate(vectors)], "rep long, copies long, label int, embedding array<double>")
+    got = {}
+    for r in embedding_dedup.tile_links(distinct, 0.98, tile=4).collect():
+        got[r["node"]] = got.get(r["node"], 0) + r["n"]
+    unit = [np.array(v) / np.linalg.norm(v) for v in vectors]
+    want = {i: sum(j != i and len(u) == len(v) and u @ v >= 0.98 for j, v in enumerate(unit)) for i, u in enumerate(unit)}
+    assert got == {i: n for i, n in want.items() if n}

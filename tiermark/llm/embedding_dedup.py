@@ -126,6 +126,8 @@ def tile_links(distinct: DataFrame, threshold: float, tile: int = TILE) -> DataF
     moves = [m for m in product((-1, 0, 1), repeat=most)]
     here = F.split("cell", ",")
     other = F.array(*[F.array_join(F.array(*[(F.get(here, F.lit(k)).cast("int") + d).cast("string") for k, d in enumerate(m)]), ",") for m in moves]) if most else F.array(F.lit(""))
+    # a length without directions is one cell, without neighbours; one with fewer directions than most has cells with fewer places
+    other = F.when(F.col("cell") == "", F.array(F.lit(""))).otherwise(F.array_distinct(other))
     left = rows.select("label", "dim", F.col("cell").alias("from"), F.col("part").alias("p"), F.col("ids").alias("a_ids"), F.col("copies").alias("a_copies"), F.col("values").alias("a_values"), F.explode(other).alias("cell"))
     left = left.where("cell >= from")
     right = rows.select("label", "dim", "cell", F.col("part").alias("q"), F.col("ids").alias("b_ids"), F.col("copies").alias("b_copies"), F.col("values").alias("b_values"))
