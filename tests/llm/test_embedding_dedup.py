@@ -84,10 +84,28 @@ def test_lengths_that_the_sample_misses(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = [rng.normal(size=d).tolist() for d in [4] * 600 + [1] * 2 + [2] * 60 + [3] * 3]
     vectors += [[x * 1.5 + 0.001 for x in v] for v in vectors[-65:]]
-    distinct = spark.createDataFrame([(i, 1, 0, v) for i, v in enumerate(vectors)], "rep long, copies long, label int, embedding array<double>")
+    distinct = spark.createDataFrame([(i, i, 1, 0, v) for i, v in enumerate(vectors)], "node long, rep long, copies long, label int, embedding array<double>")
     got = {}
     for r in embedding_dedup.tile_links(distinct, 0.98, tile=4).collect():
         got[r["node"]] = got.get(r["node"], 0) + r["n"]
     unit = [np.array(v) / np.linalg.norm(v) for v in vectors]
     want = {i: sum(j != i and len(u) == len(v) and u @ v >= 0.98 for j, v in enumerate(unit)) for i, u in enumerate(unit)}
     assert got == {i: n for i, n in want.items() if n}
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1.0000001e200, 1e200], 1), (3, [1e-300, 1e-300], 1), (4, [1e308, -1e308], 1), (5, [5e-324, -5e-324], 1)]
+    made = got(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert made == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False)}
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, [0.02, 1.0], 1)]
+    made = got(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert made == {1: (3, 1, True), 2: (1, 1, False), 3: (2, 1, False), 4: (2, 1, False)}
+
+
+def test_session_settings_stay(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near_duplicates(spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<double>, label int")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
