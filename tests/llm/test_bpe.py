@@ -3,10 +3,12 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
+from tiermark.llm import bpe
 from tiermark.llm.bpe import TreeBPE, digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,3 +57,16 @@ def test_odd_rows(odd, nothing, reference):
     want = sorted((str(r["doc_id"]), *expected(reference, r["text"])) for r in odd.collect())
     assert sorted((str(r[0]), *r[1:]) for r in rows) == want
     assert digests(nothing, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_long_runs_and_decoding_up_the_tree():
+    import regex
+
+    model = TreeBPE(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    cut = regex.compile(public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+    for text in ("=" * 9000, "-=" * 3000, "ab" * 5000, "é" * 4001, "x" * 48, "x" * 49):
+        ids = model.encode(cut.findall(text))
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+        assert model.decode(ids) == text.encode()
+    assert max(map(len, model.pieces)) <= bpe.LONG and max(len(b"".join(x)) for x in model.windows) <= bpe.LONG

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tiermark.llm.common import small_batches
 
-#: Pieces that a worker remembers, and joins of two neighbours.
-KEEP = 1_500_000
+#: Pieces that a worker remembers, windows likewise, and the bytes of the longest of either: what it holds is bounded.
+KEEP, WINDOWS, LONG = 600_000, 300_000, 48
+#: Tokens that are decoded together, as a leaf of the tree.
+LEAF = 64
 
 
 class TreeBPE:
@@ -39,21 +42,49 @@ class TreeBPE:
         self.windows: dict[tuple[bytes, ...], tuple[bytes, ...]] = {}
 
     def merged(self, parts: tuple[bytes, ...]) -> tuple[bytes, ...]:
-        """The encoding of a short window, merge by merge, from single bytes."""
+        """The encoding of a window, merge by merge, from single bytes."""
         found = self.windows.get(parts)
-        if found is None:
-            whole, ranks = b"".join(parts), self.ranks
-            now = [whole[i : i + 1] for i in range(len(whole))]
-            while len(now) > 1:
-                rank, i = min((ranks.get(now[i] + now[i + 1], 1 << 62), i) for i in range(len(now) - 1))
-                if rank == 1 << 62:
-                    break
-                now[i : i + 2] = [now[i] + now[i + 1]]
-            if len(self.windows) >= KEEP:
-                self.windows.clear()
-            found = self.windows[parts] = tuple(now)
+        if found is not None:
+            return found
+        whole, ranks = b"".join(parts), self.ranks
+        if len(whole) > LONG:
+            return self.heaped(whole)
+        now = [whole[i : i + 1] for i in range(len(whole))]
+        while len(now) > 1:
+            rank, i = min((ranks.get(now[i] + now[i + 1], 1 << 62), i) for i in range(len(now) - 1))
+            if rank == 1 << 62:
+                break
+            now[i : i + 2] = [now[i] + now[i + 1]]
+        if len(self.windows) >= WINDOWS:
+            self.windows.clear()
+        found = self.windows[parts] = tuple(now)
         return found
 
+    def heaped(self, whole: bytes) -> tuple[bytes, ...]:
+        """The same for a long window: pairs wait in a heap, so that time grows with n log n."""
+        n, ranks = len(whole), self.ranks
+        end = list(range(1, n + 1))  # where the part that begins here ends, 0 if none does any more
+        back = list(range(-1, n - 1))  # where the part before begins
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(whole[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, upto = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != upto:
+                continue  # one of the two has been merged since
+            end[i], end[j] = upto, 0
+            if upto < n:
+                back[upto] = i
+                if (r := ranks.get(whole[i : end[upto]])) is not None:
+                    heappush(heap, (r, i, end[upto]))
+            if i and (r := ranks.get(whole[back[i] : upto])) is not None:
+                heappush(heap, (r, back[i], upto))
+        found, i = [], 0
+        while i < n:
+            found.append(whole[i : end[i]])
+            i = end[i]
+        return tuple(found)
+
     def joined(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
         """The monoid's operation: the encoding of two encodings' bytes."""
         i, j = len(left) - 1, 1
@@ -77,9 +108,11 @@ class TreeBPE:
         """The ids of one match of the pattern, 4 little-endian bytes each."""
         raw = text.encode("utf-8", "surrogatepass")
         tokens = (raw,) if raw in self.ranks else self.tree(raw)
-        if len(self.pieces) >= KEEP:
-            self.pieces.clear()
-        made = self.pieces[text] = np.array([self.ranks[x] for x in tokens], dtype="<u4").tobytes()
+        made = np.array([self.ranks[x] for x in tokens], dtype="<u4").tobytes()
+        if len(raw) <= LONG:
+            if len(self.pieces) >= KEEP:
+                self.pieces.clear()
+            self.pieces[text] = made
         return made
 
     def encode(self, pieces: list[str]) -> bytes:
@@ -87,8 +120,12 @@ class TreeBPE:
         return b"".join([get(x) or make(x) for x in pieces])
 
     def decode(self, ids: bytes) -> bytes:
-        """Concatenation up the tree; it is associative, so the leaves are joined at once."""
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """Concatenation up the tree: leaves of a few tokens, then neighbours two by two."""
+        tokens = np.frombuffer(ids, dtype="<u4").tolist()
+        now = [b"".join(map(self.bytes.__getitem__, tokens[i : i + LEAF])) for i in range(0, len(tokens), LEAF)]
+        while len(now) > 1:
+            now = [b"".join(now[i : i + 2]) for i in range(0, len(now), 2)]
+        return now[0] if now else b""
 
 
 @lru_cache(maxsize=2)
