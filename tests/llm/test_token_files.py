@@ -7,6 +7,9 @@ import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
+from tiermark.llm import token_files
 from tiermark.llm.token_files import Words, op7, read_tokens, token_index, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -60,3 +63,30 @@ def test_odd_rows(spark, odd, nothing, tmp_path, library):
     assert [tuple(r) for r in rows] == plain(library, [(i if known else None, t) for known, i, t in texts])
     write_tokens(nothing, f"file://{tmp_path}/none", PATH, 2)
     assert token_index(read_tokens(spark, f"file://{tmp_path}/none")).collect() == []
+
+
+def test_conditions_on_doc_id_skip_stripes_and_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "STRIPE", 1 << 16)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    pick = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", i), F.lit(500)) + 1).cast("int")))
+    write_tokens(spark.range(60000).select(F.col("id").alias("doc_id"), F.array_join(pick, " ").alias("text")), f"file://{tmp_path}/t", PATH, 2)
+    assert max(orc.ORCFile(f).nstripes for f in (tmp_path / "t").glob("*.orc")) > 2
+
+    def read(condition):
+        """Rows found, and rows that the scan had to read for them."""
+        made = read_tokens(spark, f"file://{tmp_path}/t").where(condition).select("doc_id", F.array_max("ids"))
+        rows = made.collect()
+        return len(rows), made._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+
+    assert read("doc_id >= 0") == (60000, 60000)
+    found, seen = read("doc_id = 31234")
+    assert found == 1 and seen <= 2 * token_files.STRIDE
+
+
+def test_repeated_doc_id_is_dealt_out(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one row many times").alias("text"))
+    write_tokens(rows, f"file://{tmp_path}/same", PATH, 2)
+    made = read_tokens(spark, f"file://{tmp_path}/same")
+    assert made.groupBy("shard").count().count() > 2
+    assert sorted(r["start"] for r in token_index(made).collect()) == [made.first()["n_tokens"] * i for i in range(4000)]

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from tiermark.llm.common import small_batches, use_checkpoints
 
-#: Words whose ids a worker remembers.
-KEEP = 800_000
+#: Stems whose ids a worker remembers, words made of them, and the longest of either in characters: what it holds is bounded.
+KEEP, WORDS, LONG = 800_000, 800_000, 64
 #: Words that are encoded in one call, and the character from which on a word is encoded by itself.
 TOGETHER, PLAIN = 128, "\u0250"
-#: Bytes of an ORC stripe, and rows between two entries of its row index.
-STRIPE, STRIDE = 32 << 20, 1000
+#: Signs that may end a word; the tokenizer's patterns part them from a letter or digit before them.
+SIGNS = ".,;:!?"
+#: Bytes of an ORC stripe, rows between two entries of its row index, and bytes of text for a file, about.
+STRIPE, STRIDE, FILE = 32 << 20, 1000, 128 << 20
 
 
 class Words:
@@ -29,7 +31,9 @@ class Words:
 
     Only the space and the line feed part words here. The tokenizer drops white space,
     none of its patterns or characters reaches across it, so a text's ids are those
-    of its words in a row.
+    of its words in a row. Nor do they reach from a letter or digit to a sign, and
+    letters count as small ones: so a word of Latin-1 characters has the ids of its
+    stem in small letters, then those of the signs at its end.
     """
 
     def __init__(self, path: str):
@@ -37,34 +41,53 @@ class Words:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.stems: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words many at a time, as a call takes longer than a word; tokens find their words by their places."""
-        if len(self.known) + len(words) > KEEP:
-            self.known = {"": b""}
-        plain = [w for w in words if max(w) < PLAIN]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[w] for w in words if max(w) >= PLAIN]
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, many encoded at a time, as a call takes longer than a word; tokens find their words by their places."""
+        found: dict[str, bytes] = {}
+        plain = [w for w in words if max(w) < PLAIN and len(w) <= LONG]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[w] for w in words if max(w) >= PLAIN or len(w) > LONG]
         for group, made in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, dtype="<u4")
+            raw = np.array(made.ids, dtype="<u4").tobytes()
             if len(group) == 1:
-                self.known[group[0]] = ids.tobytes()
+                found[group[0]] = raw
                 continue
             starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
             upto = np.searchsorted([s for s, _ in made.offsets], [*starts[1:], 1 << 60]).tolist()
-            raw, at = ids.tobytes(), 0
+            at = 0
             for w, n in zip(group, upto, strict=True):
-                self.known[w] = raw[at : 4 * n]
+                found[w] = raw[at : 4 * n]
                 at = 4 * n
+        return found
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word's stem in small letters and the signs at its end, or the word as it is."""
+        if word.isascii() or max(word) < "\u0100":
+            stem = word.rstrip(SIGNS)
+            if stem and stem[-1].isalnum():
+                return stem.lower(), word[len(stem) :]
+        return word, ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 little-endian bytes each."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.known) if cut else set()
-        if new:
-            self.learn(list(set().union(*cut)) if len(self.known) + len(new) > KEEP else list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        all_words = set().union(*cut)
+        if len(self.known) > WORDS:
+            self.known = {"": b""}
+        new = {w: self.parts(w) for w in all_words.difference(self.known)}
+        asked = {x for both in new.values() for x in both}
+        if len(self.stems) + len(asked) > KEEP:
+            self.stems = {"": b""}
+        found = self.learn(list(asked.difference(self.stems)))
+        self.stems.update((w, x) for w, x in found.items() if len(w) <= LONG)
+        long = {w: self.stems.get(a, found.get(a, b"")) + self.stems[b] for w, (a, b) in new.items() if len(w) > LONG}
+        self.known.update((w, self.stems[a] + self.stems[b] if b else self.stems[a]) for w, (a, b) in new.items() if len(w) <= LONG)
+        if not long:
+            return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+        return [b"".join([long[w] if len(w) > LONG else self.known[w] for w in ws]) for ws in cut]
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +101,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     docs: doc_id, text; other columns do not matter. A file holds a range of ids: rows
     of shard (the file's number), place (the row's in the file), doc_id, n_tokens and
     ids, which end with end_id. Rows of equal doc_id stand in the order of a hash of
-    their texts; a null doc_id comes first; a null or empty text has end_id alone.
-    Texts are dealt by range once, then encoded in order, whole. Stripes can be read
+    their texts, and repeats of one row may lie in several files; a null doc_id comes
+    first; a null or empty text has end_id alone. Texts are dealt by range once, a file
+    for about FILE bytes, then encoded in order, whole. Stripes can be read
     side by side; their statistics, row indexes and Bloom filters skip what a
     condition on doc_id excludes.
     """
@@ -97,7 +121,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
             place += n
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
+    # repeats of one row are alike in all but where they were read
+    order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id() % 1024]
+    dealt = plain.select("doc_id", "text", *[c.alias(f"_{k}") for k, c in enumerate(order[1:])]).repartitionByRange(files, "doc_id", "_0", "_1").sortWithinPartitions("doc_id", "_0", "_1").select("doc_id", "text")
     made = dealt.mapInArrow(of, "shard int, place long, doc_id long, n_tokens long, ids array<int>")
     options = {"orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": STRIPE, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
     made.write.options(**options).orc(path)
