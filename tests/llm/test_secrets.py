@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tiermark.llm.secrets import KINDS, all_spans, base_spans, fitted, op5, redacted, scanned, windows
+from tiermark.llm.secrets import CANDIDATE, KINDS, all_spans, base_spans, examples, fitted, op5, other_candidates, redacted, scanned, windows
 
 
 def plain(text):
@@ -94,6 +94,48 @@ def test_every_candidate_reaches_the_network():
         assert all(any(text[i : i + 20] in w for w in made) for i in range(n - 20)) and len(made) == max(1, -(-(n - 40) // 20) + 1)
 
 
+def merged(text, base, beyond):
+    found = []
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        met = [(a, b) for a, _, b in base if a < e and s < b]
+        if not met or beyond and not any(a <= s and e <= b for a, b in met):
+            found.append((s, e))
+    return found
+
+
+def test_candidates_beside_spans():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab- ") if rng.random() < 0.9 else " " for _ in range(300))
+        base = sorted((s, rng.randint(0, 2), s + rng.randint(1, 30)) for s in (rng.randint(0, 290) for _ in range(rng.randint(0, 9))))
+        for beyond in (False, True):
+            assert other_candidates(text, base, beyond) == merged(text, base, beyond)
+
+
+def test_unseen_formats_are_found_and_addresses_are_not(spark):
+    """Keys that no pattern finds, of formats that the network was not fitted on; recall and precision of what it adds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0 or text rlike 'token ='").collect()
+    texts = [r["text"] or "" for r in docs]
+    found = sorted({x for t in texts[::2] for x in examples(t)})
+    rng = random.Random(7)
+    rng.shuffle(found)
+    some = [x for y in (0, 1) for x in [x for x in found if x[1] == y][:4000]]
+    net = fitted([w for w, _ in some], [y for _, y in some])
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made, keys = [], []
+    for k, t in enumerate(texts[1:800:2]):
+        head, alphabet, n = (("hf_", letters, 34), ("", letters + "_-", 43), ("", letters[26:], 20), ("SG.", letters, 22))[k % 4]
+        key = head + "".join(rng.choice(alphabet) for _ in range(n))
+        ip = ".".join(str(rng.randint(100, 255)) for _ in range(4))
+        made.append(f"{t[:300]} {key} {ip} {t[300:]}")
+        keys.append(key)
+    added = [(k, t[s:e]) for k, (t, x) in enumerate(zip(made, all_spans(made, net), strict=True)) for s, kind, e in x if kind == 3]
+    right = sum(x == keys[k] for k, x in added)
+    assert right >= 0.8 * len(keys) and right >= 0.95 * len(added), (right, len(added), len(keys))
+    assert not any(re.fullmatch(r"[0-9.]+", x) for _, x in added)
+
+
 def test_odd_rows(odd, nothing):
     rows = scanned(odd).collect()
     assert len(rows) == odd.count() and all(r["row"]["kept"] == "clash" for r in rows)

@@ -89,4 +89,5 @@ def test_repeated_doc_id_is_dealt_out(spark, tmp_path):
     write_tokens(rows, f"file://{tmp_path}/same", PATH, 2)
     made = read_tokens(spark, f"file://{tmp_path}/same")
     assert made.groupBy("shard").count().count() > 2
-    assert sorted(r["start"] for r in token_index(made).collect()) == [made.first()["n_tokens"] * i for i in range(4000)]
+    n = made.first()["n_tokens"]
+    assert sorted(r["start"] for r in token_index(made).collect()) == [n * i for i in range(4000)]

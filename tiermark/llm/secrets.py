@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiermark.llm.common import small_batches
+from tiermark.llm.common import checkpoint, small_batches
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: What a candidate of some known use looks like, which is no secret: numbers, dates and network addresses, names of hosts and files, words.
+PLAIN = re.compile(r"[0-9.+/_=-]+|[.+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]{1,6})(?:[.+/_=-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]{1,6}))*[.+/_=-]*")
+#: Words that announce a secret, with what stands between it and them.
+CUE = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?\Z""", re.I | re.A)
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# How keys of known services begin, the characters that follow, and how many.
+FORMATS = (
+    ("", "0123456789abcdef", 24), ("", "0123456789ABCDEF", 32), ("", LOWER + DIGITS, 28), ("", UPPER + "234567", 32), ("", LOWER + UPPER + DIGITS, 22), ("", LOWER + UPPER + DIGITS, 40), ("", LOWER + UPPER + DIGITS + "+/", 44), ("", LOWER + UPPER, 32),
+    ("AKIA", UPPER + DIGITS, 16), ("ghp_", LOWER + UPPER + DIGITS, 36), ("sk_live_", LOWER + UPPER + DIGITS, 24), ("xoxb-", DIGITS + "-" + LOWER + UPPER, 40), ("AIza", LOWER + UPPER + DIGITS + "-_", 35), ("glpat-", LOWER + UPPER + DIGITS, 20), ("npm_", LOWER + UPPER + DIGITS, 36), ("eyJ", LOWER + UPPER + DIGITS + "-_", 60),
+)
 #: Characters of a candidate's window: before it, of it and after it.
 BEFORE, INSIDE, AFTER = 24, 40, 16
-#: The network is fitted on findings in this many documents, the first by hash, and on so many of each label at most.
-SAMPLE_DOCS, SAMPLE_EACH = 20_000, 3_000
+#: The network is fitted on findings in this many documents, the first by hash, and on so many windows of each label at most.
+SAMPLE_DOCS, SAMPLE_EACH = 20_000, 4_000
+#: Windows made of each finding, and numbers and addresses made of it as examples of what is none.
+MADE, NONE = 12, 4
 #: Share of held-out findings that the threshold must reach, and the least probability it may have.
 RECALL, LEAST = 0.99, 0.5
 
@@ -39,13 +54,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def other_candidates(text: str, base: list[tuple[int, int, int]], beyond: bool) -> list[tuple[int, int]]:
     """Long tokens apart from the base spans; beyond: also those that overlap some, but lie in none."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        met = [(a, b) for a, _, b in base if a < e and s < b]
-        if not met or beyond and not any(a <= s and e <= b for a, b in met):
-            found.append((s, e))
-    return found
+    every = [m.span() for m in CANDIDATE.finditer(text)]
+    if not base:
+        return every
+    starts, upto = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    # of the spans that begin before a place, whether the one that ends last ends after another
+    after = lambda n, place: n > 0 and upto[n - 1] > place
+    if beyond:
+        return [(s, e) for s, e in every if not after(bisect_right(starts, s), e - 1)]
+    return [(s, e) for s, e in every if not after(bisect_left(starts, e), s)]
+
+
+def uncertain(token: str) -> bool:
+    """Whether a token that no pattern finds may yet be a secret: it mixes letters and digits, and is of no known use."""
+    return not PLAIN.fullmatch(token) and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
 def windows(text: str, start: int, end: int) -> list[str]:
@@ -151,24 +173,51 @@ def fitted(windows: list[str], labels: list[int], epochs: int = 8, seed: int = 1
     return net
 
 
+def examples(text: str) -> list[tuple[str, int]]:
+    """Windows of a text's findings with label 1, and of what is no secret with label 0.
+
+    A finding gives windows without what the patterns know it by: the words that
+    announce it become others of the text, and its value one of another format of keys.
+    So the network can't relearn the patterns. Numbers and addresses in a finding's
+    place, and long tokens apart from findings, have label 0, but for those of which
+    it is not known: what mixes letters and digits may be a secret that no pattern finds.
+    """
+    base = base_spans(text)
+    made = []
+    plain = [w for w in text[:4000].split() if w.isalpha()] or ["the"]
+    for s, kind, e in base:
+        value = ASSIGN.match(text, s)[1] if kind == 0 else text[s:e]
+        begin = text.rfind(value, s, e)
+        if PLAIN.fullmatch(value):
+            continue
+        rng = random.Random(value)
+        before, after = text[max(0, begin - 3 * BEFORE) : begin], text[e : e + AFTER]
+        for k in range(MADE + NONE):
+            lead = CUE.sub(lambda _: f"{rng.choice(plain)} ", before)  # noqa: B023
+            if k == 0:
+                new = value
+            elif k < MADE:
+                head, letters, n = rng.choice(FORMATS)
+                new = head + "".join(rng.choice(letters) for _ in range(n + rng.randint(-2, 6)))
+            else:
+                new = rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), "-".join(str(rng.randint(1, 9999)) for _ in range(3)), str(rng.randint(10**12, 10**16)), f"{rng.choice(plain)}.{rng.choice(plain)}.com", f"{rng.choice(plain)}-{rng.randint(1, 99)}.{rng.randint(1, 30)}.{rng.randint(0, 9)}", "".join(w.title() for w in rng.choices(plain, k=3))])
+            made += [(w, int(k < MADE)) for w in windows(lead + new + after, len(lead), len(lead) + len(new))]
+    return made + [(w, 0) for s, e in other_candidates(text, base, False) if not uncertain(text[s:e]) for w in windows(text, s, e)]
+
+
 def labelled(docs: DataFrame) -> DataFrame:
-    """window and label of findings: 1 what the patterns find, 0 other long tokens."""
+    """window and label of examples from the findings in the first SAMPLE_DOCS documents by hash."""
     small_batches(docs.sparkSession)
     kind = "array<struct<window:string,label:int>>"
 
     @F.arrow_udf(kind)
     def of(texts: pa.Array) -> pa.Array:
-        rows = []
-        for text in texts.to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            yes = [{"window": w, "label": 1} for s, _, e in base for w in windows(text, s, e)]
-            rows.append(yes + [{"window": w, "label": 0} for s, e in other_candidates(text, base, False) for w in windows(text, s, e)])
+        rows = [[{"window": w, "label": y} for w, y in examples(text or "")] for text in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("window", pa.string()), ("label", pa.int32())])))
 
     ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     some = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"], "left_semi").select(F.col("text").cast("string").alias("text"))
-    return some.select(F.explode(of("text")).alias("x")).select("x.window", "x.label").distinct()
+    return checkpoint(some.select(F.explode(of("text")).alias("x")).select("x.window", "x.label").distinct())
 
 
 def trained(docs: DataFrame) -> Network:
@@ -191,7 +240,7 @@ def all_spans(texts: list[str | None], net: Network) -> list[list[tuple[int, int
 
     def score() -> None:
         for (k, s, e), p in zip(of, net.probability(some) if some else [], strict=True):
-            if p >= net.threshold:
+            if p >= net.threshold and not PLAIN.fullmatch(texts[k], s, e):
                 more[k].add((s, KINDS.index("model"), e))
         some.clear()
         of.clear()
@@ -241,9 +290,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     """row (docs' columns, as a struct) and spans for each row of docs.
 
     docs: doc_id, text and any others. The patterns' spans are always there; the
-    network, fitted on a bounded sample of them and of other long tokens, adds spans
-    of kind model where it finds another long token as likely as they are; a token that
-    reaches beyond a pattern's span may be one. A null
+    network, fitted on a bounded sample of examples made of them and of other long
+    tokens, adds spans of kind model where it finds another long token as likely as they
+    are; a token that reaches beyond a pattern's span may be one, a number, network
+    address, name of a host or file or a plain word is none. A null
     or empty text has no spans. Repeated rows are scanned as often as they are there.
     An empty table gives an empty one. Texts are scanned whole.
     """
