@@ -1,6 +1,7 @@
 import html
 import re
 
+from tiermark.llm import html_template
 from tiermark.llm.html_template import extracted, main_text, op4, templates
 
 
@@ -40,7 +41,6 @@ def test_template_texts_go(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["row"]["page_id"]: r["text"] for r in extracted(pages.where("page_id != 10")).collect()}
     assert found == {**{i: f"story {i}" for i in range(4)}, 9: "Our site story 0 both Legal & terms"}
-    # an empty page of the host has none of its tokens, so nothing is on all pages
     assert {r["row"]["page_id"]: r["text"] for r in extracted(pages).collect()}[10] == ""
     assert templates(pages.selectExpr("xxhash64(url) host", "page_id", "html")).collect() == []
 
@@ -60,3 +60,68 @@ def test_other_pages_do_not_undo_a_template(spark):
     made = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     got = {r["row"]["page_id"]: r["text"] for r in made}
     assert got == {**{i: "more " * (i % 2) + f"story {i}" for i in range(6)}, 10: "", 11: "", 12: "Not found", 13: ""}
+
+
+def by_hand(rows, least=3):
+    """Constant texts of each host by the rule, page by page, over pages whose elements are all different in name or class."""
+    hosts = {}
+    for _, url, page in rows:
+        hosts.setdefault(url.split("/")[2], set()).add(page or "")
+    found = {}
+    for h, pages in hosts.items():
+        on, around, inside = {}, {}, {}
+        for k, page in enumerate(sorted(pages)):
+            stack = []
+            for m in re.finditer(r"<(/?)([^>]*)>|([^<]+)", page):
+                if m[3]:
+                    t = ("text", "/".join(stack), " ".join(m[3].split()))
+                    if t[2]:
+                        on.setdefault(t, set()).add(k)
+                        around[t], inside[t] = ("tag", "/".join(stack)), "article" in stack
+                elif m[1]:
+                    stack.pop()
+                else:
+                    around["tag", "/".join([*stack, m[2]])] = ("tag", "/".join(stack))
+                    stack.append(m[2])
+                    on.setdefault(("tag", "/".join(stack)), set()).add(k)
+            if page:
+                on.setdefault(("tag", ""), set()).add(k)
+        good = {}
+        for t, ks in on.items():
+            if t != ("tag", "") and len(ks) >= least:
+                good.setdefault(frozenset(ks), set()).update([] if 2 * len(ks) > len(on[around[t]]) else [around[t] if t[0] == "tag" else "loose"])
+        found[h] = {t[2] for t, ks in on.items() if t[0] == "text" and len(good.get(frozenset(ks), "no")) < 2 and "loose" not in good[frozenset(ks)] and len(ks) >= least and (not inside[t] or 2 * len(ks) > len(on["tag", ""]))}
+    return found
+
+
+ARTICLE = "<html><body><div>Site name</div><article><h1>Title {0}</h1><div class=bar>Send to a friend</div><p>Text {0} of the page</p><em>{1}</em></article></body></html>"
+LAYOUT = "<html><body><div>Site name</div><section><h2>{0}</h2><b>Read this next</b></section></body></html>"
+
+
+def test_the_template_decides_in_articles_and_layouts(spark, monkeypatch):
+    rows = [(i, f"http://h.org/{i}", ARTICLE.format(i, "shared by three" if i < 3 else f"own {i}")) for i in range(8)]
+    rows += [(20 + i, f"http://h.org/l{i}", LAYOUT.format(f"part {i}")) for i in range(4)]
+    rows += [(40 + i, f"http://copies.org/{i}", ARTICLE.format(1, "one page many times")) for i in range(9)]
+    rows += [(60 + i, f"http://few.org/{i}", ARTICLE.format(i, i)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["row"]["page_id"]: r["text"] for r in extracted(pages).collect()}
+    constant = by_hand(rows)
+    assert constant["h.org"] == {"Site name", "Send to a friend", "Read this next"} and not constant["copies.org"] | constant["few.org"]
+    for i in range(8):
+        assert got[i] == f"Title {i} Text {i} of the page " + ("shared by three" if i < 3 else f"own {i}")
+    assert [got[20 + i] for i in range(4)] == [f"part {i}" for i in range(4)]
+    assert all(got[40 + i] == "Title 1 Send to a friend Text 1 of the page one page many times" for i in range(9))
+    monkeypatch.setattr(html_template, "templates", lambda pages: pages.selectExpr("host", "array(1L) constant").where("false"))
+    without = {r["row"]["page_id"]: r["text"] for r in extracted(pages).collect()}
+    assert all("Send to a friend" in without[i] and got[i] != without[i] for i in range(8))
+
+
+def test_templates_of_the_tables_hosts(spark):
+    """The tables' hosts, some of them with a constant bar put into each article: the query's own pages by the same rule."""
+    bar = "<span class='x-note'>Please share this page</span>"
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    hosts = sorted({r["url"].split("/")[2] for r in pages if r["url"] and "//" in r["url"]}, key=lambda h: sum(h in (r["url"] or "") for r in pages))[-1:]
+    rows = [(r["page_id"], r["url"], (r["html"] or "").replace("</h1>", f"</h1>{bar}") if r["url"] and any(h in r["url"] for h in hosts) else r["html"]) for r in pages]
+    got = {r["row"]["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for r in pages:
+        assert got[r["page_id"]] == plain(r["html"]) and "Please share" not in got[r["page_id"]]

@@ -100,20 +100,32 @@ def token_id(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}\n{value}".encode("utf-8", "surrogatepass")) >> 1
 
 
-def counted(html: str | None) -> dict[tuple[int, bool], int]:
-    """How often each token (its id, and whether it is text) occurs in a page; white space is no token."""
-    found: Counter = Counter()
-    for kind, value, _, _ in tokens(html):
-        if kind == "tag" or kind == "text" and not value.partition("\n")[2].isspace():
-            found[token_id(kind, value), kind == "text"] += 1
+def counted(html: str | None) -> dict[tuple[int, bool], tuple[int, int, bool]]:
+    """How often each token (its id, and whether it is text) occurs in a page, the element around it, and if an article is.
+
+    White space is no token. The page stands around the outermost elements.
+    """
+    found: dict[tuple[int, bool], tuple[int, int, bool]] = {}
+    ids: dict[str, int] = {"": PAGE}
+    for kind, value, _, inside in tokens(html):
+        path, _, text = value.partition("\n")
+        if kind == "tag":
+            key, around = (ids.setdefault(path, token_id("tag", path)), False), path.rpartition("/")[0]
+        elif kind == "text" and not text.isspace():
+            key, around = (token_id(kind, value), True), path
+        else:
+            continue
+        n = found[key][0] if key in found else 0
+        found[key] = (n + 1, ids.get(around, PAGE), inside)
     return found
 
 
 def main_text(html: str | None, constant: frozenset[int]) -> str:
     """The text in the template's slots: blocks in page order, joined by a space.
 
-    constant: ids of texts that are part of the host's template. Within the article,
-    if the page has one, every text is a slot's, also one that all pages have.
+    constant: ids of texts that are part of the host's template; in an article too they
+    are left out. If the page has an article with a slot that is not empty, its slots alone
+    are taken. Elements of another use, by their names, hold no main text.
     """
     blocks: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
     article = False
@@ -123,11 +135,10 @@ def main_text(html: str | None, constant: frozenset[int]) -> str:
             blocks[False].append([])
         elif kind == "text" and content:
             text = value.partition("\n")[2]
-            if inside:
-                article = article or not text.isspace()
-                blocks[True][-1].append(text)
-            elif not constant or token_id(kind, value) not in constant:
-                blocks[False][-1].append(text)
+            if constant and not text.isspace() and token_id(kind, value) in constant:
+                text = " "
+            article = article or inside and not text.isspace()
+            blocks[inside][-1].append(text)
     joined = (" ".join(entities.unescape("".join(b)).split()) for b in blocks[article])
     return " ".join(b for b in joined if b)
 
@@ -137,57 +148,70 @@ def host(url):
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """host, token, text, pages and vector of each token on two pages or more; token PAGE counts the pages with tokens.
+    """host, token, text, pages, vector, around and inside of each token on LEAST pages or more; token PAGE counts the pages with tokens.
 
     pages: host, page_id, html. Tokens of a host with the same vector, a digest of how
     often each of its pages has the token, are an equivalence class. Digests are sums,
-    so they are built within tasks first and no host's tokens meet in one task.
+    so they are built within tasks first and no host's tokens meet in one task. around is
+    the element that a token stands in. Of pages of one host with the same html only one
+    counts, as copies of a page are no evidence of its template.
     """
     small_batches(pages.sparkSession)
+    named = pages.withColumn("same", F.xxhash64("html"))
+    first = named.groupBy("host", "same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "same", "first")
+    copies = first.withColumnsRenamed({"host": "_h", "same": "_s"})
+    single = named.join(copies, (F.col("host") == F.col("_h")) & (F.col("same") == F.col("_s")) & (F.col("page_id") > F.col("first")), "left_anti").select("host", "page_id", "html")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [counted(h) for h in batch.column("html").to_pylist()]
-            made = [[{"token": t, "text": x, "n": n} for (t, x), n in [*c.items(), *([((PAGE, False), 1)] if c else [])]] for c in each]
-            kind = pa.list_(pa.struct([("token", pa.int64()), ("text", pa.bool_()), ("n", pa.int64())]))
+            made = [[{"token": t, "text": x, "n": n, "around": a, "inside": i} for (t, x), (n, a, i) in [*c.items(), *([((PAGE, False), (1, PAGE, False))] if c else [])]] for c in each]
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("text", pa.bool_()), ("n", pa.int64()), ("around", pa.int64()), ("inside", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page_id"), pa.array(made, kind)], ["host", "page_id", "found"])
 
-    each = pages.mapInArrow(of, "host long, page_id long, found array<struct<token:long,text:boolean,n:long>>").select("host", "page_id", F.explode("found").alias("x"))
+    each = single.mapInArrow(of, "host long, page_id long, found array<struct<token:long,text:boolean,n:long,around:long,inside:boolean>>").select("host", "page_id", F.explode("found").alias("x"))
     digest = F.xxhash64("page_id", "x.n")
     half = lambda h: F.sum(h.bitwiseAND(F.lit((1 << 32) - 1)))
-    found = each.groupBy("host", F.col("x.token").alias("token"), F.col("x.text").alias("text")).agg(F.count(F.lit(1)).alias("pages"), half(digest).alias("low"), half(F.shiftrightunsigned(digest, 32)).alias("high"))
-    return found.where("pages > 1").select("host", "token", "text", "pages", F.struct("low", "high").alias("vector"))
+    sums = [F.count(F.lit(1)).alias("pages"), half(digest).alias("low"), half(F.shiftrightunsigned(digest, 32)).alias("high"), F.min("x.around").alias("around"), F.bool_or("x.inside").alias("inside")]
+    found = each.groupBy("host", F.col("x.token").alias("token"), F.col("x.text").alias("text")).agg(*sums)
+    return found.where(F.col("pages") >= LEAST).select("host", "token", "text", "pages", F.struct("low", "high").alias("vector"), "around", "inside")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and constant, the ids of the texts that are part of the host's template.
-
-    A class is valid if it is on more than half of the host's pages that have tokens,
-    LEAST pages at least, and nests: by its path, a text stands within the elements of
-    the class around it, and some element is on as many pages. So an empty page, or a
-    page of another layout, does not undo the template of the others; a layout of half
-    the pages or fewer has no template of its own. A valid class's texts are constant
-    parts of the template; all other text of the pages stands in its slots.
+    """host and constant, the ids of the texts that are part of the host's template, for hosts that have any.
+
+    A class, the tokens of one vector, is valid if it nests: each of its tokens stands in
+    an element of the same class, or in one of an outer class on LEAST pages or more, of
+    which it is on more than half; but for elements that all begin in one outer element,
+    in whose slot the class lies. So a page of another kind does not undo the template,
+    and a layout of few pages has its own within what wraps it. Texts of valid classes are
+    constant; in an article they must be on more than half of all the host's pages with
+    tokens, as what a few articles share may be their text. All other text of the pages
+    stands in the template's slots.
     """
-    found = checkpoint(classes(pages).where(F.col("pages") >= LEAST).select("host", "token", "text", "pages"))
-    size = found.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all"))
-    most = found.where(F.col("token") != PAGE).join(size, "host").where(F.col("pages") * 2 > F.col("all"))
-    valid = most.groupBy("host").agg(F.max(F.when(~F.col("text"), F.col("pages"))).alias("outer"), F.collect_list(F.when(F.col("text"), F.struct("token", "pages"))).alias("texts"))
-    constant = F.transform(F.filter("texts", lambda x: x["pages"] <= F.col("outer")), lambda x: x["token"])
-    return valid.select("host", constant.alias("constant")).where("size(constant) > 0")
+    found = checkpoint(classes(pages))
+    outer = found.where("not text").select("host", F.col("token").alias("around"), F.col("pages").alias("all"))
+    size = found.where(F.col("token") == PAGE).select("host", F.col("pages").alias("size"))
+    each = found.join(outer, ["host", "around"])
+    apart = F.col("pages") * 2 <= F.col("all")
+    sides = [F.bool_or(apart & F.col("text")).alias("loose"), *[f(F.when(apart, F.col("around"))).alias(f.__name__) for f in (F.min, F.max)]]
+    valid = each.groupBy("host", "vector").agg(*sides).where("not loose and (min is null or min = max)").select("host", "vector")
+    texts = each.where("text").join(valid, ["host", "vector"]).join(size, "host").where("not inside or pages * 2 > size")
+    return texts.groupBy("host").agg(F.collect_list("token").alias("constant"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """row (pages' columns, as a struct) and text, the main text, for each row of pages.
 
     pages: page_id, url, html and any others. A null html counts as an empty one and
-    has no text. Without an article or main element, what is left of the page's body
-    once its other parts and the host's constant texts are gone is the text. A null
+    has no text. What the host's template has as constant text is gone everywhere; of
+    the slots, those in an article or main element are the text, in a page without one
+    all that no element of another use holds. A null
     url is a host of its own. Repeated rows count as pages of their own. An empty
     table gives an empty one. Pages are read whole.
     """
     plain = pages.select(F.xxhash64(host(F.col("url"))).alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    made = templates(plain)
+    made = checkpoint(templates(plain))
     some = made.limit(SENT + 1).select(F.size("constant").alias("n")).agg(F.sum("n")).first()[0] or 0
     rows = pages.select(F.struct("*").alias("row"), F.xxhash64(host(F.col("url"))).alias("_host"), F.col("html").cast("string").alias("_html"))
     if some:
