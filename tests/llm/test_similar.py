@@ -35,9 +35,8 @@ def test_groups_of_edited_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in similar_groups(docs).collect()}
     must = union(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8])
-    may = union(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.6])
-    assert sum(got[i] == must[i] for i in got) >= 0.98 * len(texts)
-    assert all(may[got[i]] == may[i] for i in got)
+    assert all(must[got[i]] == must[i] for i in got)  # no link below the similarity
+    assert sum(got[i] != must[i] for i in got) <= 1  # bands miss two pairs in a thousand
     assert {r["doc_id"] for r in deduplicated(docs).collect()} == set(got.values())
 
 
@@ -49,12 +48,20 @@ def test_signature():
 
 def test_odd_rows(odd, nothing):
     by = {r["doc_id"]: r["component_id"] for r in similar_groups(odd).collect()}
-    assert len(by) == 10 and by[1] == by[5] == 1 and by[2] == by[3] == by[4] == 2
+    assert len(by) == 10 and by[1] == by[5] == 1 and by[2] == by[3] == by[4] == 2 and by[None] is None
     assert deduplicated(odd).columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in deduplicated(odd).collect()) == sorted(map(str, {None, *by.values()} | {by[8]}))
+    assert sorted(str(r["doc_id"]) for r in deduplicated(odd).collect()) == sorted(map(str, {*by.values()}))
     assert similar_groups(nothing).collect() == [] and deduplicated(nothing).collect() == []
 
 
+def test_rows_of_one_id_and_rows_without(spark):
+    """Two texts of an id are two documents; rows without an id have groups, too; a repeated row stays once."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, three), (None, one + " more"), (3, None), (3, None)]
+    made = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, made)) == sorted(map(str, spark.createDataFrame([(1, one), (1, two), (None, three), (3, None)], "doc_id long, text string").collect()))
+
+
 def test_only_pairs_at_the_similarity_link(spark):
     """Pairs of a family of its own each, from 0.6 to 0.95: those at 0.8 and above are linked, no others."""
     rng = random.Random(3)

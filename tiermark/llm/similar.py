@@ -105,19 +105,16 @@ def _high(part: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id of the near-duplicates, for each row of docs.
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds _t and _u, two hashes of doc_id and text, by which a row is found again; null ids and texts have theirs."""
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return docs.withColumn("_t", F.xxhash64(*parts)).withColumn("_u", F.xxhash64(F.lit(1), *parts))
 
-    docs: doc_id, text; other columns do not matter. Texts whose sets of word shingles
-    have a Jaccard similarity of at least `similarity` are linked: those that share a
-    band, or a SimHash but for two bits, and whose sets, compared exactly, are that
-    similar. Pairs whose sizes or 256-bit SimHashes rule it out are not compared. Texts
-    with equal sets are one from the start, so large groups of copies make no pairs; a
-    large bucket is cut into tiles and each pair of tiles compared whole in a task, which
-    returns no more links than texts. Buckets of the same texts are compared once.
-    A null text counts as an empty one; texts without words are one
-    group. A null doc_id gets a component, the smallest doc_id that is not null. An
-    empty table gives an empty one.
+
+def marked(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, _t, _u, component_id and kept for each row of docs, as in similar_groups; kept: it is its group's first row.
+
+    A group's first row is the one of the smallest doc_id, null last, and hash.
     """
     small_batches(docs.sparkSession)
 
@@ -128,14 +125,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             made = [_signed(x, h) for x, h in zip(every, sets, strict=True)]
             numbers = [[*digest(h), len(h), *w] for h, (w, _) in zip(sets, made, strict=True)]
             columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(4 + WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", *same, *about, "bands"])
+            own = [batch.column(c) for c in ("doc_id", "_t", "_u")]
+            yield pa.RecordBatch.from_arrays([*own, *columns, pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", "_t", "_u", *same, *about, "bands"])
 
     same, names = ["d0", "d1"], [f"w{k}" for k in range(WIDE)]
     about = ["size", "fp", *names]
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = checkpoint(plain.mapInArrow(of, f"doc_id long, {', '.join(f'{n} long' for n in [*same, *about])}, bands array<long>"))
-    first = [F.min_by(n, "doc_id").alias(n) for n in [*about, "bands"]]
-    reps = checkpoint(each.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), *first))
+    plain = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    each = checkpoint(plain.select("doc_id", "_t", "_u", "text").mapInArrow(of, f"doc_id long, _t long, _u long, {', '.join(f'{n} long' for n in [*same, *about])}, bands array<long>"))
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t", "_u")
+    first = F.min_by(F.struct(*about, "bands"), lead)
+    # a node is a number of its own: an id may stand for several texts, and rows may have none
+    reps = each.groupBy(*same).agg(F.min(lead).alias("lead"), first.alias("x")).select(*same, "lead", *[f"x.{c}" for c in [*about, "bands"]])
+    reps = checkpoint(reps.withColumn("rep", F.monotonically_increasing_id()))
     cuts = [0, 16, 32, 48, 64]
     blocks = [F.xxhash64(F.lit(i), _key(F.col("fp"), c, cuts)) for i, c in enumerate(combinations(range(4), 2))]
     keys = reps.where("size > 0").select("rep", "d0", "size", F.explode(F.concat("bands", F.array(*blocks))).alias("key"))
@@ -150,28 +151,50 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-6
     likely = checkpoint(candidates.join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= most_bits(similarity))).select("a", "b"))
     needed = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).union(crowd.select("rep")).distinct()
-    sets = shingle_sets(plain, reps.select("rep", *same).join(needed, "rep"), width)
+    sets = shingle_sets(plain, reps.select("rep", "d0", "lead").join(needed, "rep").select("rep", "d0", "lead._t", "lead._u"), width)
     links = verified(likely, sets, similarity).union(crowd_links(crowd, sets, similarity))
     found = components(links)
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    return each.join(named, same, "left").select("doc_id", "component_id")
+    of_set = checkpoint(reps.join(found, F.col("rep") == F.col("node"), "left").select(*same, "lead", F.coalesce("component", "rep").alias("component")))
+    leads = of_set.groupBy("component").agg(F.min("lead").alias("first"))
+    named = of_set.join(leads, "component").select(*same, "first")
+    rows = each.join(named, same)
+    kept = (F.col("_t") == F.col("first._t")) & (F.col("_u") == F.col("first._u"))
+    return rows.select("doc_id", "_t", "_u", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of the near-duplicates, for each row of docs.
+
+    docs: doc_id, text; other columns do not matter. Texts whose sets of word shingles
+    have a Jaccard similarity of at least `similarity` are linked: those that share a
+    band, or a SimHash but for two bits, and whose sets, compared exactly, are that
+    similar. Pairs whose sizes or 256-bit SimHashes rule it out are not compared. Texts
+    with equal sets are one from the start, so large groups of copies make no pairs; a
+    large bucket is cut into tiles and each pair of tiles compared whole in a task, which
+    returns no more links than texts. Buckets of the same texts are compared once.
+    A null text counts as an empty one; texts without words are one group. A row without
+    a doc_id is in a group like any other; component_id is null if none of it has one.
+    Rows of one doc_id but of different texts are different documents. An empty table
+    gives an empty one.
+    """
+    return marked(docs, width, similarity).select("doc_id", "component_id")
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """rep, d0, d1 and hashes (the sorted hashes of its shingles) of each of reps, whose texts are made of docs again."""
+    """rep, d0 and hashes (the sorted hashes of its shingles) of each of reps, whose texts are made of docs again.
+
+    docs: text, _t, _u; reps: rep, d0, _t, _u.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(x, width)) for x in batch.column("text").to_pylist()]
-            names = [digest(h) for h in sets]
-            columns = [pa.array([n[k] for n in names], pa.int64()) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["rep", "d0", "d1", "hashes"])
+            sets = [np.unique(hashes(x, width)).view(np.int64) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("d0"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "d0", "hashes"])
 
     small_batches(docs.sparkSession)
-    some = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    made = some.mapInArrow(of, "rep long, d0 long, d1 long, hashes array<long>")
-    # a doc_id may stand for several texts, and only some of them be reps
-    return checkpoint(made.join(reps, ["rep", "d0", "d1"], "left_semi").dropDuplicates(["rep", "d0", "d1"]))
+    some = docs.join(reps, ["_t", "_u"]).select("rep", "d0", "text")
+    # rows that repeat an id and its text give the same set
+    return checkpoint(some.mapInArrow(of, "rep long, d0 long, hashes array<long>").dropDuplicates(["rep"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -243,9 +266,10 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of near-duplicates, that of the smallest doc_id.
 
-    Rows without a doc_id have no group and are all kept; of rows that repeat a
-    doc_id, one is kept. Columns are those of docs.
+    Rows are grouped as in similar_groups; of rows that repeat a doc_id and its text, one
+    is kept. Columns are those of docs.
     """
-    keep = similar_groups(docs, width, similarity).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where("doc_id is not null")
-    return rows.join(keep, rows["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    keep = marked(docs, width, similarity).where("kept").groupBy("_t", "_u").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_t": "_kt", "_u": "_ku"})
+    rows = _named(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).join(keep, (F.col("_t") == F.col("_kt")) & (F.col("_u") == F.col("_ku")))
+    once, more = rows.where("_n = 1").select("_row"), rows.where("_n > 1").dropDuplicates(["_t", "_u"]).select("_row")
+    return once.union(more).select("_row.*")
