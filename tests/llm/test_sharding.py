@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tiermark.llm.sharding import bits, op9, sharded, write_shards
+from tiermark.llm.sharding import LIMIT, bits, op9, sharded, write_shards
 
 
 def tree(items, limit, prefix=""):
@@ -51,5 +51,15 @@ def op9_like(documents):
 
 
 def test_query(spark, documents):
-    rows = op9(spark, "/root/testdata/sf0.001").collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in documents.collect())
+    for limit in (LIMIT, 5_000):
+        rows = op9(spark, "/root/testdata/sf0.001", limit).collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in documents.collect())
+        want = tree(keys(documents), limit)
+        assert {r["shard"]: (r["shard_bytes"], r["shard_rows"]) for r in rows} == want and all(len(r["shard"]) == r["depth"] for r in rows)
+        assert len(want) > 3
+
+
+def test_query_splits(spark):
+    """Dozens of shards at a scale factor of 0.01; none over the limit but for a row over it."""
+    rows = op9(spark, "/root/testdata/sf0.01").select("shard", "shard_bytes", "shard_rows").distinct().collect()
+    assert len(rows) > 12 and all(r["shard_bytes"] <= LIMIT or r["shard_rows"] == 1 for r in rows)

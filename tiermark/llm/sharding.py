@@ -11,6 +11,8 @@ from tiermark.llm.common import checkpoint
 BITS, ROUND = 62, 8
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
+#: Bytes of a shard in the query: small, so that a table of some megabytes has dozens.
+LIMIT = 128 << 10
 #: Shards whose directory is sent to all tasks, at most; beyond it, rows and shards are joined.
 SENT = 100_000
 
@@ -81,7 +83,7 @@ def write_shards(docs: DataFrame, path: str, limit: int) -> None:
     made.repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
+def op9(spark, sf_dir: str, limit: int = LIMIT) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = sharded(docs, 32 << 20)
+    made = sharded(docs, limit)
     return made.select("row.doc_id", "bytes", bits(F.col("prefix"), F.col("depth")).alias("shard"), F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_rows")
