@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from tiermark.llm.common import running_total
 from tiermark.llm.mixing import mixed, op10, taken
 
 
@@ -74,3 +75,20 @@ def test_odd_rows(odd, nothing):
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
     assert mixed(odd).columns == odd.columns and mixed(odd).count() > 0
     assert taken(nothing).collect() == [] and mixed(nothing).collect() == []
+
+
+def test_running_totals_in_levels(spark):
+    """Nested sums, and many repeats of one row."""
+    df = spark.range(3000).selectExpr("id % 3 g", "xxhash64(id) & 4611686018427387903 k", "id % 7 + 1 v")
+    got = {(r["g"], r["k"]): r["t"] for r in running_total(df, "g", "k", "v", "t", per_part=5, whole=4).collect()}
+    want, sums = {}, defaultdict(int)
+    for r in sorted(df.collect(), key=lambda r: r["k"]):
+        want[r["g"], r["k"]] = sums[r["g"]]
+        sums[r["g"]] += r["v"]
+    assert got == want
+    docs = spark.createDataFrame([(i if i < 300 else 7, f"some words of {i if i < 300 else 7}" + " and more" * 9, "ab"[i % 2] if i < 300 else "a") for i in range(2300)], "doc_id long, text string, source string")
+    rows = taken(docs).collect()
+    assert len(rows) == 2300 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    for s in {r["source_size"] for r in rows}:
+        some = [r for r in rows if r["source_size"] == s]
+        assert sum(r["size"] for r in some) == s and abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 0.02 * some[0]["target"] + 2048

@@ -62,13 +62,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def running_total(df: DataFrame, group: str, key: str, value: str, out: str, per_part: int = 500) -> DataFrame:
+def running_total(df: DataFrame, group: str, key: str, value: str, out: str, per_part: int = 500, whole: int = 100_000) -> DataFrame:
     """Adds out: the sum of value over the group's rows with a smaller key.
 
     key is a non-negative long that spreads evenly and, within the group, is unique.
     A group is cut into parts by the leading digits of its keys, about per_part rows
-    each, so that one group's rows are never all in one task: only the parts' sums
-    are, one row for per_part rows of input. df is computed twice.
+    each, so that one group's rows are never all in one task. What precedes a part is a
+    running total of the parts' sums, found the same way while there are more than
+    `whole` of them. df is computed twice.
     """
     from pyspark.sql import Window
 
@@ -76,10 +77,20 @@ def running_total(df: DataFrame, group: str, key: str, value: str, out: str, per
     parts = max(1, -(-stats["n"] // per_part))
     width = max(1, -(-((stats["top"] or 0) + 1) // parts))
     cut = df.withColumn("_part", F.expr(f"`{key}` div {width}"))
-    sums = cut.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    sums = cut.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum"))
+    if parts > whole:
+        sums = running_total(checkpoint(sums), "_group", "_p", "_sum", "_base", per_part, whole)
+    else:
+        before = Window.partitionBy("_group").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     within = Window.partitionBy(group, "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("_run", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = cut.join(sums, cut[group].eqNullSafe(sums["_group"]) & (cut["_part"] == sums["_p"]), "inner")
-    return joined.withColumn(out, F.col("_base") + F.col("_run")).drop("_part", "_group", "_p", "_base", "_run")
+    sums = sums.select(F.col("_group").alias("_g"), F.col("_p").alias("_at"), F.col("_base").alias("_before"))
+    joined = cut.join(sums, cut[group].eqNullSafe(sums["_g"]) & (cut["_part"] == sums["_at"]), "inner")
+    return joined.withColumn(out, F.col("_before") + F.col("_run")).drop("_part", "_g", "_at", "_before", "_run")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -80,8 +80,11 @@ def taken(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) ->
     sources = checkpoint(targets(sized, weights, cap))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"source_size div {BLOCKS}"))).cast("long")
     named = checkpoint(sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "key", "size", "sid", "source_size", "target", block.alias("block_words")))
-    placed = running_total(named.where("size > 0"), "sid", "key", "size", "at")
     columns = ["doc_id", "key", "size", "source_size", "target"]
+    # repeats of a row share a key: they are placed together, then each by itself
+    alike = named.where("size > 0").groupBy(*columns, "sid", "block_words").agg(F.count(F.lit(1)).alias("copies")).withColumn("all", F.col("size") * F.col("copies"))
+    placed = running_total(alike, "sid", "key", "all", "base")
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("at", F.col("base") + F.col("copy") * F.col("size"))
     parts = placed.select(*columns, "sid", "at", "block_words", F.explode(F.expr("sequence(at div block_words, (at + size - 1) div block_words)")).alias("block"))
     inside = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("at", F.col("block") * F.col("block_words"))
     both = parts.withColumn("inside", inside).join(scheduled(sources, cap), ["sid", "block"], "left")
