@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tiermark.llm import bpe, mixing, quality, secrets, similar
-from tiermark.llm.common import use_checkpoints
+from tiermark.llm.common import remove, use_checkpoints
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's rows are written to the shared folder and read again."""
+    """The stages over documents; each one's rows are written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one's are written; the last stage reads what
+    the one before it wrote when its rows are asked for.
+    """
     use_checkpoints(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -59,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{shared}/{i}")
             docs = spark.read.parquet(f"{shared}/{i}")
+        if 0 < i < len(STAGES) - 1:
+            remove(spark, f"{shared}/{i - 1}")
     return docs
