@@ -42,3 +42,10 @@ def reasons(conditions: Mapping[str, Column]) -> Column:
 def replace_if_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     """new if it has a row, else old."""
     return old if new.isEmpty() else new
+
+
+def at_least(df: DataFrame, key: str, floor: int) -> DataFrame:
+    """df, or an error when it is read, if it has fewer than floor different keys."""
+    n = df.agg(F.count_distinct(key).alias("_n"))
+    fine = F.when(F.col("_n") >= floor, True).otherwise(F.raise_error(F.format_string(f"%d different {key}, {floor} needed", "_n")))
+    return df.crossJoin(F.broadcast(n)).where(fine).drop("_n")  # with one row

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,31 @@ INSULIN = 35
 STANDARD = 25
 
 
+def known(terms: DataFrame) -> DataFrame:
+    """Rows whose cost can be told: those with a price or a flat amount, and those whose copay needs neither price nor deductible."""
+    return terms.where("price is not null or flat is not null or (cost_type <> 2 and not ded_applies)")
+
+
+def parameters(overrides: DataFrame | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """year, cap and standard (dollars): the fixed ones, but for what a table of overrides (year, cap, standard) has."""
+    spark = spark or overrides.sparkSession
+    fixed = spark.createDataFrame([(y, c, s) for y, (c, s) in sorted(PARAMETERS.items())], "year int, cap int, standard int")
+    if overrides is None:
+        return fixed
+    own = overrides.select(F.col("year").cast("int").alias("year"), F.col("cap").cast("int").alias("_cap"), F.col("standard").cast("int").alias("_standard"))
+    return fixed.join(own, "year", "full").select("year", F.coalesce("_cap", "cap").alias("cap"), F.coalesce("_standard", "standard").alias("standard"))
+
+
+def rule_of(tier_cost: DataFrame) -> DataFrame:
+    """plan and rule: gross where a tier of the first level and one month's supply has no deductible, else classic.
+
+    tier_cost: plan, level, months, ded_applies.
+    """
+    first = F.col("level").cast("string").eqNullSafe("1") & (F.col("months") == 1)
+    free = F.coalesce(F.bool_or(first & ~F.col("ded_applies")), F.lit(False))
+    return tier_cost.groupBy("plan").agg(F.when(free, "gross").otherwise("classic").alias("rule"))
+
+
 def post(price: Column, cost_type: Column, cost_amt: Column) -> Column:
     """What is paid after the deductible: nothing, a share of the price, or a copay up to the price.
 
@@ -99,9 +124,15 @@ def group_year(costs: DataFrame, groups: Sequence[str], cap: int) -> DataFrame:
 
 
 def change_points(monthly: DataFrame, groups: Sequence[str], least: int) -> DataFrame:
-    """The months whose cost differs by more than least from the month before, and the first."""
-    last = F.lag("cost").over(Window.partitionBy(*groups).orderBy("month"))
-    return monthly.withColumn("_last", last).where(F.col("_last").isNull() | (F.abs(F.col("cost") - F.col("_last")) > least)).drop("_last")
+    """The first month, and each whose cost differs by more than least from that of the last such month.
+
+    A fold over a group's months, which are twelve.
+    """
+    rows = monthly.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("month", "cost"))).alias("_all"))
+    kind = rows.schema["_all"].dataType
+    differs = lambda kept, x: F.coalesce(F.abs(F.element_at(kept, -1)["cost"] - x["cost"]) > least, F.lit(True))
+    kept = F.aggregate(F.slice("_all", 2, 12), F.slice("_all", 1, 1).cast(kind), lambda kept, x: F.when(differs(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return rows.select(*groups, F.explode(kept).alias("_x")).select(*groups, "_x.month", "_x.cost")
 
 
 def spans(changes: DataFrame, groups: Sequence[str], last: int) -> DataFrame:
@@ -110,6 +141,14 @@ def spans(changes: DataFrame, groups: Sequence[str], last: int) -> DataFrame:
     return changes.withColumn("last_month", F.coalesce(until, F.lit(last)).cast("int")).withColumnRenamed("month", "first_month")
 
 
+def ramp(changes: DataFrame, typical: DataFrame, groups: Sequence[str], last: int, near: int) -> DataFrame:
+    """The spans before the first month that costs what is typical, to within near; typical: groups, typical."""
+    both = spans(changes, groups, last).join(typical, list(groups))
+    usual = F.abs(F.col("cost") - F.col("typical")) <= near
+    start = F.min(F.when(usual, F.col("first_month"))).over(Window.partitionBy(*groups))
+    return both.withColumn("_start", start).where(F.col("first_month") < F.col("_start")).drop("_start", "typical")
+
+
 def typical_month(monthly: DataFrame, groups: Sequence[str]) -> DataFrame:
     """The most frequent cost that is not zero; of equals, that of the later month."""
     counted = monthly.where("cost > 0").groupBy(*groups, "cost").agg(F.count(F.lit(1)).alias("n"), F.max("month").alias("last"))

@@ -20,74 +20,6 @@ def statuses(t: Tables) -> DataFrame:
     return t.terms.select("client", "plan", "drug", status().alias("status"))
 
 
-@query("c15_contained_pattern", """with pats as (select distinct p_name as pat from part where p_partkey % 3 = 0), texts as (select o_orderkey, string_agg(p_name, ' ' order by l_linenumber) as txt from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey where l_linenumber <= 2 group by o_orderkey)
-    select o_orderkey, arg_max(pat, (length(pat), pat)) as found from texts join pats on contains(' ' || txt || ' ', ' ' || pat || ' ') group by o_orderkey""")
-def c15(t: Tables) -> DataFrame:
-    """The longest pattern that a text contains, by joining its runs of words."""
-    names = t.read("part").select("p_partkey", "p_name")
-    pats = names.where("p_partkey % 3 = 0").select(F.col("p_name").alias("pat")).distinct()
-    lines = t.read("lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_linenumber").join(names, F.col("l_partkey") == F.col("p_partkey"))
-    texts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name")))["p_name"], " ").alias("txt"))
-    return contained(texts, "txt", pats, "pat", 3).groupBy("o_orderkey").agg(F.max_by("pat", F.struct(F.length("pat"), "pat")).alias("found"))
-
-
-def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, most: int) -> DataFrame:
-    """texts with each pattern, of `most` words at most, that they contain as words."""
-    words = F.split(text, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    return texts.withColumn(pattern, F.explode(F.array_distinct(runs))).join(patterns, pattern)
-
-
-@query("c16_doctor_directory", """with dir as (select c_custkey as id, split_part(c_name, '#', 1) || (c_custkey % 200) as last, chr(65 + (c_custkey % 5)::int) as first, c_nationkey as city, c_custkey % 2 = 0 as accepting from customer), docs as (select s_suppkey as doctor, 'CUSTOMER' || (s_suppkey % 200) as last, chr(65 + (s_suppkey % 5)::int) as first, s_nationkey as city from supplier)
-    select doctor, id from (select d.doctor, r.id, row_number() over (partition by d.doctor order by (r.city <> d.city)::int, (not r.accepting)::int, r.id) as rn from docs d join dir r on lower(d.last) = lower(r.last) and d.first = r.first) where rn = 1""")
-def c16(t: Tables) -> DataFrame:
-    letter = lambda k: F.char(65 + k % 5)
-    k = F.col("c_custkey")
-    entries = t.read("customer").select(k.alias("id"), F.lower(F.concat(F.substring_index("c_name", "#", 1), (k % 200).cast("string"))).alias("last"), letter(k).alias("first"), F.col("c_nationkey").alias("city"), (k % 2 == 0).alias("accepting"))
-    s = F.col("s_suppkey")
-    doctors = t.read("supplier").select(s.alias("doctor"), F.lower(F.concat(F.lit("CUSTOMER"), (s % 200).cast("string"))).alias("last"), letter(s).alias("first"), F.col("s_nationkey").alias("home"))
-    both = doctors.join(entries, ["last", "first"])
-    return rows.first_by(both, ["doctor"], [(F.col("city") != F.col("home")).alias("a"), (~F.col("accepting")).alias("b"), F.col("id")], ["id"])
-
-
-PRECEDENCE = {"purchase": 0, "signup": 1, "view": 2, "click": 3, "error": 4}
-
-
-@query("c17_precedence", """select entity, source, amount from (select entity, source, amount, row_number() over (partition by entity order by case source when 'purchase' then 0 when 'signup' then 1 when 'view' then 2 when 'click' then 3 else 4 end, ts desc, event_id desc) as rn from evidence) where rn = 1""")
-def c17(t: Tables) -> DataFrame:
-    """The status by its most trusted source, the newest of that."""
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]), F.col("source"))
-    best = F.max_by(F.struct("source", "amount"), F.struct(-rank, "ts", "event_id"))
-    return t.evidence.groupBy("entity").agg(best.alias("x")).select("entity", "x.source", "x.amount")
-
-
-@query("c20_fuzzy_request", """with asked as (select c_custkey as id, c_nationkey as family, c_custkey % 3 as kind, (c_custkey * 7 % 100 + 1) as plan from customer), scored as (select a.id, p.plan, (p.family = a.family)::int * 10 + (p.plan % 3 = a.kind)::int * 8 + (p.plan = a.plan)::int * 3 as score from asked a join plans p on p.family = a.family or p.plan = a.plan)
-    select id, plan, score from (select *, row_number() over (partition by id order by score desc, plan) as rn from scored) where rn = 1 and score >= 8""")
-def c20(t: Tables) -> DataFrame:
-    """The plan that a request means: scores need a shared family or number, so only those are joined."""
-    k = F.col("c_custkey")
-    asked = t.read("customer").select(k.alias("id"), F.col("c_nationkey").alias("fam"), (k % 3).alias("kind"), (k * 7 % 100 + 1).alias("want"))
-    by_family = asked.join(t.plans.select("plan", "family"), F.col("fam") == F.col("family"))
-    by_number = asked.join(t.plans.select("plan", "family"), F.col("want") == F.col("plan"))
-    cand = by_family.union(by_number).distinct()
-    score = F.when(F.col("family") == F.col("fam"), 10).otherwise(0) + F.when(F.col("plan") % 3 == F.col("kind"), 8).otherwise(0) + F.when(F.col("plan") == F.col("want"), 3).otherwise(0)
-    best = F.max_by(F.struct("plan", "score"), F.struct("score", -F.col("plan")))
-    return cand.withColumn("score", score).groupBy("id").agg(best.alias("x")).select("id", "x.plan", "x.score").where("score >= 8")
-
-
-@query("d10_complete_store", """with sells as (select t.client, t.plan, t.drug, s.npi, t.price + s.npi % 100 as price from terms t join stores s on (s.npi * 7 + t.drug) % 3 <> 0 and s.npi <= 20 where t.price is not null), have as (select client, plan, npi, count(distinct drug) as n, sum(price)::bigint as total from sells group by client, plan, npi), want as (select client, plan, count(distinct drug) as n from terms where price is not null group by client, plan)
-    select h.client, h.plan, arg_min(npi, (total, npi)) as npi, min(total) as total from have h join want w on h.client = w.client and h.plan = w.plan and h.n = w.n group by h.client, h.plan""")
-def d10(t: Tables) -> DataFrame:
-    """The cheapest store that has every priced drug."""
-    priced = t.terms.where("price is not null").select("client", "plan", "drug", "price")
-    few = t.stores.where("npi <= 20").select("npi", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r")).where("(npi * 7 + r) % 3 <> 0")
-    sells = priced.withColumn("r", (F.col("drug") % 3).cast("int")).join(few, "r").select("client", "plan", "drug", "npi", (F.col("price") + F.col("npi") % 100).alias("cost"))
-    have = sells.groupBy("client", "plan", "npi").agg(F.count_distinct("drug").alias("have"), F.sum("cost").alias("total"))
-    want = priced.groupBy("client", "plan").agg(F.count_distinct("drug").alias("want"))
-    full = have.join(want, ["client", "plan"]).where("have = want")
-    return rows.first_by(full, ["client", "plan"], ["total", "npi"], ["npi", "total"])
-
-
 @query("d12_status_counts", f"with {STATUS_SQL} select plan, count(case when status = 'covered' then 1 end) as covered, count(case when status = 'insulin' then 1 end) as insulin, count(case when status = 'not covered' then 1 end) as not_covered, count(case when status = 'not on list' then 1 end) as not_on_list from st group by plan")
 def d12(t: Tables) -> DataFrame:
     names = ["covered", "insulin", "not covered", "not on list"]
@@ -95,16 +27,6 @@ def d12(t: Tables) -> DataFrame:
     return wide.select("plan", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n.replace(" ", "_")) for n in names])
 
 
-@query("d14_grouped_warnings", f"""with {STATUS_SQL}, n as (select client, count(distinct plan) as n from st group by client)
-    select st.client, drug, case when count(*) = max(n.n) and max(n.n) > 1 then 'all ' || max(n.n) || ' plans' else string_agg(plan::varchar, ', ' order by plan) end as said from st join n on n.client = st.client where status = 'not covered' group by st.client, drug""")
-def d14(t: Tables) -> DataFrame:
-    st = statuses(t)
-    n = st.groupBy("client").agg(F.count_distinct("plan").alias("n"))
-    grouped = st.where("status = 'not covered'").groupBy("client", "drug").agg(F.sort_array(F.collect_list("plan")).alias("plans"))
-    listed = F.array_join(F.transform("plans", lambda p: p.cast("string")), ", ")
-    return grouped.join(n, "client").select("client", "drug", F.when((F.size("plans") == F.col("n")) & (F.col("n") > 1), F.format_string("all %d plans", "n")).otherwise(listed).alias("said"))
-
-
 @query("d15_all_unchecked", "select entity, bool_and(source <> 'purchase') as unchecked, count(*) as n from evidence group by entity")
 def d15(t: Tables) -> DataFrame:
     return t.evidence.groupBy("entity").agg(F.bool_and(F.col("source") != "purchase").alias("unchecked"), F.count(F.lit(1)).alias("n"))
@@ -118,26 +40,12 @@ def paired(t: Tables) -> DataFrame:
     return t.read("lineitem").select("l_orderkey", "l_linenumber", ours.alias("ours"), (ours + F.col("l_orderkey") * 37 % 4001 - 2000).alias("theirs"), (F.col("l_quantity") < 3).alias("odd_qty"), (F.col("l_tax") > 0.07).alias("taxed"))
 
 
-@query("d16_error_bands", f"with {PAIRED}, b as (select case when abs(ours - theirs) <= 100 then 'match' when abs(ours - theirs) <= 500 then 'near' when abs(ours - theirs) <= 1500 then 'off' else 'far' end as band from paired) select band, count(*) as n, (count(*) * 10000 // (select count(*) from b))::bigint as share from b group by band")
-def d16(t: Tables) -> DataFrame:
-    counted = quality.bands(paired(t), F.abs(F.col("ours") - F.col("theirs")), [(100, "match"), (500, "near"), (1500, "off")], "far")
-    total = Window.partitionBy(F.lit(1))
-    return counted.withColumn("all", F.sum("n").over(total)).select("band", "n", F.expr("n * 10000 div all").alias("share"))
-
-
 @query("d17_distinct_counts", "select plan, count(distinct county) as counties, count(distinct segment_id) as segments from service_area group by plan having count(distinct county) > 6")
 def d17(t: Tables) -> DataFrame:
     made = t.service_area.groupBy("plan").agg(F.count_distinct("county").alias("counties"), F.count_distinct("segment_id").alias("segments"))
     return made.where("counties > 6")
 
 
-@query("d18_tier_grid", """select drug_name, coalesce(min(case when form = 'STANDARD' then tier end)::varchar, '-') as standard, coalesce(min(case when form = 'SMALL' then tier end)::varchar, '-') as small, coalesce(min(case when form = 'PROMO' then tier end)::varchar, '-') as promo from products group by drug_name""")
-def d18(t: Tables) -> DataFrame:
-    forms = ["STANDARD", "SMALL", "PROMO"]
-    grid = t.products.groupBy("drug_name").pivot("form", forms).agg(F.min("tier"))
-    return grid.select("drug_name", *[F.coalesce(F.col(f).cast("string"), F.lit("-")).alias(f.lower()) for f in forms])
-
-
 @query("d19_buckets", f"with {STATUS_SQL} select client, plan, count(case when status in ('covered', 'insulin') then 1 end) as covered, coalesce(string_agg(case when status = 'not covered' then drug::varchar end, ',' order by drug), '') as missing, count(case when status in ('not on list', 'flat only') then 1 end) as unverified from st group by client, plan")
 def d19(t: Tables) -> DataFrame:
     s = F.col("status")
@@ -146,15 +54,6 @@ def d19(t: Tables) -> DataFrame:
     return made.select("client", "plan", "covered", F.array_join(F.transform("m", lambda d: d.cast("string")), ",").alias("missing"), "unverified")
 
 
-@query("d20_system_presence", """with sys as (select n_nationkey as system from nation), dir as (select s_nationkey as system, s_suppkey % 30 as town from supplier where s_suppkey % 2 = 0)
-    select s.system, count(d.town) as places, array_to_string(list_slice(list_sort(list(distinct d.town)), 1, 4), ',') as towns, case when count(d.town) > 0 then 'in' else 'verify' end as status from sys s left join dir d on s.system = d.system group by s.system""")
-def d20(t: Tables) -> DataFrame:
-    places = t.read("supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("system")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.col("s_suppkey") % 30)), 1, 4).alias("t"))
-    both = t.read("nation").select(F.col("n_nationkey").alias("system")).join(places, "system", "left")
-    towns = F.array_join(F.transform("t", lambda x: x.cast("string")), ",")
-    return both.select("system", F.coalesce("n", F.lit(0)).cast("long").alias("places"), towns.alias("towns"), F.when(F.col("n") > 0, "in").otherwise("verify").alias("status"))
-
-
 @query("f1_sorted_plans", "select county, plan, row_number() over (partition by county order by (plan_type <> 'MA')::int, family, plan_name, plan) as place from service_area")
 def f1(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("county").orderBy(F.col("plan_type") != "MA", "family", "plan_name", "plan"))
@@ -204,13 +103,6 @@ def g2(t: Tables) -> DataFrame:
     return a.join(b, "plan", "full").select("plan", change.alias("change"))
 
 
-@query("g3_county_deltas", "with a as (select county, count(*) as n from service_area where plan % 2 = 0 group by county), b as (select county, count(*) as n from service_area where plan % 2 = 1 and county % 3 <> 0 group by county) select coalesce(a.county, b.county) as county, coalesce(b.n, 0) - coalesce(a.n, 0) as delta, b.county is null as missing from a full outer join b on a.county = b.county")
-def g3(t: Tables) -> DataFrame:
-    a = t.service_area.where("plan % 2 = 0").groupBy("county").agg(F.count(F.lit(1)).alias("a"))
-    b = t.service_area.where("plan % 2 = 1 and county % 3 <> 0").groupBy("county").agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, "county", "full").select("county", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"), F.col("b").isNull().alias("missing"))
-
-
 @query("g4_list_overlap", """with a as (select drug, tier from products where drug % 5 <> 0), b as (select drug, case when drug % 9 = 0 then 1 else tier end as tier from products where drug % 4 <> 0)
     select count(a.drug) as left_size, count(b.drug) as right_size, count(case when a.drug = b.drug then 1 end) as both, count(case when a.tier = b.tier then 1 end) as same_tier from a full outer join b on a.drug = b.drug""")
 def g4(t: Tables) -> DataFrame:
@@ -263,41 +155,12 @@ def q6(t: Tables) -> DataFrame:
     return quality.replace_if_rows(kept, t.plans.where("plan_type = 'MA'").select("plan", "premium"))
 
 
-@query("u1_column_hooks", "select npi, chain from stores where chain <> 'chain3' and preferred")
-def u1(t: Tables) -> DataFrame:
-    """A search that takes functions of columns for what to show."""
-    def search(df: DataFrame, only) -> DataFrame:
-        return df.where(only(df)).select("npi", "chain")
-
-    return search(t.stores, lambda s: (s["chain"] != "chain3") & s["preferred"])
-
-
-@query("u2_strategy", "select plan, case when plan % 2 = 0 then family % 3 else premium % 5 end as fit from plans")
-def u2(t: Tables) -> DataFrame:
-    strategies = {"by family": lambda p: p["family"] % 3, "by premium": lambda p: p["premium"] % 5}
-    return t.plans.select("plan", F.when(F.col("plan") % 2 == 0, strategies["by family"](t.plans)).otherwise(strategies["by premium"](t.plans)).cast("long").alias("fit"))
-
-
-@query("u3_switches", "select county, plan, rank from (select county, plan, row_number() over (partition by county order by case when county % 2 = 0 then premium else deductible end, plan) as rank from service_area) where rank <= 3")
-def u3(t: Tables) -> DataFrame:
-    key = F.when(F.col("county") % 2 == 0, F.col("premium")).otherwise(F.col("deductible"))
-    rank = F.row_number().over(Window.partitionBy("county").orderBy(key, "plan"))
-    return t.service_area.select("county", "plan", rank.alias("rank")).where("rank <= 3")
-
-
 @query("y1_terms", "select client, plan, drug, price, case when tier >= 3 then fee + 25 else fee end as fee, case when flat is not null then 'flat' when price is null then 'unknown' else 'priced' end as kind from terms")
 def y1(t: Tables) -> DataFrame:
     kind = F.when(F.col("flat").isNotNull(), "flat").when(F.col("price").isNull(), "unknown").otherwise("priced")
     return t.terms.select("client", "plan", "drug", "price", F.when(F.col("tier") >= 3, F.col("fee") + 25).otherwise(F.col("fee")).alias("fee"), kind.alias("kind"))
 
 
-@query("y2_insulin_month", "select client, plan, drug, least(3500, case when cost_type = 1 then cost_amt end, case when cost_type = 2 then price * cost_amt // 100 end, price)::bigint as month_cost from terms where flat is not null")
-def y2(t: Tables) -> DataFrame:
-    copay = F.when(F.col("cost_type") == 1, F.col("cost_amt"))
-    share = F.when(F.col("cost_type") == 2, F.expr("price * cost_amt div 100"))
-    return t.terms.where("flat is not null").select("client", "plan", "drug", F.least(F.lit(3500), copay, share, F.col("price")).cast("long").alias("month_cost"))
-
-
 @query("y3_mail_terms", "select client, plan, drug, price // 3 as price, case when cost_type = 1 then cost_amt // 3 else cost_amt end as cost_amt, (plan + tier) % 4 <> 0 as offered from terms")
 def y3(t: Tables) -> DataFrame:
     return t.terms.select("client", "plan", "drug", F.expr("price div 3").alias("price"), F.expr("case when cost_type = 1 then cost_amt div 3 else cost_amt end").alias("cost_amt"), ((F.col("plan") + F.col("tier")) % 4 != 0).alias("offered"))

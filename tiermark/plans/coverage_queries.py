@@ -22,12 +22,6 @@ def near(t: Tables) -> DataFrame:
     return found.withColumn("tenths", F.floor(F.col("distance") * 10).cast("long"))
 
 
-@query("c1_plans_in_county", """select county, plan, arg_min(plan_name, (premium, segment_id)) as plan_name, min(premium) as premium, arg_min(segment_id, (premium, segment_id)) as segment_id from service_area group by county, plan""")
-def c1(t: Tables) -> DataFrame:
-    best = F.min_by(F.struct("plan_name", "premium", "segment_id"), F.struct("premium", "segment_id"))
-    return t.service_area.groupBy("county", "plan").agg(best.alias("x")).select("county", "plan", "x.plan_name", "x.premium", "x.segment_id")
-
-
 @query("c2_our_rows", "select l_orderkey, l_linenumber, l_suppkey from lineitem where l_suppkey in (select plan from plans where plan_type = 'PD')")
 def c2(t: Tables) -> DataFrame:
     ours = t.plans.where("plan_type = 'PD'").select(F.col("plan").alias("l_suppkey"))
@@ -41,17 +35,6 @@ def c3(t: Tables) -> DataFrame:
     return rows.replaced(of("A", "hand"), of("R", "published"), ["plan"])
 
 
-@query("c4_source_routing", """select p.plan, coalesce(same.plan, alike.plan) as source_plan, case when same.plan is not null then 'same' when alike.plan is not null then 'analogue' else 'none' end as how
-    from plans p left join (select plan from plans where plan % 3 = 0) same on same.plan = p.plan left join (select plan from plans where plan % 3 = 0 and plan % 2 = 0) alike on alike.plan = p.plan - 1""")
-def c4(t: Tables) -> DataFrame:
-    last = t.plans.where("plan % 3 = 0")
-    same = last.select(F.col("plan").alias("same"))
-    alike = last.where("plan % 2 = 0").select(F.col("plan").alias("alike"))
-    both = t.plans.select("plan").join(same, F.col("plan") == F.col("same"), "left").join(alike, F.col("plan") - 1 == F.col("alike"), "left")
-    how = F.when(F.col("same").isNotNull(), "same").when(F.col("alike").isNotNull(), "analogue").otherwise("none")
-    return both.select("plan", F.coalesce("same", "alike").alias("source_plan"), how.alias("how"))
-
-
 @query("c5_price_pools", "select p.brand, c.qty, count(*) as n, sum(c.retail)::bigint as total, min(c.retail) as least from captures c join products p on c.drug = p.drug group by p.brand, c.qty")
 def c5(t: Tables) -> DataFrame:
     both = t.captures.join(t.products.select("drug", "brand"), "drug")
@@ -119,18 +102,6 @@ def c11(t: Tables) -> DataFrame:
 ZIPS_SQL = "zips as (select distinct zip::int as zip, county from clients where client % 5 <> 0)"
 
 
-@query("c12_zip_county", f"""with {ZIPS_SQL}, near_by as (select c.client, z.county, z.zip - c.zip::int as delta from clients c join zips z on z.zip between c.zip::int - 3 and c.zip::int + 3),
-    ranked as (select client, county, delta, row_number() over (partition by client order by abs(delta) * 2 - (delta > 0)::int, county) as rn from near_by)
-    select c.client, r.county as found, case when r.delta is null then 'none' when r.delta = 0 then 'exact' else 'nearby' end as method from clients c left join (select * from ranked where rn = 1) r on c.client = r.client""")
-def c12(t: Tables) -> DataFrame:
-    """A ZIP's county; of an unknown ZIP, that of the nearest within three."""
-    zips = t.clients.where("client % 5 <> 0").select(F.col("zip").cast("int").alias("z"), "county").distinct().groupBy("z").agg(F.min("county").alias("found"))
-    tries = t.clients.select("client", F.explode(F.array(*[F.struct(F.lit(2 * abs(d) - (d > 0)).alias("rank"), F.lit(d).alias("delta"), (F.col("zip").cast("int") + d).alias("z")) for d in (0, 1, -1, 2, -2, 3, -3)])).alias("p")).select("client", "p.*")
-    best = tries.join(zips, "z", "left").groupBy("client").agg(F.min(F.when(F.col("found").isNotNull(), F.struct("rank", "delta", "found"))).alias("b"))
-    method = F.when(F.col("b").isNull(), "none").when(F.col("b.delta") == 0, "exact").otherwise("nearby")
-    return best.select("client", F.col("b.found").alias("found"), method.alias("method"))
-
-
 @query("c13_counties_of_plan", "select plan, count(distinct county) as counties, array_to_string(list_sort(list(distinct county)), ',') as sold_in, bool_or(county = 3) as in_three from service_area group by plan")
 def c13(t: Tables) -> DataFrame:
     made = t.service_area.groupBy("plan").agg(F.sort_array(F.collect_set("county")).alias("c"))
@@ -179,25 +150,6 @@ def d2(t: Tables) -> DataFrame:
     return t.plans.select("plan", F.concat(F.col("family").cast("string"), F.when(n > 1, F.format_string(" ($%d)", "premium")).otherwise("")).alias("label"))
 
 
-@query("d3_land_share", """with area as (select c_custkey % 900 as zip, c_nationkey as county, sum(abs(cast(round(c_acctbal * 100) as bigint)))::bigint as area from customer group by 1, 2)
-    select zip, county, area, (area * 1000 // greatest(1, sum(area) over (partition by zip)))::bigint as share, row_number() over (partition by zip order by area desc, county) = 1 as is_primary from area""")
-def d3(t: Tables) -> DataFrame:
-    area = t.read("customer").groupBy((F.col("c_custkey") % 900).alias("zip"), F.col("c_nationkey").alias("county")).agg(F.sum(F.abs(F.round(F.col("c_acctbal") * 100).cast("long"))).alias("area"))
-    w = Window.partitionBy("zip")
-    rows_ = area.withColumn("all", F.greatest(F.lit(1), F.sum("area").over(w))).withColumn("rn", F.row_number().over(w.orderBy(F.desc("area"), "county")))
-    return rows_.select("zip", "county", "area", F.expr("area * 1000 div all").alias("share"), (F.col("rn") == 1).alias("is_primary"))
-
-
-@query("d4_medians", """with m as (select plan, drug, median(retail // qty) as med, count(*) as n from captures group by plan, drug), s as (select drug, median(retail // qty) as med from captures group by drug)
-    select m.plan, m.drug, (case when n >= 2 then m.med else s.med end)::double as price, case when n >= 2 then 'plan' else 'state' end as source from m join s on m.drug = s.drug""")
-def d4(t: Tables) -> DataFrame:
-    unit = t.captures.withColumn("unit", F.expr("retail div qty"))
-    own = unit.groupBy("plan", "drug").agg(F.median("unit").alias("own"), F.count(F.lit(1)).alias("n"))
-    wide = unit.groupBy("drug").agg(F.median("unit").alias("state"))
-    two = F.col("n") >= 2
-    return own.join(wide, "drug").select("plan", "drug", F.when(two, F.col("own")).otherwise(F.col("state")).alias("price"), F.when(two, "plan").otherwise("state").alias("source"))
-
-
 @query("d5_usual_quantity", "select drug, qty from (select drug, qty, row_number() over (partition by drug order by count(*) desc, max((captured_at, l_orderkey, l_linenumber)) desc) as rn from captures group by drug, qty) where rn = 1")
 def d5(t: Tables) -> DataFrame:
     counted = t.captures.groupBy("drug", "qty").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("captured_at", "l_orderkey", "l_linenumber")).alias("last"))
@@ -219,15 +171,6 @@ def d7(t: Tables) -> DataFrame:
     return t.products.groupBy("brand").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d8_agreement", """with votes as (select c.chain as label, p.brand as candidate, (c.qty % 2 = p.strength % 2)::int as agree, (p.tier <= 3)::int as cov from captures c join products p on c.drug = p.drug)
-    select label, candidate, sum(agree)::bigint as agreed, count(*) as seen, sum(cov)::bigint as covered, sum(agree) * 2 > count(*) and count(*) >= 2 and sum(cov) >= 1 as accepted from votes group by label, candidate""")
-def d8(t: Tables) -> DataFrame:
-    both = t.captures.join(t.products.select("drug", "brand", "strength", "tier"), "drug")
-    agree, cov = (F.col("qty") % 2 == F.col("strength") % 2).cast("long"), (F.col("tier") <= 3).cast("long")
-    sums = both.groupBy(F.col("chain").alias("label"), F.col("brand").alias("candidate")).agg(F.sum(agree).alias("agreed"), F.count(F.lit(1)).alias("seen"), F.sum(cov).alias("covered"))
-    return sums.withColumn("accepted", (F.col("agreed") * 2 > F.col("seen")) & (F.col("seen") >= 2) & (F.col("covered") >= 1))
-
-
 @query("e1_preferred_row", """with levels as (select plan, tier, level, plan % 3 as segment, (plan * level) % 50 as amt from tier_cost, (values (0), (1), (2)) v(level) where (plan + level) % 4 <> 0)
     select plan, tier, level, amt::int as amt from (select *, row_number() over (partition by plan, tier order by (level <> 1)::int, level, segment) as rn from levels) where rn = 1""")
 def e1(t: Tables) -> DataFrame:
@@ -240,17 +183,6 @@ def e2(t: Tables) -> DataFrame:
     return rows.newest(t.captures, ["plan", "drug", "chain"], ["captured_at", "l_orderkey", "l_linenumber"], ["qty", "retail"])
 
 
-@query("e3_best_per_family", """with ranked as (select county, plan, family, plan_type, premium, row_number() over (partition by county, family order by premium, case plan_type when 'MA' then 0 when 'PD' then 1 else 2 end, deductible, plan) as fam from service_area)
-    select county, plan, rank from (select county, plan, row_number() over (partition by county order by (fam > 1)::int, premium, plan) as rank from ranked) where rank <= 5""")
-def e3(t: Tables) -> DataFrame:
-    """Each carrier family's best plan first, then the cheapest others, five for each county."""
-    kind = F.when(F.col("plan_type") == "MA", 0).when(F.col("plan_type") == "PD", 1).otherwise(2)
-    fam = F.row_number().over(Window.partitionBy("county", "family").orderBy("premium", kind, "deductible", "plan"))
-    ranked = t.service_area.withColumn("fam", fam)
-    rank = F.row_number().over(Window.partitionBy("county").orderBy(F.col("fam") > 1, "premium", "plan"))
-    return ranked.withColumn("rank", rank).where("rank <= 5").select("county", "plan", "rank")
-
-
 @query("e4_nearest_per_chain", f"with {NEAR_SQL} select client, chain, npi, tenths from (select *, row_number() over (partition by client, chain order by tenths, npi) as rn from near) where rn = 1")
 def e4(t: Tables) -> DataFrame:
     return rows.first_by(near(t), ["client", "chain"], ["tenths", "npi"], ["npi", "tenths"])
@@ -284,15 +216,6 @@ def e12(t: Tables) -> DataFrame:
 FIT_SQL = """fit as (select s.county, s.plan, 12 * s.premium + s.deductible - 12 * p.giveback as cost, case when s.family % 4 = 0 then 3 when s.family % 4 = 1 then 0 when s.family % 4 = 2 then 1 else 2 end as fit from service_area s join plans p on s.plan = p.plan)"""
 
 
-@query("e13_selection", f"""with {FIT_SQL} select county, plan, cost::bigint as cost, fit, rank, case when fit = 2 then 'no doctor' when rank > 6 then 'over limit' end as dropped from (select *, row_number() over (partition by county order by fit, cost, plan) as rank from fit)""")
-def e13(t: Tables) -> DataFrame:
-    """Doctors first: plans by network fit, then by cost; why the others were dropped."""
-    k = F.col("family") % 4
-    rows_ = t.service_area.join(t.plans.select("plan", "giveback"), "plan").select("county", "plan", (12 * F.col("premium") + F.col("deductible") - 12 * F.col("giveback")).cast("long").alias("cost"), F.when(k == 0, 3).when(k == 1, 0).when(k == 2, 1).otherwise(2).alias("fit"))
-    ranked = rows_.withColumn("rank", F.row_number().over(Window.partitionBy("county").orderBy("fit", "cost", "plan")))
-    return ranked.withColumn("dropped", F.when(F.col("fit") == 2, "no doctor").when(F.col("rank") > 6, "over limit"))
-
-
 @query("e14_network_fit", """with net as (select plan, list(distinct county) as inside from service_area group by plan), wants as (select c.client, [c.county, (c.county + 1) % 25, (c.county + 7) % 25] as wanted from clients c)
     select w.client, e.plan, case when n.plan is null then 'UNKNOWN' when len(list_intersect(wanted, inside)) = 3 then 'ALL' when len(list_intersect(wanted, inside)) = 0 then 'NONE' else 'SOME' end as fit, (3 - len(list_intersect(wanted, inside)))::int as missing
     from wants w join eligible e on e.client = w.client left join net n on n.plan = e.plan""")

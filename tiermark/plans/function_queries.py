@@ -43,17 +43,6 @@ def b5(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", clean.first_rule(F.col("p_name"), [("^red", "Red family"), ("widget|gear", "Machine")]).alias("label"))
 
 
-@query("b6_eligible", "select county, plan from service_area where plan_type not in ('PD', 'SNP') and premium >= 0")
-def b6(t: Tables) -> DataFrame:
-    return t.service_area.where("plan_type not in ('PD', 'SNP') and premium >= 0").select("county", "plan")
-
-
-@query("b7_hidden", "select plan, plan_name from plans where plan not in (select s_suppkey from supplier where s_acctbal < 0)")
-def b7(t: Tables) -> DataFrame:
-    hidden = t.read("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("plan"))
-    return t.plans.join(hidden, "plan", "left_anti").select("plan", "plan_name")
-
-
 COST_COLUMNS = "select plan, tier, (plan + tier) % 3 as pt, cost_amt * 1.0 as pa, (plan * tier) % 3 as st, cost_amt + 5.0 as sa from tier_cost"
 
 
@@ -143,12 +132,6 @@ def b17(t: Tables) -> DataFrame:
     return t.plans.crossJoin(F.broadcast(gates)).select("plan", F.when(F.col("prices"), F.col("premium")).alias("premium"), F.when(F.col("networks"), F.col("deductible")).alias("deductible"))
 
 
-@query("b18_keywords", """select drug, regexp_matches(drug_name, 'red|blue') as warm, regexp_matches(drug_name, 'widget') and not regexp_matches(drug_name, 'red|blue') as plain from products""")
-def b18(t: Tables) -> DataFrame:
-    warm = F.col("drug_name").rlike("red|blue")
-    return t.products.select("drug", warm.alias("warm"), (F.col("drug_name").rlike("widget") & ~warm).alias("plain"))
-
-
 NEGOTIATED = "negotiated as (select name, min(cents)::bigint as price from (select split_part(drug_name, ' ', 1) as name, cents from products where drug % 7 = 0 union all select drug_name, cents from products where drug % 11 = 0) group by name)"
 
 
@@ -167,26 +150,6 @@ def b20(t: Tables) -> DataFrame:
     return t.read("orders").select("o_orderkey", F.explode(months).alias("month"))
 
 
-@query("b21_parallel_lists", """with lists as (select client, string_agg(d.drug_name, ',' order by r.pos) as names, string_agg(d.strength::varchar, ',' order by r.pos) || case when client % 9 = 0 then ',7' else '' end as doses from regimen r join products d on r.drug = d.drug group by client),
-    split as (select client, string_split(names, ',') as n, string_split(doses, ',') as d from lists)
-    select client, i::int as pos, n[i] as name, case when len(n) = len(d) then d[i] end as dose from split, generate_series(1, 8) g(i) where i <= len(n)""")
-def b21(t: Tables) -> DataFrame:
-    """Comma lists of names and doses as pairs; doses of another length are dropped."""
-    rows = t.regimen.join(t.products.select("drug", "drug_name", "strength"), "drug").groupBy("client").agg(F.sort_array(F.collect_list(F.struct("pos", "drug_name", "strength"))).alias("x"))
-    extra = F.when(F.col("client") % 9 == 0, ",7").otherwise("")
-    lists = rows.select("client", F.array_join("x.drug_name", ",").alias("names"), F.concat(F.array_join(F.transform("x", lambda e: e["strength"].cast("string")), ","), extra).alias("doses"))
-    n, d = F.split("names", ","), F.split("doses", ",")
-    pairs = F.arrays_zip(n.alias("n"), F.when(F.size(n) == F.size(d), d).otherwise(F.array_repeat(F.lit(None).cast("string"), F.size(n))).alias("d"))
-    return lists.select("client", F.posexplode(pairs).alias("i", "p")).select("client", (F.col("i") + 1).alias("pos"), F.col("p")["n"].alias("name"), F.col("p")["d"].alias("dose"))
-
-
-@query("b22_zips", """select client, case when regexp_matches(z, '^\\d{5}(-\\d{4})?$') then substr(z, 1, 5) end as zip from (select client, case client % 4 when 0 then zip when 1 then zip || '-1234' when 2 then zip || '-12' else substr(zip, 2) end as z from clients)""")
-def b22(t: Tables) -> DataFrame:
-    k = F.col("client") % 4
-    z = F.when(k == 0, F.col("zip")).when(k == 1, F.concat("zip", F.lit("-1234"))).when(k == 2, F.concat("zip", F.lit("-12"))).otherwise(F.substring("zip", 2, 4))
-    return t.clients.select("client", clean.zip5(z).alias("zip"))
-
-
 @query("b23_fallback_premium", """select p.plan, coalesce(case when p.plan % 4 <> 0 then p.premium end, a.premium) as premium from plans p left join (select plan, min(premium) as premium from service_area group by plan) a on p.plan = a.plan""")
 def b23(t: Tables) -> DataFrame:
     area = t.service_area.groupBy("plan").agg(F.min("premium").alias("area_premium"))
@@ -215,11 +178,6 @@ def h2(t: Tables) -> DataFrame:
     return t.read("customer").select("c_custkey", text.place_key(p).alias("place"))
 
 
-@query("h3_name_norm", f"""select doc_id, {WORDS_SQL.format("regexp_replace(regexp_replace(regexp_replace(replace(lower(x), '.', ' '), '[''’]', '', 'g'), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9& ]', ' ', 'g')")} as name from (select doc_id, split_part(text, chr(10), 1) as x from documents)""")
-def h3(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", text.name_norm(F.substring_index("text", "\n", 1)).alias("name"))
-
-
 @query("h4_street_key", """select npi, (npi % 90 + 1) || case npi % 3 when 0 then ' N' when 1 then ' S' else ' E' end || ' ST' as street, case when npi % 2 = 0 then (npi % 7)::varchar end as suite from stores""")
 def h4(t: Tables) -> DataFrame:
     k = F.col("npi")

@@ -46,8 +46,8 @@ def with_proxies(sql: str) -> str:
     clauses = [f"{n} as ({SQL[n]})" for n in need]
     if not clauses:
         return sql
-    if re.match(r"\s*with\b", sql, re.I):
-        return re.sub(r"^\s*with\b", lambda _: "with " + ", ".join(clauses) + ",", sql, count=1, flags=re.I)
+    if m := re.match(r"\s*with(\s+recursive)?\b", sql, re.I):
+        return f"with{m[1] or ''} {', '.join(clauses)}, {sql[m.end() :]}"
     return "with " + ", ".join(clauses) + " " + sql
 
 

@@ -60,12 +60,6 @@ def r5(t: Tables) -> DataFrame:
     return mentions(t).select("mention", both[0].alias("mg"), both[1].alias("from_mcg"), resolve.same_strength(F.col("strength").cast("double"), F.col("strength") * 1.01).alias("close"))
 
 
-@query("r6_forms", "select p_partkey, case when contains(p_type, 'PROMO') then 'pack' when contains(p_type, 'SMALL') then 'tablet' when contains(p_type, 'LARGE') then 'liquid' else 'other' end as form from part")
-def r6(t: Tables) -> DataFrame:
-    k = F.col("p_type")
-    return t.read("part").select("p_partkey", F.when(k.rlike("PROMO"), "pack").when(k.rlike("SMALL"), "tablet").when(k.rlike("LARGE"), "liquid").otherwise("other").alias("form"))
-
-
 @query("r7_brands", f"with {DICTIONARY}, brands as (select distinct brand from dict where brand is not null) select p_partkey, brand from part join brands on lower(p_brand) = brand")
 def r7(t: Tables) -> DataFrame:
     """The longest leading run of words that is a brand."""
@@ -153,21 +147,6 @@ def r15(t: Tables) -> DataFrame:
     return both.groupBy(F.upper("want").alias("file")).agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("matched"))
 
 
-@query("r16_scored", f"with {NARROWED}, truth as (select mention, min(rxcui) as want from n1 where has = strength group by mention), told as (select mention, min(rxcui) as got from n3 group by mention) select count(*) as cases, count(case when want = got then 1 end) as correct, count(case when want is null then 1 end) as none_wanted from told left join truth using (mention)")
-def r16(t: Tables) -> DataFrame:
-    c = found(t)
-    truth = c.where("has = strength").groupBy("mention").agg(F.min("rxcui").alias("want"))
-    told = resolve.narrowed(c, [F.col("has") == F.col("strength"), F.col("form") == F.col("want"), F.col("brand").isNull()]).groupBy("mention").agg(F.min("rxcui").alias("got"))
-    return told.join(truth, "mention", "left").agg(F.count(F.lit(1)).alias("cases"), F.count(F.when(F.col("want") == F.col("got"), 1)).alias("correct"), F.count(F.when(F.col("want").isNull(), 1)).alias("none_wanted"))
-
-
-@query("r17_confidence", f"with {MENTIONS} select mention, case when strength % 10 >= 7 then second else first end as name, case when strength % 10 < 7 then 'read as ' || second end as note from mentions")
-def r17(t: Tables) -> DataFrame:
-    """Below the gate the name as written stays, and the guess is a note."""
-    sure = F.col("strength") % 10 / 10 >= 0.7
-    return mentions(t).select("mention", F.when(sure, F.col("second")).otherwise(F.col("first")).alias("name"), F.when(~sure, F.concat(F.lit("read as "), "second")).alias("note"))
-
-
 @query("r18_siblings", f"with {DICTIONARY} select rxcui, count(*) over (partition by ingredients[1], strength) - 1 as siblings from dict")
 def r18(t: Tables) -> DataFrame:
     """Products of the same first ingredient and strength: counts by key, joined back."""

@@ -15,14 +15,17 @@ CAP, STANDARD = year.PARAMETERS[YEAR]
 GROUPS = ["client", "plan"]
 
 
-def costs(t: Tables, rule: str | None = None, groups: list[str] | None = None) -> DataFrame:
-    terms = t.terms if rule is None else t.terms.withColumn("rule", F.lit(rule))
-    known = terms.where("price is not null or flat is not null")
-    return year.year_costs(known, groups or GROUPS, CAP, STANDARD)
+def costs(t: Tables, rule: str | None = None, groups: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    rows = t.terms if terms is None else terms
+    rows = rows if rule is None else rows.withColumn("rule", F.lit(rule))
+    return year.year_costs(year.known(rows), groups or GROUPS, CAP, STANDARD)
 
 
-def year_sql(rule: str = "rule", groups: str = "client, plan") -> str:
-    """The same in SQL: clauses up to `costs`."""
+KNOWN = "(price is not null or flat is not null or (cost_type <> 2 and not ded_applies))"
+
+
+def year_sql(rule: str = "rule", groups: str = "client, plan", terms: str = "terms", more: str = "", before: str = "") -> str:
+    """The same in SQL: clauses up to `costs`; more: columns to keep besides."""
     w = f"(partition by {groups} order by month, (price is null)::int, price, pos rows between unbounded preceding and 1 preceding)"
     cap, std = CAP * 10000, STANDARD * 10000
     post = lambda p: f"(case when cost_type = 2 then coalesce({p}, 0) * cost_amt when cost_type = 1 then case when coalesce({p}, 0) > 0 then least(cost_amt * 100, {p} * 100) else cost_amt * 100 end else 0 end)"
@@ -30,8 +33,8 @@ def year_sql(rule: str = "rule", groups: str = "client, plan") -> str:
     nominal = "(case when cost_type = 2 then coalesce(price, 0) * cost_amt when cost_type = 1 then cost_amt * 100 else 0 end)"
     subject = "(ded_applies and r > 0 and flat is null)"
     own = f"(case when left_ > 0 and {subject} then cost0 else {fee(f'(case when r > 0 then {nominal} else cost0 end)')} end)"
-    return f"""with y1 as (select client, plan, drug, pos, tier, price, fee, cost_type, cost_amt, ded_applies, flat, deductible, {rule} as rule, month, coalesce(price, 0) * 100 as r
-      from terms, generate_series(1, 12) m(month) where price is not null or flat is not null),
+    return f"""with {before} y1 as (select client, plan, {more} drug, pos, tier, price, fee, cost_type, cost_amt, ded_applies, flat, deductible, {rule} as rule, month, coalesce(price, 0) * 100 as r
+      from {terms}, generate_series(1, 12) m(month) where {KNOWN}),
     y2 as (select *, case when rule <> 'classic' then case when flat is not null then flat * 100 else r end when {subject} then r else 0 end as ded_use from y1),
     y3 as (select *, coalesce(sum(ded_use) over {w}, 0)::bigint as ded_before, coalesce(sum(case when flat is not null then 0 else r end) over {w}, 0)::bigint as std_before from y2),
     y4 as (select *, greatest(0, deductible * 100 - ded_before) as left_ from y3),
@@ -42,7 +45,7 @@ def year_sql(rule: str = "rule", groups: str = "client, plan") -> str:
     y7 as (select *, (case when flat is not null or rule = 'classic' then cost0 when rule = 'gross' then greatest(cost0, part + benefit)
       else part + greatest({own} - least({own}, part), benefit) end)::bigint as cap_add from y6),
     y8 as (select *, greatest(0, {cap} - coalesce(sum(cap_add) over {w}, 0))::bigint as room from y7),
-    costs as (select client, plan, drug, pos, tier, price, month, deductible, rule, ded_use, ded_applies, flat, ded_before + ded_use as ded_run, cap_add, {cap} - room as cap_before, room,
+    costs as (select client, plan, {more} drug, pos, tier, price, month, deductible, rule, ded_use, ded_applies, flat, ded_before + ded_use as ded_run, cap_add, {cap} - room as cap_before, room,
       (case when room <= 0 then 0 when rule = 'older' and cap_add > room then greatest(0, cost0 - (cap_add - room)) else least(cost0, room) end)::bigint as cost from y8)"""
 
 
@@ -83,24 +86,50 @@ def y5(t: Tables) -> DataFrame:
     return costs(t).where("month = 1").select("client", "plan", "drug", "cost")
 
 
-@query("y9_rule_choice", "select plan, bool_or(not ded_applies) as gross_rule, count(*) as tiers from tier_cost group by plan")
+LEVELS = "levels as (select plan, tier, level, months, case when level = 1 and plan % 3 = 0 then true else ded_applies or tier > 0 and plan % 3 = 0 end as ded_applies from tier_cost, (values (0), (1)) l(level), (values (1), (3)) m(months))"
+RULES = f"{LEVELS}, rules as (select plan, case when bool_or(level = 1 and months = 1 and not ded_applies) then 'gross' else 'classic' end as rule from levels group by plan), chosen as (select t.* exclude (rule), r.rule as rule from terms t join rules r on r.plan = t.plan)"
+
+
+def rules(t: Tables) -> DataFrame:
+    """Each plan's rule, from its tiers by level and supply."""
+    both = t.tier_cost.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("months", F.explode(F.array(F.lit(1), F.lit(3))))
+    subject = F.when((F.col("level") == 1) & (F.col("plan") % 3 == 0), True).otherwise(F.col("ded_applies") | (F.col("plan") % 3 == 0))
+    return year.rule_of(both.withColumn("ded_applies", subject))
+
+
+@query("y9_rule_choice", f"{year_sql(terms='chosen', before=RULES + ',')} select client, plan, max(rule) as rule, sum(cost)::bigint as year_cost from costs group by client, plan")
 def y9(t: Tables) -> DataFrame:
-    return t.tier_cost.groupBy("plan").agg(F.bool_or(~F.col("ded_applies")).alias("gross_rule"), F.count(F.lit(1)).alias("tiers"))
+    """The model under the rule that each plan's tiers ask for."""
+    chosen = t.terms.drop("rule").join(rules(t), "plan")
+    return costs(t, terms=chosen).groupBy(*GROUPS).agg(F.max("rule").alias("rule"), F.sum("cost").alias("year_cost"))
 
 
-@query("y10_by_channel", f"""{year_sql()}, chan as (select *, case when (plan + drug) % 3 = 0 then 'mail' else 'store' end as channel from costs)
-    select client, plan, channel, sum(cost)::bigint as year_cost, count(*) as fills from chan group by client, plan, channel""")
-def y10(t: Tables) -> DataFrame:
-    channel = F.when((F.col("plan") + F.col("drug")) % 3 == 0, "mail").otherwise("store")
-    return costs(t).groupBy("client", "plan", channel.alias("channel")).agg(F.sum("cost").alias("year_cost"), F.count(F.lit(1)).alias("fills"))
+CHANNELS = "chans as (select t.* exclude (price, cost_amt), c.channel, case when c.channel = 'mail' then price // 3 else price + c.k end as price, case when c.channel = 'mail' and cost_type = 1 then cost_amt // 3 else cost_amt end as cost_amt from terms t, (values ('plan', 0), ('store:1', 37), ('store:2', 81), ('mail', 0)) c(channel, k) where c.channel <> 'mail' or (t.plan + t.tier) % 4 <> 0)"
 
 
-@query("y11_unknown_prices", """select client, plan, count(*) as drugs, count(case when price is null and flat is null and (cost_type = 2 or ded_applies) then 1 end) as left_out,
-    count(case when price is null and flat is null and not (cost_type = 2 or ded_applies) then 1 end) as copay_only from terms group by client, plan""")
+@query("y10_by_channel", f"{year_sql(groups='client, plan, channel', terms='chans', more='channel,', before=CHANNELS + ',')} select client, plan, channel, sum(cost)::bigint as year_cost, count(*) as fills, min(case when room > 0 and cap_add >= room then month end)::int as capped from costs group by client, plan, channel")
+def y10(t: Tables) -> DataFrame:
+    """The plan's own prices, two stores and mail, each with a deductible and a cap of its own."""
+    channels = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(k).alias("k")) for c, k in (("plan", 0), ("store:1", 37), ("store:2", 81), ("mail", 0))])
+    rows = t.terms.withColumn("c", F.explode(channels)).withColumn("channel", F.col("c.channel"))
+    mail = F.col("channel") == "mail"
+    rows = rows.where(~mail | ((F.col("plan") + F.col("tier")) % 4 != 0))
+    rows = rows.withColumn("price", F.when(mail, F.expr("price div 3")).otherwise(F.col("price") + F.col("c.k"))).withColumn("cost_amt", F.when(mail & (F.col("cost_type") == 1), F.expr("cost_amt div 3")).otherwise(F.col("cost_amt"))).drop("c")
+    by = [*GROUPS, "channel"]
+    made = year.group_year(costs(t, groups=by, terms=rows).withColumn("_n", F.lit(1)), by, CAP)
+    fills = year.known(rows).groupBy(*by).agg((12 * F.count(F.lit(1))).alias("fills"))
+    return made.join(fills, by).select(*by, F.col("year").alias("year_cost"), "fills", "capped")
+
+
+@query("y11_unknown_prices", f"""{YEAR_SQL}, left_out as (select client, plan, count(*) as drugs, count(case when not {KNOWN} then 1 end) as left_out, count(case when price is null and flat is null and {KNOWN} then 1 end) as copay_only from terms group by client, plan)
+    select o.client, o.plan, drugs, left_out, copay_only, sum(cost)::bigint as year_cost, (sum(case when price is null and flat is null then cost else 0 end))::bigint as copay_cost from left_out o left join costs c on c.client = o.client and c.plan = o.plan group by o.client, o.plan, drugs, left_out, copay_only""")
 def y11(t: Tables) -> DataFrame:
+    """What is left out for want of a price, what is paid without one, and the year that the model makes of it."""
     missing = F.col("price").isNull() & F.col("flat").isNull()
     needs = (F.col("cost_type") == 2) | F.col("ded_applies")
-    return t.terms.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("drugs"), F.count(F.when(missing & needs, 1)).alias("left_out"), F.count(F.when(missing & ~needs, 1)).alias("copay_only"))
+    counted = t.terms.groupBy(*GROUPS).agg(F.count(F.lit(1)).alias("drugs"), F.count(F.when(missing & needs, 1)).alias("left_out"), F.count(F.when(missing & ~needs, 1)).alias("copay_only"))
+    sums = costs(t).groupBy(*GROUPS).agg(F.sum("cost").alias("year_cost"), F.sum(F.when(missing, F.col("cost")).otherwise(0)).alias("copay_cost"))
+    return counted.join(sums, GROUPS, "left").select(*GROUPS, "drugs", "left_out", "copay_only", "year_cost", F.coalesce("copay_cost", F.lit(0)).alias("copay_cost"))
 
 
 @query("y12_drug_alone", f"{year_sql(groups='client, plan, drug')} select client, plan, drug, sum(cost)::bigint as year_cost from costs group by client, plan, drug")
@@ -108,11 +137,15 @@ def y12(t: Tables) -> DataFrame:
     return costs(t, groups=["client", "plan", "drug"]).groupBy("client", "plan", "drug").agg(F.sum("cost").alias("year_cost"))
 
 
-@query("y13_parameters", """with p(year, cap, standard) as (values (2025, 2000, 590), (2026, 2100, 615), (2027, 2400, 700))
-    select plan, year, least(deductible, standard * 100)::bigint as deductible, (cap * 100)::bigint as cap from plans, p""")
+@query("y13_parameters", """with p(year, cap, standard) as (values (2025, 2000, 590), (2026, 2100, 615), (2027, 2400, 700)), db as (select 2020 + r_regionkey + 5 as year, case when r_regionkey = 1 then 2150 end as cap, case when r_regionkey = 3 then 800 end as standard from region where r_regionkey in (1, 3)),
+    q as (select coalesce(p.year, db.year) as year, coalesce(db.cap, p.cap) as cap, coalesce(db.standard, p.standard) as standard from p full outer join db on p.year = db.year)
+    select plan, year::int as year, least(deductible, standard * 100)::bigint as deductible, (cap * 100)::bigint as cap from plans, q""")
 def y13(t: Tables) -> DataFrame:
-    years = F.array(*[F.struct(F.lit(y).alias("year"), F.lit(c).alias("cap"), F.lit(s).alias("standard")) for y, (c, s) in sorted(year.PARAMETERS.items())])
-    rows = t.plans.select("plan", "deductible", F.explode(years).alias("p"))
+    """Each year's limits, a table's values before the fixed ones, sent to all tasks with the plans."""
+    k = F.col("r_regionkey")
+    database = t.read("region").where(k.isin(1, 3)).select((2025 + k).alias("year"), F.when(k == 1, 2150).alias("cap"), F.when(k == 3, 800).alias("standard"))
+    listed = year.parameters(database).agg(F.collect_list(F.struct("year", "cap", "standard")).alias("p"))
+    rows = t.plans.crossJoin(F.broadcast(listed)).select("plan", "deductible", F.explode("p").alias("p"))  # with one row
     return rows.select("plan", "p.year", F.least("deductible", F.col("p.standard") * 100).cast("long").alias("deductible"), (F.col("p.cap") * 100).cast("long").alias("cap"))
 
 
@@ -123,15 +156,21 @@ def monthly(t: Tables) -> DataFrame:
     return costs(t).groupBy("client", "plan", "month").agg(F.sum("cost").alias("cost"))
 
 
-@query("e7_change_points", f"{YEAR_SQL}, {MONTHLY} select client, plan, month, cost from (select *, lag(cost) over (partition by client, plan order by month) as last from monthly) where last is null or abs(cost - last) > 50")
+CHANGES = f"{YEAR_SQL.replace('with ', 'with recursive ', 1)}, {MONTHLY}, walk as (select client, plan, month, cost, cost as last, true as emitted from monthly where month = 1 union all select m.client, m.plan, m.month, m.cost, case when abs(m.cost - w.last) > 50 then m.cost else w.last end, abs(m.cost - w.last) > 50 from walk w join monthly m on m.client = w.client and m.plan = w.plan and m.month = w.month + 1), changes as (select client, plan, month, cost from walk where emitted)"
+TYPICAL = "counted as (select client, plan, cost, count(*) as n, max(month) as last from monthly where cost > 0 group by client, plan, cost), usual as (select client, plan, cost as typical from (select *, row_number() over (partition by client, plan order by n desc, last desc) as rn from counted) where rn = 1)"
+
+
+@query("e7_change_points", f"{CHANGES} select client, plan, month, cost from changes")
 def e7(t: Tables) -> DataFrame:
     return year.change_points(monthly(t), GROUPS, 50)
 
 
-@query("e8_spans", f"""{YEAR_SQL}, {MONTHLY}, changes as (select client, plan, month, cost from (select *, lag(cost) over (partition by client, plan order by month) as last from monthly) where last is null or abs(cost - last) > 50)
-    select client, plan, month as first_month, coalesce(lead(month) over (partition by client, plan order by month) - 1, 12)::int as last_month, cost from changes""")
+@query("e8_spans", f"""{CHANGES}, {TYPICAL}, runs as (select client, plan, month as first_month, coalesce(lead(month) over (partition by client, plan order by month) - 1, 12)::int as last_month, cost from changes),
+    ends as (select r.*, min(case when abs(cost - typical) <= 50 then first_month end) over (partition by r.client, r.plan) as start from runs r join usual u on u.client = r.client and u.plan = r.plan) select client, plan, first_month, last_month, cost from ends where first_month < start""")
 def e8(t: Tables) -> DataFrame:
-    return year.spans(year.change_points(monthly(t), GROUPS, 50), GROUPS, 12).select(*GROUPS, "first_month", "last_month", "cost")
+    """The spans of the ramp, before the first month that costs what is typical."""
+    rows = monthly(t)
+    return year.ramp(year.change_points(rows, GROUPS, 50), year.typical_month(rows, GROUPS), GROUPS, 12, 50).select(*GROUPS, "first_month", "last_month", "cost")
 
 
 @query("e9_free_from", f"{YEAR_SQL}, {MONTHLY} select client, plan, case when max(case when cost > 0 then month end) < 12 then max(case when cost > 0 then month end) + 1 end::int as free_from from monthly group by client, plan")
@@ -151,21 +190,28 @@ def e10(t: Tables) -> DataFrame:
     return both.select(*GROUPS, said.alias("met"), "capped")
 
 
-@query("d9_store_totals", f"""{YEAR_SQL}, placed as (select costs.*, npi from costs join (select plan as p, drug as d, min(npi) as npi from (select distinct plan, drug from costs), stores where npi % 50 = (plan + drug) % 50 group by plan, drug) on p = plan and d = drug)
-    select client, plan, npi, sum(cost)::bigint as year_cost, sum(case when month = 1 then cost else 0 end)::bigint as january, count(distinct drug) as drugs from placed group by client, plan, npi""")
+@query("d9_store_totals", f"""{YEAR_SQL}, placed as (select costs.*, npi, miles from costs join (select plan as p, drug as d, min(npi) as npi, min((plan * 7 + npi) % 30) as miles from (select distinct plan, drug from costs), stores where npi % 50 = (plan + drug) % 50 and npi <= 50 group by plan, drug) on p = plan and d = drug),
+    by_month as (select client, plan, npi, month, sum(cost)::bigint as cost, min(miles) as miles from placed group by client, plan, npi, month)
+    select client, plan, npi, sum(cost)::bigint as year_cost, string_agg(month || '=' || cost, ' ' order by month) as months, min(miles)::bigint as miles from by_month group by client, plan, npi""")
 def d9(t: Tables) -> DataFrame:
-    lowest = t.stores.groupBy((F.col("npi") % 50).alias("k")).agg(F.min("npi").alias("npi"))
-    at = costs(t).withColumn("k", (F.col("plan") + F.col("drug")) % 50).join(lowest, "k")
-    return at.groupBy(*GROUPS, "npi").agg(F.sum("cost").alias("year_cost"), F.sum(F.when(F.col("month") == 1, F.col("cost")).otherwise(0)).alias("january"), F.count_distinct("drug").alias("drugs"))
+    """A store's year: its total, each month's cost, and how far it is."""
+    lowest = t.stores.where("npi <= 50").select((F.col("npi") % 50).alias("k"), "npi")
+    at = costs(t).withColumn("k", (F.col("plan") + F.col("drug")) % 50).join(lowest, "k").withColumn("miles", (F.col("plan") * 7 + F.col("npi")) % 30)
+    by_month = at.groupBy(*GROUPS, "npi", "month").agg(F.sum("cost").alias("cost"), F.min("miles").alias("miles"))
+    listed = F.array_sort(F.collect_list(F.struct("month", "cost")))
+    made = by_month.groupBy(*GROUPS, "npi").agg(F.sum("cost").alias("year_cost"), listed.alias("m"), F.min("miles").alias("miles"))
+    return made.select(*GROUPS, "npi", "year_cost", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["month"], x["cost"])), " ").alias("months"), "miles")
 
 
 @query("d11_plan_rollup", f"""{SUMMARY_SQL}, cover as (select client, plan, bool_and(price is not null or flat is not null) as all_covered, count(*) as drugs from terms group by client, plan)
-    select s.client, s.plan, year_cost, all_covered, drugs, (year_cost + 12 * premium * 100)::bigint as total from summary s join cover c on s.client = c.client and s.plan = c.plan join plans p on p.plan = s.plan""")
+    select c.client, c.plan, year_cost, all_covered, drugs, case when c.plan % 13 <> 0 then (coalesce(year_cost, 0) + 12 * premium * 100)::bigint end as total from cover c left join summary s on s.client = c.client and s.plan = c.plan join plans p on p.plan = c.plan""")
 def d11(t: Tables) -> DataFrame:
-    known = F.col("price").isNotNull() | F.col("flat").isNotNull()
-    cover = t.terms.groupBy(*GROUPS).agg(F.bool_and(known).alias("all_covered"), F.count(F.lit(1)).alias("drugs"))
-    both = summary(t).join(cover, GROUPS).join(t.plans.select("plan", "premium"), "plan")
-    return both.select(*GROUPS, "year_cost", "all_covered", "drugs", (F.col("year_cost") + 12 * F.col("premium") * 100).alias("total"))
+    """Total, premium and coverage of a plan; the total is null where the plan has no list yet."""
+    covered = F.col("price").isNotNull() | F.col("flat").isNotNull()
+    cover = t.terms.groupBy(*GROUPS).agg(F.bool_and(covered).alias("all_covered"), F.count(F.lit(1)).alias("drugs"))
+    both = cover.join(summary(t), GROUPS, "left").join(t.plans.select("plan", "premium"), "plan")
+    total = F.when(F.col("plan") % 13 != 0, F.coalesce("year_cost", F.lit(0)) + 12 * F.col("premium") * 100)
+    return both.select(*GROUPS, "year_cost", "all_covered", "drugs", total.alias("total"))
 
 
 @query("d13_typical_month", f"""{YEAR_SQL}, {MONTHLY}, counted as (select client, plan, cost, count(*) as n, max(month) as last from monthly where cost > 0 group by client, plan, cost)
