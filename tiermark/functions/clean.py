@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values that mean yes; all others that are not null mean no.
@@ -74,3 +74,20 @@ def mapped(words: Column, table: Mapping[str, str]) -> Column:
 def months_left(year: Column, month: Column, this_year: Column) -> Column:
     """Months of a plan year that costs are counted for: all of a later year, the rest of this one."""
     return F.sequence(F.when(year > this_year, F.lit(1)).otherwise(month), F.lit(12))
+
+
+def listed(text: Column) -> Column:
+    """The parts of a comma list; a comma before three digits of a number is none that parts."""
+    return F.transform(F.split(text, r",(?!(?<=\d,)\d{3}(?!\d))"), lambda x: F.trim(x))
+
+
+def paired_lists(names: Column, values: Column) -> Column:
+    """array<struct<name, value>> of two comma lists; values of another number than names are dropped."""
+    n, v = listed(names), listed(values)
+    return F.zip_with(n, F.when(F.size(n) == F.size(v), v).otherwise(F.transform(n, lambda _: F.lit(None).cast("string"))), lambda a, b: F.struct(a.alias("name"), b.alias("value")))
+
+
+def split_valid(df: DataFrame, value: Column, out: str) -> tuple[DataFrame, DataFrame]:
+    """df with out where value is not null, and the rows set aside."""
+    both = df.withColumn(out, value)
+    return both.where(F.col(out).isNotNull()), both.where(F.col(out).isNull()).drop(out)

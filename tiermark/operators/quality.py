@@ -26,12 +26,24 @@ def unmatched(pairs: Mapping[str, tuple[DataFrame, DataFrame, str]]) -> DataFram
     return reduce(DataFrame.unionByName, rows)
 
 
-def bands(df: DataFrame, value: Column, upto: Sequence[tuple[int, str]], rest: str) -> DataFrame:
-    """band, n: how many values lie in each band."""
+def bands(df: DataFrame, value: Column, upto: Sequence[tuple[int, str]], rest: str, counts: Mapping[str, Column] | None = None) -> DataFrame:
+    """band, n: how many values lie in each band, and how many rows of it meet each condition."""
     band = None
     for most, name in upto:
         band = F.when(value <= most, name) if band is None else band.when(value <= most, name)
-    return df.groupBy(band.otherwise(rest).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    more = [F.count(F.when(c, 1)).alias(k) for k, c in (counts or {}).items()]
+    return df.groupBy(band.otherwise(rest).alias("band")).agg(F.count(F.lit(1)).alias("n"), *more)
+
+
+def warnings(rows: DataFrame, totals: DataFrame, keys: Sequence[str], what: str, plan: str) -> DataFrame:
+    """keys, what (in small letters) and said: the plans that a warning holds for, or that it holds for all n of them.
+
+    totals: keys and n. Warnings that differ in letters' case alone are one.
+    """
+    grouped = rows.groupBy(*keys, F.lower(what).alias(what)).agg(F.sort_array(F.collect_set(plan)).alias("_plans"))
+    listed = F.array_join(F.transform("_plans", lambda p: p.cast("string")), ", ")
+    every = (F.size("_plans") == F.col("n")) & (F.col("n") > 1)
+    return grouped.join(totals, list(keys)).select(*keys, what, F.when(every, F.format_string("all %d plans", "n")).otherwise(listed).alias("said"))
 
 
 def reasons(conditions: Mapping[str, Column]) -> Column:

@@ -107,3 +107,60 @@ def first_known(mentions: DataFrame, known: DataFrame) -> DataFrame:
     each = mentions.select("mention", F.posexplode("tries").alias("attempt", "word"))
     hits = each.join(known.withColumn("hit", F.lit(True)), "word", "left")
     return hits.groupBy("mention").agg(F.min(F.when(F.col("hit"), F.col("attempt"))).alias("attempt"))
+
+
+# Words of dose forms, in the order in which they decide, with those that tell kinds of a form apart.
+FORMS: tuple[tuple[str, str, tuple[tuple[str, str], ...]], ...] = (
+    ("inj", "inj injection injectable syringe pen pens injector autoinjector cartridge vial intravenous subcutaneous intramuscular im iv sc subq kwikpen flexpen solostar flextouch piggyback infusion prefilled", (("pen", "pen pens injector autoinjector kwikpen flexpen solostar flextouch"), ("syringe", "syringe prefilled pfs"))),
+    ("ophth", "ophth ophthalmic eye", (("susp", "susp suspension"), ("oint", "oint ointment"), ("gel", "gel"), ("emul", "emulsion"), ("soln", "soln solution drops"))),
+    ("otic", "otic ear", ()),
+    ("nasal", "nasal", ()),
+    ("inhal", "inhal inhalation inhaler aero aerosol hfa nebu neb nebulization diskus respimat ellipta actuat metered mdi dpi inh", (("neb", "nebu neb nebulization nebulizer"), ("powder", "powder dpi diskus ellipta breath capsule cap"), ("aerosol", ""))),
+    ("rectal", "rectal suppository supp enema", ()),
+    ("vaginal", "vaginal vag ring insert", ()),
+    ("patch", "patch patches ptch ptwk transdermal td", ()),
+    ("topical", "cream crm ointment oint gel lotion foam shampoo external topical swab", (("cream", "cream crm"), ("ointment", "ointment oint"), ("gel", "gel"), ("lotion", "lotion"), ("foam", "foam"), ("shampoo", "shampoo"), ("other", ""))),
+    ("film", "film", ()),
+    ("tab", "tab tabs tablet tablets caplet", (("chew", "chew chewable"), ("odt", "odt disintegrating dispersible"), ("sl", "sl sublingual buccal"), ("efferv", "effervescent"))),
+    ("cap", "cap caps capsule capsules", ()),
+    ("oral_liq", "soln solution susp suspension syrup elixir liquid conc concentrate granules packet powder recon emulsion drops mouthwash rinse paste lozenge troche gum", ()),
+)
+RELEASES = (("er", "er xr xl sr cr la extended ext hr"), ("dr", "dr ec delayed enteric"))
+
+
+def _has(text: Column, words: str) -> Column:
+    return text.rlike(rf"\b({'|'.join(words.split())})\b") if words else F.lit(True)
+
+
+def dose_form(text: Column) -> Column:
+    """struct<form, kind> of what a text says of its dose form: the first form of FORMS of which it has a word, and its first kind."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "-", " ")
+    kind = lambda kinds: F.coalesce(*[F.when(_has(t, w), F.lit(k)) for k, w in kinds], F.lit(""))
+    found = [F.when(_has(t, words), F.struct(F.lit(form).alias("form"), kind(kinds).alias("kind"))) for form, words, kinds in FORMS]
+    return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("form"), F.lit("").alias("kind")))
+
+
+def release(text: Column) -> Column:
+    """er, dr or ir: how a product is released; hours after a slash are an amount."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"/\s*(24|12)?\s*(hr|hrs|hour|hours|day)\b", " ")
+    return F.coalesce(*[F.when(_has(t, w) | (t.rlike(r"\b(12|24) ?(hr|hour)\b") if k == "er" else F.lit(False)), F.lit(k)) for k, w in RELEASES], F.lit("ir"))
+
+
+def gated(written: Column, guess: Column, confidence: Column, least: float = 0.7) -> Column:
+    """struct<name, note>: the guess if it is sure enough, else the name as written with the guess as a note."""
+    sure = F.coalesce(confidence >= least, F.lit(False))
+    other = guess.isNotNull() & (F.lower(F.trim(guess)) != F.lower(F.trim(written)))
+    return F.struct(F.when(sure, guess).otherwise(F.trim(written)).alias("name"), F.when(~sure & other, F.concat(F.lit("possibly "), F.trim(guess))).alias("note"))
+
+
+def scored(told: DataFrame, labels: DataFrame) -> DataFrame:
+    """group, cases, answered, right_drug, right_strength and right for each group of labelled cases.
+
+    told: mention, ingredients, strength of what was resolved; labels: mention, group, n (how
+    many lines say it), ingredients, strength; null ingredients must not be resolved.
+    """
+    both = labels.join(told.withColumnsRenamed({"ingredients": "_got", "strength": "_mg"}), "mention", "left")
+    drug = F.col("_got").eqNullSafe(F.col("ingredients"))
+    strength = drug & (F.col("strength").isNull() | same_strength(F.col("_mg"), F.col("strength")))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).alias
+    return both.groupBy("group").agg(F.sum("n").alias("cases"), total(F.col("_got").isNotNull())("answered"), total(drug)("right_drug"), total(strength)("right"))

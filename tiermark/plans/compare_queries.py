@@ -171,3 +171,70 @@ def y14(t: Tables) -> DataFrame:
     both = t.captures.join(t.products.select("drug", "tier"), "drug").join(t.tier_cost, ["plan", "tier"])
     share = F.least(F.col("retail"), F.when(F.col("cost_type") == 1, F.col("cost_amt")).otherwise(F.expr("retail * cost_amt div 100")))
     return both.select("l_orderkey", "l_linenumber", F.when(F.col("ded_applies"), F.col("retail")).otherwise(share).cast("long").alias("deductible_phase"), share.cast("long").alias("initial_phase"))
+
+
+@query("d14_grouped_warnings", f"""with {STATUS_SQL}, n as (select client, count(distinct plan) as n from st group by client), w as (select distinct client, plan, lower(case when plan % 2 = 0 then upper(drug_name) else drug_name end) as name from st join products p on p.drug = st.drug where status = 'not covered')
+    select w.client, name, case when count(*) = max(n.n) and max(n.n) > 1 then 'all ' || max(n.n) || ' plans' else string_agg(plan::varchar, ', ' order by plan) end as said from w join n on n.client = w.client group by w.client, name""")
+def d14(t: Tables) -> DataFrame:
+    """Warnings once for a drug, however it is written, with the plans that they hold for."""
+    st = statuses(t)
+    n = st.groupBy("client").agg(F.count_distinct("plan").alias("n"))
+    said = F.when(F.col("plan") % 2 == 0, F.upper("drug_name")).otherwise(F.col("drug_name"))
+    named = st.where("status = 'not covered'").join(t.products.select("drug", "drug_name"), "drug").select("client", "plan", said.alias("written"))
+    return quality.warnings(named, n, ["client"], "written", "plan").withColumnRenamed("written", "name")
+
+
+@query("d16_error_bands", f"""with {PAIRED}, b as (select *, case when abs(ours - theirs) <= 100 then 'match' when abs(ours - theirs) <= 500 then 'near' when abs(ours - theirs) <= 1500 then 'off' else 'far' end as band, l_orderkey % 12 = theirs % 12 as same_month from paired)
+    select band, count(*) as n, (count(*) * 10000 // (select count(*) from b))::bigint as share, count(case when same_month then 1 end) as months, count(case when odd_qty then 1 end) as quantity, count(case when taxed then 1 end) as tax from b group by band""")
+def d16(t: Tables) -> DataFrame:
+    """How far two sources are apart, how often their months agree, and what may be the reason."""
+    rows_ = paired(t).withColumn("same_month", F.col("l_orderkey") % 12 == F.col("theirs") % 12)
+    counts = {"months": F.col("same_month"), "quantity": F.col("odd_qty"), "tax": F.col("taxed")}
+    counted = quality.bands(rows_, F.abs(F.col("ours") - F.col("theirs")), [(100, "match"), (500, "near"), (1500, "off")], "far", counts)
+    total = counted.agg(F.sum("n").alias("all"))
+    return counted.crossJoin(F.broadcast(total)).select("band", "n", F.expr("n * 10000 div all").alias("share"), *counts)  # with one row
+
+
+@query("d18_tier_grid", """with asked as (select distinct p_name as name from part union select 'unknown ' || n_name from nation) select name, case when count(drug) = 0 then '?' else coalesce(min(case when form = 'STANDARD' then tier end)::varchar, '-') end as standard, case when count(drug) = 0 then '?' else coalesce(min(case when form = 'SMALL' then tier end)::varchar, '-') end as small, case when count(drug) = 0 then '?' else coalesce(min(case when form = 'PROMO' then tier end)::varchar, '-') end as promo from asked left join products on drug_name = name group by name""")
+def d18(t: Tables) -> DataFrame:
+    """Names by lists: the least tier, - where a list does not have it, ? for a name that no list has."""
+    asked = t.read("part").select(F.col("p_name").alias("name")).union(t.read("nation").select(F.concat(F.lit("unknown "), "n_name"))).distinct()
+    forms = ["STANDARD", "SMALL", "PROMO"]
+    grid = t.products.groupBy(F.col("drug_name").alias("name")).pivot("form", forms).agg(F.min("tier"))
+    both = asked.join(grid.withColumn("known", F.lit(True)), "name", "left")
+    return both.select("name", *[F.when(F.col("known"), F.coalesce(F.col(f).cast("string"), F.lit("-"))).otherwise("?").alias(f.lower()) for f in forms])
+
+
+@query("d20_system_presence", """with dir as (select s_nationkey as system, s_suppkey % 30 as town from supplier)
+    select s.n_nationkey as system, count(d.town) as places, array_to_string(list_slice(list_sort(list(distinct d.town)), 1, 4), ',') as towns, case when count(d.town) > 0 then 'in' else 'verify' end as status from nation s left join dir d on s.n_nationkey = d.system group by s.n_nationkey""")
+def d20(t: Tables) -> DataFrame:
+    places = t.read("supplier").groupBy(F.col("s_nationkey").alias("system")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.col("s_suppkey") % 30)), 1, 4).alias("t"))
+    both = t.read("nation").select(F.col("n_nationkey").alias("system")).join(places, "system", "left")
+    towns = F.array_join(F.transform("t", lambda x: x.cast("string")), ",")
+    return both.select("system", F.coalesce("n", F.lit(0)).cast("long").alias("places"), towns.alias("towns"), F.when(F.col("n") > 0, "in").otherwise("verify").alias("status"))
+
+
+@query("g3_county_deltas", "with a as (select county, count(*) as n from service_area where plan % 2 = 0 group by county), b as (select county, count(*) as n from service_area where plan % 2 = 1 and county % 3 <> 0 group by county), d as (select coalesce(a.county, b.county) as county, coalesce(b.n, 0) - coalesce(a.n, 0) as delta, b.county is null as missing from a full outer join b on a.county = b.county) select *, row_number() over (order by delta, county) as place from d")
+def g3(t: Tables) -> DataFrame:
+    """Plans of a county this year and last, the largest drops first; counties are few."""
+    a = t.service_area.where("plan % 2 = 0").groupBy("county").agg(F.count(F.lit(1)).alias("a"))
+    b = t.service_area.where("plan % 2 = 1 and county % 3 <> 0").groupBy("county").agg(F.count(F.lit(1)).alias("b"))
+    both = a.join(b, "county", "full").select("county", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"), F.col("b").isNull().alias("missing"))
+    return both.withColumn("place", F.row_number().over(Window.orderBy("delta", "county")))
+
+
+INSULIN = "rates as (select plan, tier, case when plan % 6 = 0 then '.' else tier::varchar end as at, case when (plan + tier) % 3 <> 0 then 1000 * tier end as copay_pref, case when (plan + tier) % 4 <> 0 then 1500 * tier end as copay, case when plan % 5 = 0 then 10 * tier end as coins_pref, case when plan % 2 = 0 then 12 * tier end as coins from tier_cost where plan % 6 <> 0 or tier = 1)"
+
+
+@query("y2_insulin_month", f"""with {INSULIN}, asked as (select t.client, t.plan, t.drug, t.tier, t.price, (t.client + t.plan) % 2 = 0 as preferred from terms t where t.flat is not null),
+    found as (select a.*, r.at, r.copay_pref, r.copay, r.coins_pref, r.coins, row_number() over (partition by a.client, a.plan, a.drug order by (r.at = '.')::int) as rn from asked a left join rates r on r.plan = a.plan and r.at in (a.tier::varchar, '.'))
+    select client, plan, drug, least(3500, case when preferred then coalesce(copay_pref, copay) else coalesce(copay, copay_pref) end, price * case when preferred then coalesce(coins_pref, coins) else coalesce(coins, coins_pref) end // 100, price)::bigint as month_cost from found where rn = 1""")
+def y2(t: Tables) -> DataFrame:
+    """An insulin's month: the least of the cap, the plan's copay or share by the kind of store, and the price; a tier's own row before the one for all."""
+    k, tier = F.col("plan"), F.col("tier")
+    rates = t.tier_cost.where((k % 6 != 0) | (tier == 1)).select("plan", F.when(k % 6 == 0, ".").otherwise(tier.cast("string")).alias("at"), F.when((k + tier) % 3 != 0, 1000 * tier).alias("copay_pref"), F.when((k + tier) % 4 != 0, 1500 * tier).alias("copay"), F.when(k % 5 == 0, 10 * tier).alias("coins_pref"), F.when(k % 2 == 0, 12 * tier).alias("coins"))
+    asked = t.terms.where("flat is not null").select("client", "plan", "drug", "price", ((F.col("client") + k) % 2 == 0).alias("preferred"), F.explode(F.array(F.struct(F.lit(0).alias("rank"), tier.cast("string").alias("at")), F.struct(F.lit(1).alias("rank"), F.lit(".").alias("at")))).alias("x")).select("client", "plan", "drug", "price", "preferred", "x.*")
+    best = rows.first_by(asked.join(rates.withColumn("has", F.lit(True)), ["plan", "at"], "left"), ["client", "plan", "drug"], [F.col("has").isNull().alias("none"), F.col("rank")], ["price", "preferred", "copay_pref", "copay", "coins_pref", "coins"])
+    own = lambda name: F.when(F.col("preferred"), F.coalesce(f"{name}_pref", name)).otherwise(F.coalesce(name, f"{name}_pref"))
+    share = best.withColumn("_share", own("coins"))
+    return share.select("client", "plan", "drug", F.least(F.lit(3500), own("copay"), F.expr("price * _share div 100"), F.col("price")).cast("long").alias("month_cost"))

@@ -267,3 +267,31 @@ def h15(t: Tables) -> DataFrame:
     first = F.format_string("first %d month%s: $%d", n, F.when(n == 1, "").otherwise("s"), F.expr("premium div 100"))
     then = F.when(F.col("cost_type") == 2, F.format_string("%d%%", "cost_amt")).otherwise(F.format_string("$%d", F.expr("cost_amt div 100")))
     return rows.select("plan", "tier", text.story([first, F.concat(F.lit("then "), then)], F.when(F.col("ded_applies"), "after the deductible")).alias("story"))
+
+
+@query("b21_parallel_lists", """with lists as (select client, string_agg(d.drug_name, ', ' order by r.pos) as names, string_agg(d.strength || case when d.drug % 3 = 0 then ',000 mg' else ' mg' end, ',' order by r.pos) || case when client % 9 = 0 then ',7' else '' end as doses from regimen r join products d on r.drug = d.drug group by client),
+    cut as (select client, string_split(names, ',') as n, list_transform(string_split(regexp_replace(doses, '(\\d),(000 )', '\\1;\\2', 'g'), ','), lambda x: replace(x, ';', ',')) as d from lists)
+    select client, i::int as pos, trim(n[i]) as name, case when len(n) = len(d) then d[i] end as dose from cut, generate_series(1, 8) g(i) where i <= len(n)""")
+def b21(t: Tables) -> DataFrame:
+    """Comma lists of names and doses as pairs; thousands keep their comma."""
+    dose_ = F.concat(F.col("strength").cast("string"), F.when(F.col("drug") % 3 == 0, ",000 mg").otherwise(" mg"))
+    rows = t.regimen.join(t.products.select("drug", "drug_name", "strength"), "drug").groupBy("client").agg(F.sort_array(F.collect_list(F.struct("pos", "drug_name", dose_.alias("dose")))).alias("x"))
+    extra = F.when(F.col("client") % 9 == 0, ",7").otherwise("")
+    lists = rows.select("client", F.array_join("x.drug_name", ", ").alias("names"), F.concat(F.array_join("x.dose", ","), extra).alias("doses"))
+    made = lists.select("client", F.posexplode(clean.paired_lists(F.col("names"), F.col("doses"))).alias("i", "p"))
+    return made.select("client", (F.col("i") + 1).alias("pos"), "p.name", F.col("p.value").alias("dose"))
+
+
+@query("b22_zips", """select client, case when regexp_matches(z, '^\\d{5}(-\\d{4})?$') then substr(z, 1, 5) else z end as zip, regexp_matches(z, '^\\d{5}(-\\d{4})?$') as fine from (select client, case client % 4 when 0 then zip when 1 then zip || '-1234' when 2 then zip || '-12' else substr(zip, 2) end as z from clients)""")
+def b22(t: Tables) -> DataFrame:
+    """ZIPs that are valid, and the rows set aside as they were written."""
+    k = F.col("client") % 4
+    z = F.when(k == 0, F.col("zip")).when(k == 1, F.concat("zip", F.lit("-1234"))).when(k == 2, F.concat("zip", F.lit("-12"))).otherwise(F.substring("zip", 2, 4))
+    fine, others = clean.split_valid(t.clients.select("client", z.alias("z")), clean.zip5(F.col("z")), "zip")
+    return fine.select("client", "zip", F.lit(True).alias("fine")).union(others.select("client", "z", F.lit(False)))
+
+
+@query("h3_name_norm", f"""select doc_id, md5({WORDS_SQL.format("regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '.', ' '), '[''’]', '', 'g'), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9& ]', ' ', 'g')")}) as name from documents""")
+def h3(t: Tables) -> DataFrame:
+    """Whole texts as names, by their digests."""
+    return t.read("documents").select("doc_id", F.md5(text.name_norm(F.col("text"))).alias("name"))

@@ -12,8 +12,8 @@ from tiermark.plans.registry import query
 #: A part's name as that of a product, a word for an ingredient.
 CONCEPTS = "concepts as (select p_partkey as rxcui, split_part(p_name, ' ', 1) || ' ' || p_size || ' MG / ' || split_part(p_name, ' ', 2) || ' 5 MG ' || p_type || case when p_partkey % 3 = 0 then ' [' || p_brand || ']' else '' end as name from part)"
 DICTIONARY = f"{CONCEPTS}, dict as (select p_partkey as rxcui, list_sort([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as ingredients, p_size::double as strength, lower(p_type) as form, case when p_partkey % 3 = 0 then lower(p_brand) end as brand from part)"
-#: Every customer's order comment, as it were: a name, misspelt for some, and a strength.
-MENTIONS = "mentions as (select l_orderkey * 10 + l_linenumber as mention, split_part(p_name, ' ', 2) as second, split_part(p_name, ' ', 1) as first, p_size as strength, l_orderkey % 4 as kind, p_type as form from lineitem join part on l_partkey = p_partkey where l_quantity <= 5)"
+#: Every order line as a written request: a name and a strength.
+MENTIONS = "mentions as (select l_orderkey * 10 + l_linenumber as mention, split_part(p_name, ' ', 2) as second, split_part(p_name, ' ', 1) as first, p_size as strength, l_orderkey % 4 as kind, p_type as form from lineitem join part on l_partkey = p_partkey)"
 
 
 def concepts(t: Tables) -> DataFrame:
@@ -25,7 +25,7 @@ def concepts(t: Tables) -> DataFrame:
 
 def mentions(t: Tables) -> DataFrame:
     words = F.split("p_name", " ")
-    lines = t.read("lineitem").where("l_quantity <= 5").join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(t.read("part"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mention"), words[0].alias("first"), words[1].alias("second"), F.col("p_size").alias("strength"), (F.col("l_orderkey") % 4).alias("kind"), F.col("p_type").alias("form"))
 
 
@@ -164,3 +164,57 @@ def r13(t: Tables) -> DataFrame:
     k = F.col("kind")
     asked_ = mentions(t).select("first", "second", "kind").distinct().select(F.concat_ws("+", "first", "second", k.cast("string")).alias("mention"), F.array(F.when(k == 0, F.col("first")), F.when(k == 1, F.col("second")), F.when(k < 3, F.col("first"))).alias("tries"))
     return resolve.first_known(asked_, known).select("mention", "attempt")
+
+
+SAID_FORMS = ("%s 5 mg tablet", "%s ER 24 hr capsule", "%s chewable tab", "%s ophth soln", "%s nasal spray 50 mcg/act", "%s HFA inhaler", "%s pen-injector", "%s cream 1%%", "%s DR cap", "%s oral suspension", "%s patch 0.1 mg/24 hr", "%s")
+FORM_TEXT = "[" + ", ".join("'" + f.replace("%%", "%") + "'" for f in SAID_FORMS) + f"][p_partkey % {len(SAID_FORMS)} + 1]"
+
+
+def has_sql(words: str) -> str:
+    return f"regexp_matches(f, '\\b({'|'.join(words.split())})\\b')" if words else "true"
+
+
+def forms_sql() -> str:
+    form = " ".join(f"when {has_sql(w)} then '{k}'" for k, w, _ in resolve.FORMS)
+    kind = " ".join(f"when {has_sql(w)} then case {' '.join(f'when {has_sql(x)} then {chr(39)}{n}{chr(39)}' for n, x in kinds)} else '' end" if kinds else f"when {has_sql(w)} then ''" for _, w, kinds in resolve.FORMS)
+    return f"case {form} end as form, case {kind} else '' end as kind"
+
+
+@query("r6_forms", f"""with said as (select p_partkey, replace({FORM_TEXT}, '%s', p_name) as raw from part), t as (select p_partkey, replace(lower(raw), '-', ' ') as f, regexp_replace(lower(raw), '/\\s*(24|12)?\\s*(hr|hrs|hour|hours|day)\\b', ' ', 'g') as r from said)
+    select p_partkey, {forms_sql()}, case when regexp_matches(r, '\\b({resolve.RELEASES[0][1].replace(" ", "|")})\\b') or regexp_matches(r, '\\b(12|24) ?(hr|hour)\\b') then 'er' when regexp_matches(r, '\\b({resolve.RELEASES[1][1].replace(" ", "|")})\\b') then 'dr' else 'ir' end as release from t""")
+def r6(t: Tables) -> DataFrame:
+    """Form, its kind and the release class of a product's text."""
+    said = F.element_at(F.array(*[F.format_string(f, "p_name") for f in SAID_FORMS]), (F.col("p_partkey") % len(SAID_FORMS) + 1).cast("int"))
+    return t.read("part").select("p_partkey", resolve.dose_form(said).alias("x"), resolve.release(said).alias("release")).select("p_partkey", "x.form", "x.kind", "release")
+
+
+@query("r16_scored", f"with {MENTIONS} select kind::int as \"group\", count(*) as cases, count(case when kind < 3 then 1 end) as answered, count(*) as right_drug, count(*) as \"right\" from mentions group by kind")
+def r16(t: Tables) -> DataFrame:
+    """The resolver against what each line was written from: as it is, turned round, with a salt and a form, and junk that must not be resolved."""
+    m = mentions(t)
+    k, mg = F.col("kind"), F.concat(F.col("strength").cast("string"), F.lit(" mg"))
+    said = F.when(k == 0, F.concat_ws(" ", F.initcap("first"), "second", mg)).when(k == 1, F.concat_ws(" ", F.upper("second"), "first", mg)).when(k == 2, F.concat_ws(" ", "first", "second", F.lit("hydrochloride"), mg, F.lit("tab"))).otherwise(F.concat_ws(" ", F.lit("xq"), "first", F.lit("zzv")))
+    labels = m.select(said.alias("mention"), k.alias("group"), F.when(k < 3, F.array_join(F.array_sort(F.array_distinct(F.array("first", "second"))), "+")).alias("ingredients"), F.when(k < 3, F.col("strength").cast("double")).alias("strength"))
+    labels = labels.groupBy("mention", "group", "ingredients", "strength").agg(F.count(F.lit(1)).alias("n"))
+    read = labels.select("mention", F.split(resolve.prepared(F.col("mention"), {"tab": "tablet"}), " ").alias("w"), F.get(resolve.strengths(F.col("mention")), F.lit(0)).alias("said"))
+    asked_ = read.select("mention", resolve.names_only(F.col("w"), ["tablet", "hydrochloride"]).alias("words"), "said")
+    products = resolve.dictionary(concepts(t)).select("rxcui", F.array_distinct("ingredients").alias("ingredients"), F.col("strengths")[0].alias("strength"))
+    # products alike in all that is asked for are one
+    kinds = products.groupBy("ingredients", "strength").agg(F.min("rxcui").alias("rxcui"))
+    met = resolve.candidates(asked_.select("mention", "words"), kinds).join(kinds, "rxcui").join(asked_.select("mention", "said"), "mention")
+    best = resolve.narrowed(met, [resolve.same_strength(F.col("strength"), F.col("said"))])
+    told = best.groupBy("mention").agg(F.min_by(F.struct(F.array_join("ingredients", "+").alias("ingredients"), "strength"), "rxcui").alias("x")).select("mention", "x.*")
+    return resolve.scored(told, labels)
+
+
+GUESSES = "guesses as (select p_partkey, split_part(p_name, ' ', 1) as guess, case p_partkey % 4 when 0 then split_part(p_name, ' ', 1) when 1 then left(split_part(p_name, ' ', 1), greatest(1, length(split_part(p_name, ' ', 1)) - 1)) when 2 then 'x' || split_part(p_name, ' ', 2) else ' ' || upper(split_part(p_name, ' ', 1)) || 'qqq ' end as written from part)"
+
+
+@query("r17_confidence", f"with {GUESSES}, c as (select *, 1 - levenshtein(lower(trim(written)), guess)::double / greatest(length(trim(written)), length(guess)) as confidence from guesses) select p_partkey, case when confidence >= 0.7 then guess else trim(written) end as name, case when confidence < 0.7 and lower(trim(written)) <> guess then 'possibly ' || guess end as note from c")
+def r17(t: Tables) -> DataFrame:
+    """Below the gate the name as written stays, and the guess is a note; confidence is how alike they are."""
+    words, k = F.split("p_name", " "), F.col("p_partkey") % 4
+    written = F.when(k == 0, words[0]).when(k == 1, F.left(words[0], F.greatest(F.lit(1), F.length(words[0]) - 1))).when(k == 2, F.concat(F.lit("x"), words[1])).otherwise(F.concat(F.lit(" "), F.upper(words[0]), F.lit("qqq ")))
+    rows_ = t.read("part").select("p_partkey", words[0].alias("guess"), written.alias("written"))
+    sure = resolve.similarity(F.lower(F.trim("written")), F.col("guess"))
+    return rows_.select("p_partkey", resolve.gated(F.col("written"), F.col("guess"), sure).alias("x")).select("p_partkey", "x.name", "x.note")
