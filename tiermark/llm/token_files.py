@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from tiermark.llm.common import small_batches, use_checkpoints
 
-#: Stems whose ids a worker remembers, words made of them, and the longest of either in characters: what it holds is bounded.
-KEEP, WORDS, LONG = 800_000, 800_000, 64
+#: Words whose ids a worker remembers, and the longest of them in characters: what it holds is bounded.
+KEEP, LONG = 1_000_000, 64
 #: Words that are encoded in one call, and the character from which on a word is encoded by itself.
 TOGETHER, PLAIN = 128, "\u0250"
-#: Signs that may end a word; the tokenizer's patterns part them from a letter or digit before them.
-SIGNS = ".,;:!?"
 #: Bytes of an ORC stripe, rows between two entries of its row index, and bytes of text for a file, about.
 STRIPE, STRIDE, FILE = 32 << 20, 1000, 128 << 20
 
@@ -31,9 +29,7 @@ class Words:
 
     Only the space and the line feed part words here. The tokenizer drops white space,
     none of its patterns or characters reaches across it, so a text's ids are those
-    of its words in a row. Nor do they reach from a letter or digit to a sign, and
-    letters count as small ones: so a word of Latin-1 characters has the ids of its
-    stem in small letters, then those of the signs at its end.
+    of its words in a row.
     """
 
     def __init__(self, path: str):
@@ -41,53 +37,53 @@ class Words:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.stems: dict[str, bytes] = {"": b""}
+        vocabulary = self.model.get_vocab()
+        #: Whether a token ends a run of letters.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, many encoded at a time, as a call takes longer than a word; tokens find their words by their places."""
+        """Ids of words, many encoded at a time, as a call takes longer than a word.
+
+        Words of letters alone end where a token does that ends a run of letters; tokens
+        of others find their words by their places.
+        """
         found: dict[str, bytes] = {}
-        plain = [w for w in words if max(w) < PLAIN and len(w) <= LONG]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[w] for w in words if max(w) >= PLAIN or len(w) > LONG]
-        for group, made in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            raw = np.array(made.ids, dtype="<u4").tobytes()
+        plain = [w for w in words if len(w) <= LONG and (w.isascii() or max(w) < PLAIN)]
+        letters, mixed = [w for w in plain if w.isalpha()], [w for w in plain if not w.isalpha()]
+        cut = lambda some: [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
+        alone = [[w] for w in words if len(w) > LONG or not w.isascii() and max(w) >= PLAIN]
+        groups, n = [*cut(letters), *cut(mixed), *alone], -(-len(letters) // TOGETHER)
+        for k, (group, made) in enumerate(zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True)):
+            ids = np.array(made.ids, dtype="<u4")
             if len(group) == 1:
-                found[group[0]] = raw
-                continue
-            starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
-            upto = np.searchsorted([s for s, _ in made.offsets], [*starts[1:], 1 << 60]).tolist()
-            at = 0
-            for w, n in zip(group, upto, strict=True):
-                found[w] = raw[at : 4 * n]
-                at = 4 * n
+                upto = [len(ids)]
+            elif k < n:
+                upto = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            else:
+                starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+                upto = np.searchsorted([s for s, _ in made.offsets], [*starts[1:], 1 << 60]).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, x in zip(group, upto, strict=True):
+                found[w] = raw[at : 4 * x]
+                at = 4 * x
         return found
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """A word's stem in small letters and the signs at its end, or the word as it is."""
-        if word.isascii() or max(word) < "\u0100":
-            stem = word.rstrip(SIGNS)
-            if stem and stem[-1].isalnum():
-                return stem.lower(), word[len(stem) :]
-        return word, ""
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 little-endian bytes each."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        all_words = set().union(*cut)
-        if len(self.known) > WORDS:
-            self.known = {"": b""}
-        new = {w: self.parts(w) for w in all_words.difference(self.known)}
-        asked = {x for both in new.values() for x in both}
-        if len(self.stems) + len(asked) > KEEP:
-            self.stems = {"": b""}
-        found = self.learn(list(asked.difference(self.stems)))
-        self.stems.update((w, x) for w, x in found.items() if len(w) <= LONG)
-        long = {w: self.stems.get(a, found.get(a, b"")) + self.stems[b] for w, (a, b) in new.items() if len(w) > LONG}
-        self.known.update((w, self.stems[a] + self.stems[b] if b else self.stems[a]) for w, (a, b) in new.items() if len(w) <= LONG)
-        if not long:
-            return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
-        return [b"".join([long[w] if len(w) > LONG else self.known[w] for w in ws]) for ws in cut]
+        every = set().union(*cut)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > KEEP:
+            self.known, new = {"": b""}, every.difference([""])
+        found = self.learn(list(new))
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > LONG]}
+        known = self.known
+        known.update(found)
+        if long:
+            return [b"".join([long[w] if len(w) > LONG else known[w] for w in ws]) for ws in cut]
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
 @lru_cache(maxsize=2)
