@@ -120,7 +120,9 @@ def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES
     names = F.array(*[F.lit(k) for k, _ in every])
     found = files.where(F.col("text").rlike(NOTICE)).select("key", F.explode(parts(F.col("text"))).alias("x")).select("key", "x.paragraph", "x.part")
     size = F.size(F.regexp_extract_all("part", F.lit(WORD), F.lit(0)))
-    terms = found.select("key", "paragraph", F.xxhash64("part").alias("at"), size.alias("words"), F.explode(F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0))).alias("term"))
+    # measured once for a part, before its terms become rows
+    measured = found.select("key", "paragraph", F.xxhash64("part").alias("at"), size.alias("words"), F.regexp_extract_all(F.lower("part"), F.lit(TERM), F.lit(0)).alias("terms"))
+    terms = measured.select("key", "paragraph", "at", "words", F.explode("terms").alias("term"))
     # a text that is there more than once has the same parts in each of its rows
     counts = terms.groupBy("key", "paragraph", "at", "words", "term").agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
