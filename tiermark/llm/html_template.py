@@ -159,8 +159,9 @@ def classes(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     named = pages.withColumn("same", F.xxhash64("html"))
     first = named.groupBy("host", "same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "same", "first")
-    copies = first.withColumnsRenamed({"host": "_h", "same": "_s"})
-    single = named.join(copies, (F.col("host") == F.col("_h")) & (F.col("same") == F.col("_s")) & (F.col("page_id") > F.col("first")), "left_anti").select("host", "page_id", "html")
+    copies = checkpoint(first.withColumnsRenamed({"host": "_h", "same": "_s"}))
+    few = copies.limit(SENT + 1).count() <= SENT
+    single = named.join(F.broadcast(copies) if few else copies, (F.col("host") == F.col("_h")) & (F.col("same") == F.col("_s")) & (F.col("page_id") > F.col("first")), "left_anti").select("host", "page_id", "html")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
