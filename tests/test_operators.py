@@ -112,7 +112,7 @@ def test_files(spark, tmp_path):
         files.read_delimited(spark, f"file://{tmp_path}/a.csv", {"zip": "z"})
     (tmp_path / "b.json").write_text('{"plan_id":"p","zip":"1","drugs_entered":["a"],"yearly_drug_cost":{"s":1.5}}\n{bad\n')
     good, bad = files.read_searches(spark, f"file://{tmp_path}/b.json")
-    assert [tuple(r) for r in good.collect()] == [("p", "1", 1, "s", 1.5)] and bad.count() == 1
+    assert [tuple(r) for r in good.collect()] == [("p", "1", 1, "s", 1.5, None, None)] and bad.count() == 1
     (tmp_path / "c.psv").write_text("# note\na|b|c|d|e|f\na|b|c|d|e|f|g\n")
     assert [r["hint"] for r in files.read_cases(spark, f"file://{tmp_path}/c.psv").collect()] == [None, "g"]
     keyed = spark.createDataFrame([(1, 1, "old"), (1, 2, "new")], "k long, line long, v string")

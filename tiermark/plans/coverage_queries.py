@@ -46,12 +46,12 @@ def c6(t: Tables) -> DataFrame:
     return t.captures.join(t.plans.where("plan_type = 'MA'").select("plan", "plan_name"), "plan").join(t.products.where("tier = 2").select("drug", "drug_name"), "drug").select("l_orderkey", "l_linenumber", "plan_name", "drug_name", "retail")
 
 
-@query("c7_best_coverage", """with wants as (select client, drug as wanted, drug + k as drug from regimen, (values (0), (1), (2)) v(k) where pos <= 3), cand as (select w.client, e.plan, w.wanted, p.p_partkey as drug, 1 + p.p_size % 5 as tier, case when (e.plan * 31 + w.drug * 17) % 10 < 8 then cast(round(p.p_retailprice * 100) as bigint) end as price from wants w join eligible e on e.client = w.client join part p on p.p_partkey = w.drug),
+@query("c7_best_coverage", """with wants as (select client, drug as wanted, drug + k as drug from regimen, (values (0), (1), (2)) v(k)), cand as (select w.client, e.plan, w.wanted, p.p_partkey as drug, 1 + p.p_size % 5 as tier, case when (e.plan * 31 + w.drug * 17) % 10 < 8 then cast(round(p.p_retailprice * 100) as bigint) end as price from wants w join eligible e on e.client = w.client join part p on p.p_partkey = w.drug),
     best as (select client, plan, wanted, min(tier * 1000000000000 + (price is null)::int * 500000000000 + coalesce(price, 0) * 1000 + drug - wanted) as k from cand group by client, plan, wanted)
     select client, plan, wanted, (wanted + k % 1000)::bigint as drug, (k // 1000000000000)::int as tier, case when k // 500000000000 % 2 = 0 then (k % 500000000000) // 1000 end::bigint as price from best""")
 def c7(t: Tables) -> DataFrame:
     """Of the products that a written drug may be, the one with the best tier and price on each plan."""
-    wants = t.regimen.where("pos <= 3").select("client", F.col("drug").alias("wanted"), F.explode(F.array(F.col("drug"), F.col("drug") + 1, F.col("drug") + 2)).alias("drug"))
+    wants = t.regimen.select("client", F.col("drug").alias("wanted"), F.explode(F.array(F.col("drug"), F.col("drug") + 1, F.col("drug") + 2)).alias("drug"))
     cand = wants.join(t.products.select("drug", "tier", "cents"), "drug").join(t.eligible, "client")
     listed = (F.col("plan") * 31 + F.col("drug") * 17) % 10 < 8
     cand = cand.withColumn("price", F.when(listed, F.col("cents")))
@@ -86,22 +86,21 @@ def c10(t: Tables) -> DataFrame:
     return near(t).select("client", "npi", "tenths")
 
 
-@query("c11_price_key", """with chains as (select distinct plan, 'chain' || (l_orderkey % 6) as key from captures where l_orderkey % 60 = 0 union select distinct plan, 'npi:' || drug from captures where drug <= 20)
-    select p.plan, s.npi, coalesce(a.key, b.key) as key from plans p join stores s on (p.plan + s.npi) % 20 = 0 left join chains a on a.plan = p.plan and a.key = s.chain left join chains b on b.plan = p.plan and b.key = 'npi:' || s.npi""")
+@query("c11_price_key", """with keys as (select distinct plan, 'chain' || (l_orderkey % 6) as key from captures where l_orderkey % 6 <> 5 union select distinct plan, 'npi:' || (l_orderkey % 200) from captures)
+    select p.plan, s.npi, coalesce(a.key, b.key) as key from plans p join stores s on (p.plan + s.npi) % 20 = 0 left join keys a on a.plan = p.plan and a.key = s.chain left join keys b on b.plan = p.plan and b.key = 'npi:' || s.npi""")
 def c11(t: Tables) -> DataFrame:
-    by_chain = t.captures.where("l_orderkey % 60 = 0").select("plan", F.concat(F.lit("chain"), (F.col("l_orderkey") % 6).cast("string")).alias("key"))
-    by_store = t.captures.where("drug <= 20").select("plan", F.concat(F.lit("npi:"), F.col("drug").cast("string")).alias("key"))
+    """A store's price key on a plan: its chain if that was captured, else itself if it was; the plan's network has one store in twenty."""
+    k = F.col("l_orderkey")
+    by_chain = t.captures.where(k % 6 != 5).select("plan", F.concat(F.lit("chain"), (k % 6).cast("string")).alias("key"))
+    by_store = t.captures.select("plan", F.concat(F.lit("npi:"), (k % 200).cast("string")).alias("key"))
     keys = by_chain.union(by_store).distinct()
     pairs = t.plans.select("plan", F.pmod(-F.col("plan"), F.lit(20)).alias("k")).join(t.stores.select("npi", "chain", (F.col("npi") % 20).alias("k")), "k")
-    a, b = keys.withColumnRenamed("key", "ka"), keys.withColumnRenamed("key", "kb")
     pairs = pairs.withColumn("ka", F.col("chain")).withColumn("kb", F.concat(F.lit("npi:"), F.col("npi").cast("string")))
-    both = pairs.join(a.withColumn("ha", F.lit(True)), ["plan", "ka"], "left").join(b.withColumn("hb", F.lit(True)), ["plan", "kb"], "left")
+    a, b = keys.select("plan", F.col("key").alias("ka"), F.lit(True).alias("ha")), keys.select("plan", F.col("key").alias("kb"), F.lit(True).alias("hb"))
+    both = pairs.join(a, ["plan", "ka"], "left").join(b, ["plan", "kb"], "left")
     return both.select("plan", "npi", F.coalesce(F.when(F.col("ha"), F.col("ka")), F.when(F.col("hb"), F.col("kb"))).alias("key"))
 
 
-ZIPS_SQL = "zips as (select distinct zip::int as zip, county from clients where client % 5 <> 0)"
-
-
 @query("c13_counties_of_plan", "select plan, count(distinct county) as counties, array_to_string(list_sort(list(distinct county)), ',') as sold_in, bool_or(county = 3) as in_three from service_area group by plan")
 def c13(t: Tables) -> DataFrame:
     made = t.service_area.groupBy("plan").agg(F.sort_array(F.collect_set("county")).alias("c"))

@@ -97,7 +97,7 @@ def c20(t: Tables) -> DataFrame:
 
 
 @query("d8_agreement", """with rows_ as (select c.drug as label, c.drug, c.retail % 89 = 0 as flipped, p.tier <= 3 as listed from captures c join products p on p.drug = c.drug),
-    votes as (select r.label, p.drug as candidate, p.drug_name as kind, (p.tier <= 3) = (listed <> flipped) as agree, (listed <> flipped) as covered from rows_ r join products p on p.drug in (r.drug, r.drug + 1)),
+    votes as (select r.label, p.drug as candidate, hash(p.drug_name) as kind, (p.tier <= 3) = (listed <> flipped) as agree, (listed <> flipped) as covered from (select rows_.*, drug + k as candidate from rows_, (values (0), (1)) v(k)) r join products p on p.drug = r.candidate),
     sums as (select label, candidate, kind, sum(agree::int)::bigint as agreed, count(*) as seen, sum((agree and covered)::int)::bigint as covered from votes group by label, candidate, kind), ranked as (select *, agreed > 0 and agreed = max(agreed) over (partition by label) as top from sums)
     select label, candidate, agreed, seen, covered, top and agreed = seen and seen >= 2 and covered >= 1 and min(case when top then kind end) over (partition by label) = max(case when top then kind end) over (partition by label) as accepted from ranked""")
 def d8(t: Tables) -> DataFrame:

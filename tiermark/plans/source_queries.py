@@ -33,22 +33,25 @@ def a2(t: Tables) -> DataFrame:
 def a3(t: Tables) -> DataFrame:
     path = files.shared_folder(t.spark, "a3")
     t.read("lineitem").select("l_suppkey", "l_partkey", "l_quantity").write.options(header=True, sep="|").csv(path)
-    rows = files.read_delimited(t.spark, path, {"l_suppkey": "plan", "l_partkey": "drug"}, "|")
-    ours = t.read("supplier").where("s_nationkey = 3").select(F.col("s_suppkey").cast("string").alias("plan"))
-    return files.only_keys(rows, ours, ["plan"]).groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
+    ours = t.read("supplier").where("s_nationkey = 3").select(F.col("s_suppkey").cast("string").alias("key"))
+    rows = files.read_prefixed(t.spark, path, "plan string, drug string, qty string", ours)
+    return rows.groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a4_json_searches", "select c_custkey::varchar as plan_id, 'store' || k as store, ((c_custkey * k) % 1000)::double as cost, 2 as drugs from customer, (values (1), (2), (3)) v(k)")
+@query("a4_json_searches", """select c_custkey::varchar as plan_id, 'store' || k as store, ((c_custkey * k) % 1000)::double as cost, 2 as drugs, case when k < 3 then 'month ' || (c_custkey % 12 + 1) end as met, case when k <> 2 then (k * 1.5)::double end as distance from customer, (values (1), (2), (3)) v(k) where c_custkey % 7 <> 0
+    union all select c_custkey::varchar, null, null, 2, null, null from customer where c_custkey % 7 = 0""")
 def a4(t: Tables) -> DataFrame:
-    """JSON lines, one in a hundred of them broken: those are set aside."""
+    """JSON lines, one in a hundred of them broken, which are set aside; one in seven searches has no costs."""
     path = files.shared_folder(t.spark, "a4")
     k = F.col("c_custkey")
-    costs = F.map_from_arrays(F.array(*[F.lit(f"store{i}") for i in (1, 2, 3)]), F.array(*[(k * i % 1000).cast("double") for i in (1, 2, 3)]))
-    doc = F.to_json(F.struct(k.cast("string").alias("plan_id"), F.lit("55001").alias("zip"), F.array(F.lit("a"), F.lit("b")).alias("drugs_entered"), costs.alias("yearly_drug_cost")))
+    costs = F.when(k % 7 != 0, F.map_from_arrays(F.array(*[F.lit(f"store{i}") for i in (1, 2, 3)]), F.array(*[(k * i % 1000).cast("double") for i in (1, 2, 3)])))
+    shops = F.array(*[F.struct(F.lit(f"store{i}").alias("name"), F.lit(i * 1.5).alias("distance")) for i in (1, 3)])
+    met = F.map_from_arrays(F.array(F.lit("store1"), F.lit("store2")), F.array_repeat(F.concat(F.lit("month "), (k % 12 + 1).cast("string")), 2))
+    doc = F.to_json(F.struct(k.cast("string").alias("plan_id"), F.lit("55001").alias("zip"), F.array(F.lit("a"), F.lit("b")).alias("drugs_entered"), shops.alias("pharmacies"), costs.alias("yearly_drug_cost"), met.alias("deductible_met")))
     lines = t.read("customer").select(doc.alias("value")).union(t.read("customer").where("c_custkey % 100 = 0").select(F.lit("{broken")))
     lines.write.text(path)
     good, _ = files.read_searches(t.spark, path)
-    return good.select("plan_id", "store", "cost", "drugs")
+    return good.select("plan_id", "store", "cost", "drugs", "met", "distance")
 
 
 @query("a5_case_scan", "select p_name as name, p_size::varchar as dosage, case when p_partkey % 2 = 0 then 'near' end as hint, count(*) as n from part group by 1, 2, 3")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tiermark.operators import year
+from tiermark.plans.coverage_queries import NEAR_SQL, near
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 
@@ -190,17 +191,18 @@ def e10(t: Tables) -> DataFrame:
     return both.select(*GROUPS, said.alias("met"), "capped")
 
 
-@query("d9_store_totals", f"""{YEAR_SQL}, placed as (select costs.*, npi, miles from costs join (select plan as p, drug as d, min(npi) as npi, min((plan * 7 + npi) % 30) as miles from (select distinct plan, drug from costs), stores where npi % 50 = (plan + drug) % 50 and npi <= 50 group by plan, drug) on p = plan and d = drug),
-    by_month as (select client, plan, npi, month, sum(cost)::bigint as cost, min(miles) as miles from placed group by client, plan, npi, month)
-    select client, plan, npi, sum(cost)::bigint as year_cost, string_agg(month || '=' || cost, ' ' order by month) as months, min(miles)::bigint as miles from by_month group by client, plan, npi""")
+@query("d9_store_totals", f"""{YEAR_SQL}, {NEAR_SQL}, ranked as (select client, npi, tenths, row_number() over (partition by client order by tenths, npi) as place from near), placed as (select c.client, c.plan, r.npi, c.month, c.cost, r.tenths from costs c join ranked r on r.client = c.client and r.place = 1 + c.drug % 2),
+    by_month as (select client, plan, npi, month, sum(cost)::bigint as cost, min(tenths) as tenths from placed group by client, plan, npi, month)
+    select client, plan, npi, sum(cost)::bigint as year_cost, string_agg(month || '=' || cost, ' ' order by month) as months, min(tenths)::bigint as tenths from by_month group by client, plan, npi""")
 def d9(t: Tables) -> DataFrame:
-    """A store's year: its total, each month's cost, and how far it is."""
-    lowest = t.stores.where("npi <= 50").select((F.col("npi") % 50).alias("k"), "npi")
-    at = costs(t).withColumn("k", (F.col("plan") + F.col("drug")) % 50).join(lowest, "k").withColumn("miles", (F.col("plan") * 7 + F.col("npi")) % 30)
-    by_month = at.groupBy(*GROUPS, "npi", "month").agg(F.sum("cost").alias("cost"), F.min("miles").alias("miles"))
+    """A store's year: its total, each month's cost, and how far it is; drugs are bought at a client's two nearest stores."""
+    place = F.row_number().over(Window.partitionBy("client").orderBy("tenths", "npi"))
+    ranked = near(t).select("client", "npi", "tenths").withColumn("place", place).where("place <= 2")
+    at = costs(t).withColumn("place", (1 + F.col("drug") % 2).cast("int")).join(ranked, ["client", "place"])
+    by_month = at.groupBy(*GROUPS, "npi", "month").agg(F.sum("cost").alias("cost"), F.min("tenths").alias("tenths"))
     listed = F.array_sort(F.collect_list(F.struct("month", "cost")))
-    made = by_month.groupBy(*GROUPS, "npi").agg(F.sum("cost").alias("year_cost"), listed.alias("m"), F.min("miles").alias("miles"))
-    return made.select(*GROUPS, "npi", "year_cost", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["month"], x["cost"])), " ").alias("months"), "miles")
+    made = by_month.groupBy(*GROUPS, "npi").agg(F.sum("cost").alias("year_cost"), listed.alias("m"), F.min("tenths").alias("tenths"))
+    return made.select(*GROUPS, "npi", "year_cost", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["month"], x["cost"])), " ").alias("months"), "tenths")
 
 
 @query("d11_plan_rollup", f"""{SUMMARY_SQL}, cover as (select client, plan, bool_and(price is not null or flat is not null) as all_covered, count(*) as drugs from terms group by client, plan)

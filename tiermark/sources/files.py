@@ -43,6 +43,16 @@ def only_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
+def read_prefixed(spark: SparkSession, path: str, schema: str, keys: DataFrame, sep: str = "|") -> DataFrame:
+    """Delimited lines whose first field is one of keys (column key); others are dropped before they are parsed.
+
+    schema: all columns of the files, in order. Header lines have no key, so they go, too.
+    """
+    lines = spark.read.text(path)
+    ours = lines.join(keys.select(F.col("key").alias("_key")).distinct(), F.substring_index("value", sep, 1) == F.col("_key"), "left_semi")
+    return ours.select(F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"}).alias("x")).select("x.*")
+
+
 def last_per_key(rows: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """Of rows that repeat a key, the one with the largest ordinal."""
     rest = [c for c in rows.columns if c not in keys]
@@ -54,16 +64,24 @@ SEARCH = T.StructType(
         T.StructField("plan_id", T.StringType()),
         T.StructField("zip", T.StringType()),
         T.StructField("drugs_entered", T.ArrayType(T.StringType())),
+        T.StructField("pharmacies", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("distance", T.DoubleType())]))),
         T.StructField("yearly_drug_cost", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("deductible_met", T.MapType(T.StringType(), T.StringType())),
         T.StructField("_bad", T.StringType()),
     ]
 )
 
 
 def read_searches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Captured searches as rows of plan_id, zip, store, cost; and the lines that are no JSON."""
+    """Captured searches as rows of plan_id, zip, drugs, store, cost, met and distance; and the lines that are no JSON.
+
+    A search without costs is a row without a store. met is the month in which the store's
+    deductible is met, distance that of the pharmacy of its name.
+    """
     docs = spark.read.schema(SEARCH).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").json(path)
-    good = docs.where("plan_id is not null").select("plan_id", "zip", F.size("drugs_entered").alias("drugs"), F.explode("yearly_drug_cost").alias("store", "cost"))
+    rows = docs.where("plan_id is not null").select("plan_id", "zip", F.size("drugs_entered").alias("drugs"), "pharmacies", "deductible_met", F.explode_outer("yearly_drug_cost").alias("store", "cost"))
+    at = F.get(F.filter("pharmacies", lambda p: p["name"] == F.col("store")), F.lit(0))
+    good = rows.select("plan_id", "zip", "drugs", "store", "cost", F.try_element_at("deductible_met", F.col("store")).alias("met"), at["distance"].alias("distance"))
     return good, docs.where("plan_id is null and _bad is not null").select(F.col("_bad").alias("line"))
 
 
