@@ -51,7 +51,9 @@ class Words:
         """
         found: dict[str, bytes] = {}
         plain = [w for w in words if len(w) <= LONG and (w.isascii() or max(w) < PLAIN)]
-        letters, mixed = [w for w in plain if w.isalpha()], [w for w in plain if not w.isalpha()]
+        # a letter beyond Latin-1 may become a letter and a mark when it is made small
+        letters = [w for w in plain if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        mixed = list(set(plain).difference(letters))
         cut = lambda some: [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
         alone = [[w] for w in words if len(w) > LONG or not w.isascii() and max(w) >= PLAIN]
         groups, n = [*cut(letters), *cut(mixed), *alone], -(-len(letters) // TOGETHER)
