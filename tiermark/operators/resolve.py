@@ -60,14 +60,13 @@ def names_only(words: Column, skip: Sequence[str]) -> Column:
 def candidates(mentions: DataFrame, products: DataFrame) -> DataFrame:
     """mention, rxcui of the products all of whose words a mention has, and no others.
 
-    mentions: mention, words. Joined on postings, then counted: as many words met as
-    the product has, and as the mention has.
+    mentions: mention, words. That is so where the sets of words are equal, so it is one
+    equal join on the sorted words, instead of counts over all that share a word.
     """
-    words = postings(products)
-    size = words.groupBy("rxcui").agg(F.count(F.lit(1)).alias("has"))
-    asked = mentions.select("mention", F.size("words").alias("asks"), F.explode("words").alias("word"))
-    met = asked.join(words, "word").groupBy("mention", "rxcui", "asks").agg(F.count(F.lit(1)).alias("met"))
-    return met.where("met = asks").join(size, "rxcui").where("met = has").select("mention", "rxcui")
+    named = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda w: w != ""))).alias("_words")
+    asked = mentions.select("mention", named(F.col("words")))
+    has = products.select("rxcui", named(F.flatten(F.transform("ingredients", lambda x: F.split(x, " "))))).where(F.size("_words") > 0)
+    return asked.join(has, "_words").select("mention", "rxcui")
 
 
 def narrowed(found: DataFrame, conditions: Sequence[Column]) -> DataFrame:
