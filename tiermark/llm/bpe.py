@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tiermark.llm.common import small_batches
 
 #: Pieces that a worker remembers, windows likewise, and the bytes of the longest of either: what it holds is bounded.
-KEEP, WINDOWS, LONG = 600_000, 300_000, 48
+KEEP, WINDOWS, LONG = 1_000_000, 800_000, 48
 #: Tokens that are decoded together, as a leaf of the tree.
-LEAF = 64
+LEAF = 1024
 
 
 class TreeBPE:
