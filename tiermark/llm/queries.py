@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from tiermark.llm.alignment import op11
 from tiermark.llm.bpe import op1
+from tiermark.llm.conversation_repair import OP13_SQL, op13
+from tiermark.llm.decontamination import OP12_SQL, op12
 from tiermark.llm.embedding_dedup import op2
 from tiermark.llm.html_template import op4
 from tiermark.llm.licenses import op6
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_simhash": op8,
     "op9_sharding": op9,
     "op10_mixing": op10,
+    "op11_alignment": op11,
+    "op12_decontamination": op12,
+    "op13_conversation_repair": op13,
 }
 
-#: None of them has an equal in SQL; tests hold each against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no equal in SQL; tests hold each against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_decontamination": OP12_SQL, "op13_conversation_repair": OP13_SQL}
