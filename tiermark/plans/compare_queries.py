@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiermark.operators import quality, rows
+from tiermark.operators import loads, quality, rows
 from tiermark.plans.coverage_queries import NEAR_SQL, near
 from tiermark.plans.function_queries import STATUS, status
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 from tiermark.plans.year_queries import YEAR_SQL, costs
+from tiermark.sources.files import shared_folder
 
 STATUS_SQL = f"st as (select client, plan, drug, {STATUS} as status from terms)"
 
@@ -130,6 +131,20 @@ def q2(t: Tables) -> DataFrame:
     return quality.single_valued(t.read("lineitem").select(F.col("l_returnflag").alias("file"), F.year("l_shipdate").alias("year")), "file", "year").withColumnRenamed("values", "years")
 
 
+@query("q2_gated_load", """with years as (select l_orderkey, l_linenumber, year(l_shipdate) as year from lineitem), good as (select * from years where year = 1997), next as (select * from years where year = 1997 and l_orderkey % 2 = 0)
+    select 'good' as step, '' as refused, count(*) as n, sum(l_orderkey)::bigint as keys from good union all select 'mixed years', 'one year', count(*), sum(l_orderkey)::bigint from good
+    union all select 'no rows', 'rows,one year', count(*), sum(l_orderkey)::bigint from good union all select 'good again', '', count(*), sum(l_orderkey)::bigint from next""")
+def q2_gated(t: Tables) -> DataFrame:
+    """Loads one after the other, measured in the pass that writes them: a file of another year, or without rows, changes nothing."""
+    rows_ = t.read("lineitem").select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"))
+    good = rows_.where("year = 1997")
+    turns = [("good", good), ("mixed years", rows_.where("year >= 1997")), ("no rows", rows_.where("year = 1")), ("good again", good.where("l_orderkey % 2 = 0"))]
+    measures = {"n": F.count(F.lit(1)), "years": F.collect_set("year")}
+    gates = {"rows": loads.at_least("n", 1), "one year": loads.one_value("years", 1997)}
+    table = shared_folder(t.spark, "q2")
+    return loads.load_in_turn(turns, table, measures, gates, "l_orderkey long, l_linenumber int, year int", lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys")))
+
+
 @query("q3_unmatched", "select 'plans without area' as what, count(*) as n from plans where plan not in (select plan from service_area) union all select 'products never captured', count(*) from products where drug not in (select drug from captures)")
 def q3(t: Tables) -> DataFrame:
     return quality.unmatched({"plans without area": (t.plans, t.service_area, "plan"), "products never captured": (t.products, t.captures, "drug")})

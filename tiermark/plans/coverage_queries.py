@@ -187,13 +187,35 @@ def e4(t: Tables) -> DataFrame:
     return rows.first_by(near(t), ["client", "chain"], ["tenths", "npi"], ["npi", "tenths"])
 
 
-@query("e5_spread_out")
+def greedy_sql(found: str, same: float) -> str:
+    """The greedy choice as a recursive query: a client's stores one after the other, with those kept so far as a list."""
+    close = f"case when k.lat is not null and r.lat is not null then {MILES_SQL.replace('c.', 'k.').replace('s.', 'r.')} < {same} else abs(k.d - r.d) < 0.05 and k.zip is not distinct from r.zip end"
+    return f"""with recursive found as ({found}), ranked as (select *, row_number() over (partition by client order by d, npi) as i from found),
+    walk as (select client, 0::bigint as i, []::struct(npi bigint, lat double, lon double, d double, zip varchar)[] as kept from (select distinct client from found)
+      union all select w.client, r.i, case when coalesce(list_bool_or(list_transform(w.kept, lambda k: {close})), false) then w.kept else list_append(w.kept, {{npi: r.npi, lat: r.lat, lon: r.lon, d: r.d, zip: r.zip}}) end
+      from walk w join ranked r on r.client = w.client and r.i = w.i + 1)
+    select client, unnest(kept).npi as npi from (select client, kept, row_number() over (partition by client order by i desc) as last from walk) where last = 1"""
+
+
+#: Stores near clients; with gaps, every third without coordinates, its ZIP one of few.
+FOUND_SQL = "select client, npi, {lat} as lat, {lon} as lon, {zip} as zip, d from (select c.client, s.npi, s.lat, s.lon, {miles} as d from clients c join stores s on abs(s.lat - c.lat) < 1 and abs(s.lon - c.lon) < 1.5) where d <= 30"
+
+
+@query("e5_spread_out", greedy_sql(FOUND_SQL.format(lat="lat", lon="lon", zip="null::varchar", miles=MILES_SQL), 2.0))
 def e5(t: Tables) -> DataFrame:
-    """Greedy; held against a loop in the tests."""
+    """Greedy, in rounds over the pairs that are too close."""
     found = near(t).select("client", "npi", "lat", "lon", "distance")
     return stores.spread_out(found, ["client"], same=2.0).select("client", "npi")
 
 
+@query("e5_without_coordinates", greedy_sql(FOUND_SQL.format(lat="case when npi % 3 > 0 then lat end", lon="case when npi % 3 > 0 then lon end", zip="(npi % 2)::varchar", miles=MILES_SQL).replace("d from", "floor(d * 10) / 10 as d from", 1), 15.0))
+def e5_bare(t: Tables) -> DataFrame:
+    """Stores without coordinates: too close by ZIP and like distance from the client."""
+    known = F.col("npi") % 3 > 0
+    found = near(t).select("client", "npi", F.when(known, F.col("lat")).alias("lat"), F.when(known, F.col("lon")).alias("lon"), (F.floor(F.col("distance") * 10) / 10).alias("distance"), (F.col("npi") % 2).cast("string").alias("zip"))
+    return stores.spread_out(found, ["client"], same=15.0).select("client", "npi")
+
+
 @query("e6_top_stores", f"with {NEAR_SQL} select client, npi from (select *, row_number() over (partition by client order by (not preferred)::int, (chain = 'chain0')::int, tenths, npi) as rn from near) where rn <= 4")
 def e6(t: Tables) -> DataFrame:
     return rows.top(near(t), ["client"], [~F.col("preferred"), F.col("chain") == "chain0", "tenths", "npi"], 4).select("client", "npi")

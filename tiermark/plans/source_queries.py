@@ -105,10 +105,21 @@ def s1(t: Tables) -> DataFrame:
     path = files.shared_folder(t.spark, "s1")
     t.captures.repartition(3).write.parquet(f"{path}/in")
     order = ["captured_at", "l_orderkey", "l_linenumber"]
-    stream = captures.keep_newest(t.spark, f"{path}/in", t.captures.schema, f"{path}/out", f"{path}/checkpoint", ["plan", "drug", "chain"], order)
+    stream = captures.keep_newest_parts(t.spark, f"{path}/in", t.captures.schema, f"{path}/out", f"{path}/checkpoint", ["plan", "drug", "chain"], order)
     stream.awaitTermination()
-    last = max(p["batchId"] for p in stream.recentProgress)
-    return t.spark.read.parquet(f"{path}/out/{last}").select("plan", "drug", "chain", "qty", "retail")
+    return captures.newest_parts(t.spark, t.captures.schema, f"{path}/out").select("plan", "drug", "chain", "qty", "retail")
+
+
+@query("s2_windows_streamed", """with each as (select event_type, ts, date_trunc('hour', ts) - interval (hour(ts) % 6) hour as w from events), last as (select max(ts) as newest from events)
+    select w as window_start, event_type, count(*) as n from each, last where w + interval 6 hour <= newest - interval 1 day group by w, event_type""")
+def s2_streamed(t: Tables) -> DataFrame:
+    """Events as a stream in order of time, three files: windows that the watermark has closed."""
+    path = files.shared_folder(t.spark, "s2")
+    events = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{path}/in")
+    # a day of slack is counted from the newest event, in whole milliseconds
+    captures.stream_windowed_counts(t.spark, f"{path}/in", events.schema, f"{path}/out", f"{path}/checkpoint", files=100).awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 @query("s2_event_windows", "select time_bucket(interval '6 hours', ts) as window_start, event_type, count(*) as n from events group by 1, 2")

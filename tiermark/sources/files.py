@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4()}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder below the shared one and read again: what follows does not compute it anew, whichever executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_delimited(spark: SparkSession, path: str, columns: Mapping[str, str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Columns by their names in the header, all strings, as the names given.
 
