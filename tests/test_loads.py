@@ -105,3 +105,17 @@ def test_a_chain_of_stores(spark):
     found = [(1, i, 45.0, -93.0 + i * 0.0015, i * 0.0733, None) for i in range(12)]
     df = spark.createDataFrame(found, "client long, npi long, lat double, lon double, distance double, zip string")
     assert {(r.client, r.npi) for r in stores.spread_out(df, ["client"]).collect()} == greedy(found, 0.1) == {(1, i) for i in range(0, 12, 2)}
+
+
+def test_store_match(spark):
+    network = [
+        (1, 10, "Coborn's Pharmacy", "1106 8TH STREET SW STE 2", "56164"), (1, 11, "PIPESTONE CLINIC", "1106 8th St. SW", "56164"), (2, 12, "Coborn's", "1106 8TH ST SW", "56164"),
+        (1, 20, "SANFORD BEMIDJI", "1300 ANNE ST NW STE B", "56601"), (1, 21, "SANFORD BEMIDJI SOUTH", "1300 ANNE STREET NW, SUITE C", "56601"), (1, 22, "OTHER", "1300 ANNE ST NW", "56601"),
+    ]
+    captured = [
+        ("words", "Coborn's Pharmacy #2034", "1106 8th St Sw, Pipestone, MN 56164", 1), ("none named", "Acme Drug", "1106 8th St Sw, Pipestone, MN 56164", 1), ("plan", "Coborn's", "1106 8th St Sw, Pipestone, MN 56164", 2),
+        ("suite", "Sanford Health", "1300 Anne St Nw Ste C, Bemidji, MN 56601", 1), ("another suite", "Sanford Health", "1300 Anne St Nw Ste D, Bemidji, MN 56601", 1), ("no suite", "Sanford Health", "1300 Anne St NW, Bemidji, MN 56601", 1),
+        ("zip", "Sanford Health", "1300 Anne St NW, Bemidji, MN 56602", 1), ("shape", "Sanford", "1300 Anne St NW", 1), ("null", None, None, 1),
+    ]
+    got = stores.store_match(spark.createDataFrame(captured, "id string, store_name string, address string, plan long"), spark.createDataFrame(network, "plan long, npi long, name string, street string, zip string"), ["id"])
+    assert sorted(map(tuple, got.collect())) == [("another suite", 20), ("another suite", 21), ("no suite", 20), ("no suite", 21), ("none named", 10), ("none named", 11), ("plan", 12), ("suite", 21), ("words", 10)]

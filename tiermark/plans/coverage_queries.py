@@ -81,6 +81,27 @@ def c9(t: Tables) -> DataFrame:
     return rows.soft_filter(pairs, ["store"], F.col("own") == F.col("chain")).select("store", "npi")
 
 
+#: How captures and the network write a store's name; the first two share a word.
+CAPTURED_AS, NETWORK_AS = ("Cub Pharmacy #12", "Sanford Health Drug", "Coborn's Pharmacy"), ("CUB PHARMACY", "SANFORD CLINIC NORTH", "Thrifty White")
+
+
+@query("c9_by_words", """with s as (select npi, npi // 8 as place, npi % 3 as name, npi % 4 as suite, (npi + 1) % 4 as other, npi % 5 as plan, npi % 11 = 0 as odd from stores),
+    p as (select a.npi as store, b.npi, a.suite, b.other, a.name = b.name and a.name < 2 as named from s a join s b on a.place = b.place and a.plan = b.plan where not a.odd),
+    n as (select * from (select *, bool_or(named) over (partition by store) as any_named from p) where named or not any_named)
+    select store, npi from (select *, bool_or(suite > 0 and suite = other) over (partition by store) as any_suite from n) where (suite > 0 and suite = other) or not any_suite""")
+def c9_by_words(t: Tables) -> DataFrame:
+    """Captured stores as the network's: street and ZIP as normalised, then name words, then suites."""
+    k = F.col("npi")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    place = F.floor(k / 8).cast("long")
+    zip_ = F.lpad((55001 + place % 900).cast("string"), 5, "0")
+    address = F.concat(place.cast("string"), F.lit(" North Main Street"), pick(("", " Suite A", ", Ste B", " Unit #C"), k % 4), F.lit(", Duluth, MN "), zip_)
+    captured = t.stores.select(k.alias("store"), (k % 5).alias("plan"), pick(CAPTURED_AS, k % 3).alias("store_name"), F.when(k % 11 == 0, "no address").otherwise(address).alias("address"))
+    street = F.concat(place.cast("string"), F.lit(" N. MAIN ST"), pick(("", " STE A", " ROOM B", " UNIT C"), (k + 1) % 4))
+    network = t.stores.select((k % 5).alias("plan"), "npi", pick(NETWORK_AS, k % 3).alias("name"), street.alias("street"), zip_.alias("zip"))
+    return stores.store_match(captured, network, ["store"])
+
+
 @query("c10_nearby", f"with {NEAR_SQL} select client, npi, tenths from near")
 def c10(t: Tables) -> DataFrame:
     return near(t).select("client", "npi", "tenths")

@@ -271,7 +271,7 @@ def h15(t: Tables) -> DataFrame:
 
 @query("b21_parallel_lists", """with lists as (select client, string_agg(d.drug_name, ', ' order by r.pos) as names, string_agg(d.strength || case when d.drug % 3 = 0 then ',000 mg' else ' mg' end, ',' order by r.pos) || case when client % 9 = 0 then ',7' else '' end as doses from regimen r join products d on r.drug = d.drug group by client),
     cut as (select client, string_split(names, ',') as n, list_transform(string_split(regexp_replace(doses, '(\\d),(000 )', '\\1;\\2', 'g'), ','), lambda x: replace(x, ';', ',')) as d from lists)
-    select client, i::int as pos, trim(n[i]) as name, case when len(n) = len(d) then d[i] end as dose from cut, generate_series(1, 8) g(i) where i <= len(n)""")
+    select client, i::int as pos, trim(n[i]) as name, case when len(n) = len(d) then d[i] end as dose from (select *, unnest(range(1, len(n) + 1)) as i from cut)""")
 def b21(t: Tables) -> DataFrame:
     """Comma lists of names and doses as pairs; thousands keep their comma."""
     dose_ = F.concat(F.col("strength").cast("string"), F.when(F.col("drug") % 3 == 0, ",000 mg").otherwise(" mg"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Plans that a client's yearly costs are computed for, and drugs of a client.
-PLANS, DRUGS = 4, 8
+PLANS, DRUGS = 4, 25
 
 # How the proxies spread keys. They are the same in SQL below.
 SQL = {
@@ -23,7 +23,7 @@ SQL = {
     "service_area": "select plan, plan_name, n_nationkey as county, premium, plan_type, deductible, family, 1 + plan % 3 as segment_id from plans, nation where (plan + n_nationkey) % 4 = 0 or plan % 11 = 0",
     "products": "select p_partkey as drug, p_name as drug_name, p_size as strength, p_type as form, p_brand as brand, 1 + p_size % 5 as tier, cast(round(p_retailprice * 100) as bigint) as cents from part",
     "tier_cost": "select plan, t.tier, case when t.tier <= 3 then 1 else 2 end as cost_type, case t.tier when 1 then 0 when 2 then 800 when 3 then 4700 when 4 then 25 else 30 end as cost_amt, t.tier >= 3 as ded_applies from plans, (values (1), (2), (3), (4), (5)) t(tier)",
-    "regimen": "select client, drug, pos from (select client, drug, row_number() over (partition by client order by drug) as pos from (select distinct o_custkey as client, l_partkey as drug from orders join lineitem on o_orderkey = l_orderkey)) where pos <= 8",
+    "regimen": "select client, drug, pos from (select client, drug, row_number() over (partition by client order by drug) as pos from (select distinct o_custkey as client, l_partkey as drug from orders join lineitem on o_orderkey = l_orderkey)) where pos <= 25",
     "eligible": "select client, plan from (select c.client, s.plan, row_number() over (partition by c.client order by s.premium, s.plan) as rn from clients c join service_area s on c.county = s.county where s.plan_type <> 'SNP') where rn <= 4",
     "terms": "select e.client, e.plan, r.drug, r.pos, p.tier, case when (e.plan * 31 + r.drug * 17) % 10 < 8 then (p.cents * (1 + e.plan % 7) * (1 + p.strength % 9)) // 160 end as price, (p.tier >= 3)::int * 100 + 50 as fee, t.cost_type, t.cost_amt, t.ded_applies, case when p.strength % 17 = 0 then 3500 end as flat, n.deductible, case when n.gross then 'gross' else 'classic' end as rule from eligible e join regimen r on e.client = r.client join products p on r.drug = p.drug join tier_cost t on t.plan = e.plan and t.tier = p.tier join plans n on n.plan = e.plan",
     "stores": "select s_suppkey as npi, s_name as store_name, 'chain' || (s_suppkey % 6) as chain, lpad(cast(55001 + s_suppkey * 13 % 900 as varchar), 5, '0') as zip, 43.5 + (s_suppkey * 101 % 1000) * 0.0055 as lat, -97.0 + (s_suppkey * 211 % 1000) * 0.0075 as lon, s_suppkey % 3 = 0 as preferred from supplier",
