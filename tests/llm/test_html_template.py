@@ -125,3 +125,51 @@ def test_templates_of_the_tables_hosts(spark):
     got = {r["row"]["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for r in pages:
         assert got[r["page_id"]] == plain(r["html"]) and "Please share" not in got[r["page_id"]]
+
+
+def test_comments_in_articles_of_their_own_go():
+    page = '<article><h1>Title</h1><p>story</p><article class="comment"><p>reader says</p></article><article id="reply-4">again</article></article>'
+    assert main_text(page, frozenset()) == "Title story"
+    assert main_text('<main class="comments"><p>a</p></main>', frozenset()) == ""
+
+
+def test_broken_pages_take_linear_time():
+    """Each took a quadratic time or path before: a megabyte would not have ended."""
+    import time
+
+    n = 1 << 16
+    pages = ['<a "' * n, "<a '>" * n, '<a ">"' * n + '"', "<a<a" * n, "<!" * n, "</" * n, "<" * n, "<p>" * n, "<div>" * n, "<div><b>" * n, "<b>" * n + "<hr>" * n, "<b>" * n + "</i>" * n, "<a " * n + ">", "<p><b>" * n, "<script>" * n, "<!-- " * n, "<a \"'" * n + ">"]
+    for page in pages:
+        start = time.process_time()
+        list(html_template.scanned(page))
+        assert time.process_time() - start < 5, page[:20]
+    for page in pages:
+        start = time.process_time()
+        main_text(page, frozenset())
+        html_template.counted(page)
+        assert time.process_time() - start < 30, page[:20]
+
+
+OLD = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
+
+
+def by_pattern(page):
+    """The same rules as one pattern, which takes quadratic time."""
+    out = []
+    for m in OLD.finditer(page):
+        name = m[2] or m[5]
+        if m[7] is not None:
+            out.append(("text", m[7], ""))
+        elif name:
+            out.append(("close" if m[1] or m[4] else "open", name.lower(), m[3] if m[2] else m[6]))
+    return out
+
+
+def test_scanner_equals_the_pattern():
+    import random
+
+    made = random.Random(2)
+    parts = ["<", ">", "<a ", "</a ", "<p>", "</p>", '"', "'", "x", " ", "<!", "<!--", "-->", "<?", "=", "/", "<b x='1'>", '<i y="2>3">', "text", "<7", "</"]
+    for _ in range(20_000):
+        page = "".join(made.choice(parts) for _ in range(made.randrange(14)))
+        assert list(html_template.scanned(page)) == by_pattern(page), page

@@ -25,7 +25,11 @@ NOT_TEXT = frozenset("head nav header footer aside form button select option dia
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
+#: A tag as nearly all are, found up to the next < at most: its quotes are closed and hold no < or >.
+USUAL = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)(?=[\s/>])([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"""[>"']""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -43,53 +47,118 @@ def _named(attributes: str) -> str:
     return "." + ".".join(found) if found else ""
 
 
-def tokens(html: str | None) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, content, inside) in page order.
+def after_raw(html: str, name: str, at: int) -> int:
+    """Where an element whose inside is no markup ends; it goes on to the page's end if it is not closed."""
+    done = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+    return done.end() if done else len(html)
+
+
+def scanned(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) of a page: text, open and close with an element's name; comments, declarations and the insides of RAW elements are skipped.
+
+    An attribute's quotes hide a > if they are closed, else the tag ends at the first >; a <
+    that begins nothing is text. Every character is looked at a bounded number of times:
+    a place outside of quotes from which no tag can end is remembered.
+    """
+    at, n, last = 0, len(html), html.rfind(">")
+    dead: set[int] = set()
+    while at < n:
+        here = html.find("<", at)
+        if here != at:
+            here = n if here < 0 else here
+            yield "text", html[at:here], ""
+            at = here
+            continue
+        m = USUAL.match(html, at)
+        if m is not None:
+            closing, name, attributes = m[1], m[2].lower(), m[3]
+            at = m.end()
+            if not closing and name in RAW:
+                at = after_raw(html, name, at)
+                continue
+            yield ("close" if closing else "open"), name, attributes
+            continue
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if at < last and html[at + 1] in "!?":
+            at = html.index(">", at + 2 if html[at + 2 : at + 3] else at) + 1 if last >= at + 2 else n
+            continue
+        m = NAME.match(html, at) if at < last else None
+        if m is None or m.end() > last:
+            yield "text", "<", ""
+            at += 1
+            continue
+        place, passed, end = m.end(), [], -1
+        while place not in dead:
+            passed.append(place)
+            q = QUOTE.search(html, place)
+            if q is None:
+                break
+            if q[0] == ">":
+                end = q.start()
+                break
+            close = html.find(q[0], q.end())
+            if close < 0:
+                break
+            place = close + 1
+        if end < 0:
+            dead.update(passed)
+            end = html.index(">", m.end())
+        name, closing = m[1].lower(), html[at + 1] == "/"
+        at = end + 1
+        if not closing and name in RAW:
+            at = after_raw(html, name, at)
+            continue
+        yield ("close" if closing else "open"), name, html[m.end() : end]
+
+
+def tokens(html: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
+    """(kind, value, content, inside, around) in page order.
 
     kind "tag": value is the path of an element that opens. kind "text": value is the
     text as written, with the path before a line feed. kind "block": a border of
-    blocks. content: not within an element of another use; inside: within an article
-    or, in a page without one, main. Elements left open end with those around them.
+    blocks. A path is a digest of its element and the path around. content: not within an
+    element of another use; inside: within an article or, in a page without one, main.
+    Elements left open end with those around them.
     """
-    html = html or ""
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, content, inside
-    raw_end = 0
-    for m in TOKEN.finditer(html):
-        if m.start() < raw_end:
+    open_ = Counter()
+
+    def end(k: int) -> None:
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
+        del stack[k:]
+
+    for kind, name, attributes in scanned(html or ""):
+        around, content, inside = stack[-1][1:] if stack else ("", True, False)
+        if kind == "text":
+            yield "text", f"{around}\n{name}", content, inside, around
             continue
-        name = (m[2] or m[5] or "").lower()
-        if m[7] is not None:
-            path, content, inside = stack[-1][1:] if stack else ("", True, False)
-            yield "text", f"{path}\n{m[7]}", content, inside
-        elif name and (m[1] or m[4]):
-            if name in BLOCK:
-                yield "block", "", True, False
+        if name in BLOCK:
+            yield "block", "", True, False, ""
+        if kind == "close":
+            if open_[name]:
+                end(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            continue
+        if name in ENDS_P and open_["p"]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+                if stack[k][0] == "p":
+                    end(k)
                     break
-        elif name:
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, m.end())
-                raw_end = end.end() if end else len(html)
-                continue
-            if name in BLOCK:
-                yield "block", "", True, False
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ENDS_P:
-                        break
-            named = _named(m[3] or m[6] or "")
-            path, content, inside = stack[-1][1:] if stack else ("", True, False)
-            path = f"{path}/{name}{named}"
-            content = content and name not in NOT_TEXT and (name in ("html", "body", "article", "main") or not NOT_TEXT_WORDS.intersection(named.split(".")))
-            inside = inside or name in ("article", "main")
-            yield "tag", path, content, inside
-            if name not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                stack.append((name, path, content, inside))
+                if stack[k][0] in ENDS_P:
+                    break
+            around, content, inside = stack[-1][1:] if stack else ("", True, False)
+        named = _named(attributes)
+        words = COMMENT_WORDS if name in ("article", "main") else frozenset() if name in ("html", "body") else NOT_TEXT_WORDS
+        path = xxhash.xxh64_hexdigest(f"{around}/{name}{named}".encode("utf-8", "surrogatepass"))
+        content = content and name not in NOT_TEXT and not words.intersection(named.split("."))
+        inside = inside or name in ("article", "main")
+        yield "tag", path, content, inside, around
+        if name not in VOID and not attributes.rstrip().endswith("/"):
+            stack.append((name, path, content, inside))
+            open_[name] += 1
 
 
 def token_id(kind: str, value: str) -> int:
@@ -107,12 +176,11 @@ def counted(html: str | None) -> dict[tuple[int, bool], tuple[int, int, bool]]:
     """
     found: dict[tuple[int, bool], tuple[int, int, bool]] = {}
     ids: dict[str, int] = {"": PAGE}
-    for kind, value, _, inside in tokens(html):
-        path, _, text = value.partition("\n")
+    for kind, value, _, inside, around in tokens(html):
         if kind == "tag":
-            key, around = (ids.setdefault(path, token_id("tag", path)), False), path.rpartition("/")[0]
-        elif kind == "text" and not text.isspace():
-            key, around = (token_id(kind, value), True), path
+            key = (ids.setdefault(value, token_id("tag", value)), False)
+        elif kind == "text" and not value.partition("\n")[2].isspace():
+            key = (token_id(kind, value), True)
         else:
             continue
         n = found[key][0] if key in found else 0
@@ -129,7 +197,7 @@ def main_text(html: str | None, constant: frozenset[int]) -> str:
     """
     blocks: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
     article = False
-    for kind, value, content, inside in tokens(html):
+    for kind, value, content, inside, _ in tokens(html):
         if kind == "block":
             blocks[True].append([])
             blocks[False].append([])
@@ -223,10 +291,18 @@ def extracted(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
 
     @F.arrow_udf("string")
-    def of(texts: pa.Array, constant: pa.Array) -> pa.Array:
-        return pa.array([main_text(h, frozenset(c or ())) for h, c in zip(texts.to_pylist(), constant.to_pylist(), strict=True)], pa.string())
-
-    return rows.select("row", of("_html", "constant").alias("text"))
+    def of(texts: pa.Array, hosts: pa.Array, constant: pa.Array) -> pa.Array:
+        # templates are the same for a host's pages: a set is made once for each in a batch
+        sets: dict[int, frozenset[int]] = {}
+        ids, starts, ends = constant.values.to_numpy(zero_copy_only=False), constant.offsets.to_numpy()[:-1], constant.offsets.to_numpy()[1:]
+        out = []
+        for h, of_host, a, b in zip(texts.to_pylist(), hosts.to_pylist(), starts, ends, strict=True):
+            if of_host not in sets:
+                sets[of_host] = frozenset(ids[a:b].tolist())
+            out.append(main_text(h, sets[of_host]))
+        return pa.array(out, pa.string())
+
+    return rows.select("row", of("_html", "_host", F.coalesce("constant", F.array().cast("array<long>"))).alias("text"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
