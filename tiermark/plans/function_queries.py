@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiermark.functions import clean, text
 from tiermark.functions.geo import miles
+from tiermark.operators import benefits
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 
@@ -88,6 +89,80 @@ def b12(t: Tables) -> DataFrame:
     return t.plans.select("plan", F.when(offered, copay).alias("copay"), F.when(offered, F.coalesce(copay, F.col("premium") % 30)).alias("share"))
 
 
+#: How a plan fills a gated pair of columns: a flag of yes or no, and an amount or a blank, by two remainders of its number.
+def filled(yn: int, amount: int, n: int) -> tuple[Column, Column]:
+    k = F.col("plan")
+    return F.when(k % yn == 0, "1").when(k % yn == 1, "2"), F.when(k % amount == 0, " ").otherwise((k * n % 400 + 1).cast("string"))
+
+
+def filled_sql(yn: int, amount: int, n: int) -> tuple[str, str]:
+    return f"(plan % {yn} = 0)", f"(case when plan % {amount} > 0 then (plan * {n} % 400 + 1)::double end)"
+
+
+#: Gates and amounts of the columns that benefit rules read, by their place among them.
+def shape(i: int) -> tuple[int, int, int]:
+    return 2 + i % 3, 2 + i % 4, 3 + 2 * i
+
+
+GATED = [c for c in benefits.columns_of(benefits.RULES) if c.endswith("_yn")]
+Y, N = ({c: filled_sql(*shape(i))[j] for i, c in enumerate(GATED)} for j in (0, 1))
+
+
+def share_sql(area: str, name: str) -> str:
+    copay, coins = f"pbp_{area}_copay_yn", f"pbp_{area}_coins_yn"
+    return f"case when {Y[copay]} then coalesce({N[copay]}, 0) when {Y[coins]} then null else 0 end as {name}_copay, case when {Y[copay]} then null when {Y[coins]} then {N[coins]} end as {name}_coins"
+
+
+def gated_sql(*names: str) -> str:
+    return "coalesce(" + ", ".join(f"case when {Y[n + '_yn']} then {N[n + '_yn']} end" for n in names) + ", null)"
+
+
+@query("b12_benefit_rules", f"""select plan, case when {Y['pbp_d_out_pocket_amt_yn']} then {N['pbp_d_out_pocket_amt_yn']} end as oop_max_inn, case when {Y['pbp_d_comb_max_enr_amt_yn']} then {N['pbp_d_comb_max_enr_amt_yn']} end as oop_max_comb,
+  coalesce({gated_sql('pbp_d_ann_deduct', 'pbp_d_inn_deduct', 'pbp_d_comb_deduct')}, 0) as medical_deductible, {gated_sql('pbp_d_mco_pay_reduct')} as part_b_giveback, {share_sql('b7a', 'pcp')}, {share_sql('b7d', 'spec')}, {share_sql('b4a', 'er')},
+  case when {Y['pbp_b1a_copay_yn']} then coalesce({N['pbp_b1a_copay_yn']}, (plan % 90)::double) when {Y['pbp_b1a_coins_yn']} then null else 0 end as hosp_copay, case when {Y['pbp_b1a_copay_yn']} then null when {Y['pbp_b1a_coins_yn']} then {N['pbp_b1a_coins_yn']} end as hosp_coins,
+  case when {Y['pbp_b1a_copay_yn']} and {N['pbp_b1a_copay_yn']} is not null then 1.0 end::double as hosp_day_begin, case when {Y['pbp_b1a_copay_yn']} and {N['pbp_b1a_copay_yn']} is not null then (plan % 7 + 1)::double end as hosp_day_end,
+  {gated_sql('pbp_b16c_maxplan_cmp', 'pbp_b16b_maxplan_pv')} as dental_allowance, {gated_sql('pbp_b17b_comb_maxplan')} as vision_allowance, {gated_sql('pbp_b18b_maxplan')} as hearing_allowance, {gated_sql('pbp_b13b_maxplan')} as otc_amount, case when plan % 4 = 0 or plan % 6 = 1 then 1.0 end::double as fitness_included from plans""")
+def b12_rules(t: Tables) -> DataFrame:
+    """All gated benefits of a plan, by rules that are data."""
+    k = F.col("plan")
+    given = {}
+    for i, gate in enumerate(GATED):
+        flag, amount = filled(*shape(i))
+        stem = gate.removesuffix("_yn")
+        given[gate] = flag
+        of = {s.source for r in benefits.RULES.values() for s in r.steps if s.gate == gate and s.source}
+        given |= {c: amount for c in of if c in (stem, f"{stem}_amt", f"{stem}_amt_mc_min", f"{stem}_pct_mc_min", f"{stem}_mcs_amt_int1_t1", f"{stem}_mcs_pct_t1")}
+    given |= {"pbp_b1a_copay_mcs_amt_t1": (k % 90).cast("string"), "pbp_b1a_copay_mcs_bgnd_int1_t1": F.lit("1"), "pbp_b1a_copay_mcs_endd_int1_t1": (k % 7 + 1).cast("string")}
+    given |= {"pbp_b14c_bendesc_amo_mhc": F.when(k % 4 == 0, "1").otherwise("2"), "pbp_b14c_bendesc_typ_mhc": F.when(k % 6 == 1, "gym").otherwise(" ")}
+    return benefits.benefits(t.plans.select("plan", *[v.alias(c) for c, v in given.items()]), ["plan"])
+
+
+#: A tier column's number, if its plan and tier fill it: by prefix, kind and months.
+TIER_PREFIXES = ("rspfd", "rsstd", "rstd", "mospfd", "mosstd", "mostd")
+
+
+def tier_number(i: int, kind: int, months: int) -> str:
+    return f"case when (plan + tier * {i + 2} + {3 * kind + months}) % {3 + (i + kind) % 3} = 0 then (plan * {i + 3} + tier * {kind + 5} + {months}) % 90 end"
+
+
+def cost_sql(i: int, m: int) -> str:
+    return f"case when ({tier_number(i, 0, m)}) is not null then {{t: 1, a: ({tier_number(i, 0, m)})::double}} when ({tier_number(i, 1, m)}) is not null then {{t: 2, a: ({tier_number(i, 1, m)}) / 100.0::double}} end"
+
+
+def supply_sql(m: int) -> str:
+    split = lambda i: f"case when plan % 3 = 0 then {cost_sql(i, m)} else {cost_sql(2, m)} end"
+    return f"select plan, tier, {1 if m == 1 else 2} as days, coalesce({split(0)}, {split(1)}) as p, coalesce({split(1)}, {split(0)}) as s, coalesce({cost_sql(3, m)}, {cost_sql(4, m)}, {cost_sql(5, m)}, {{t: 0, a: 0.0::double}}) as o from plans, (values (1), (2), (3), (4), (5)) v(tier)"
+
+
+@query("b10_tier_costs", f"select plan, tier, days, p.t as pref_type, p.a as pref_amount, s.t as std_type, s.a as std_amount, o.t as mail_type, o.a as mail_amount from ({supply_sql(1)} union all {supply_sql(3)}) where p is not null")
+def b10_tiers(t: Tables) -> DataFrame:
+    """Wide tier columns as rows, by the grammar of their names: copay before coinsurance, split before unsplit prefixes."""
+    each = t.plans.select("plan", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tier"))
+    wide = {f"mrx_tier_{p}_{kind}_{m}m": F.expr(tier_number(i, j, m)).cast("string") for i, p in enumerate(TIER_PREFIXES) for j, kind in enumerate(("copay", "coins")) for m in (1, 3)}
+    wide["mrx_tier_locat_rsplt"] = F.when(F.col("plan") % 3 == 0, "1").otherwise(" ")
+    return benefits.tier_costs(each.select("plan", "tier", *[c.alias(n) for n, c in wide.items()]), ["plan", "tier"])
+
+
 @query("b13_benefit_text", """select plan, case when giveback = 0 then 'none' when giveback < 4 then '$' || giveback || ' copay' else giveback || '%' end as benefit from plans""")
 def b13(t: Tables) -> DataFrame:
     g = F.col("giveback")
