@@ -114,3 +114,24 @@ def test_null_and_repeated_ids_and_long_texts(spark, long):
     rows = [(1, "a/x", f"{mit}\n\n" + "word " * long), (1, "b/y", apache), (None, "c/z", mit), (None, "d/w", "nothing"), (1, "b/y", apache)]
     made = licensed(spark.createDataFrame(rows, "file_id long, path string, text string")).select("path", "license", F.col("own")).collect()
     assert sorted(map(tuple, made)) == [("a/x", "MIT", True), ("b/y", "Apache-2.0", True), ("b/y", "Apache-2.0", True), ("c/z", "MIT", True), ("d/w", None, False)]
+
+
+def test_versions_choices_and_short_forms(spark):
+    """Lines of the kinds that were read as another version, or not at all."""
+    lines = {
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "LGPL-3.0",
+        "Dual licensed under MIT or Apache-2.0": "MIT OR Apache-2.0",
+        "This project is available under the terms of the MIT license, see LICENSE for details": "MIT",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "BSD-3-Clause",
+        "Eclipse Public License - v 2.0": "EPL-2.0",
+        "Eclipse Public License - v 1.0": "EPL-1.0",
+        "Boost Software License - Version 1.0": "BSL-1.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0",
+        "Licensed under the MIT License.": "MIT",
+        "The license plate of the car was lost in a public domain.": None,
+    }
+    texts = spark.createDataFrame([(t, t) for t in lines], "key string, text string")
+    got = {r["key"]: r["license"] for r in notices(texts).collect()}
+    assert {t: got.get(t) for t in lines} == lines

@@ -23,6 +23,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "The MIT License (MIT)",
+        "Available under the terms of the MIT license, see LICENSE for details.",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
@@ -44,6 +46,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.0": (
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "MIT OR Apache-2.0": (
+        "Dual licensed under MIT or Apache-2.0.",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+    ),
+    "EPL-1.0": ("Eclipse Public License - v 1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "BSL-1.0": ("Boost Software License - Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
@@ -57,6 +75,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
         "BSD 3-Clause License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. The copyright holder",
     ),
@@ -109,7 +128,8 @@ def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES
     license with its most alike part, if that reaches least. Terms that no template has
     weigh as rare ones do, so other words in a part count against it. The license with
     the most words in such parts is the best; ties go to the better score, then the name.
-    score: its best part's; opens: one of its parts is in the first paragraph. The
+    Versions are templates of their own, as a header of one is nearly that of the next; a
+    choice of licenses ("MIT OR Apache-2.0") is one, too. score: its best part's; opens: one of its parts is in the first paragraph. The
     templates' terms are a table of fixed size, which is sent to all tasks.
     """
     spark = files.sparkSession
