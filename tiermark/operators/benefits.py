@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiermark.functions import said
+
 #: A step whose amount is missing leaves the decision to the next one.
 NEXT = "next"
 
@@ -142,3 +144,34 @@ def tier_costs(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     months = sorted({k[2] for k in named} & set(SUPPLIES))
     each = wide.select(*keys, F.explode(F.array(*[supply(m) for m in months])).alias("x")).where("x.pref is not null")
     return each.select(*keys, "x.days", *[F.col(f"x.{k}.{v}").alias(f"{k}_{v}") for k in ("pref", "std", "mail") for v in ("type", "amount")])
+
+
+def cost_shares(costs: DataFrame, keys: Sequence[str], first: Sequence[str] = ("segment",)) -> DataFrame:
+    """What a plan's tier asks, as text: one row for each of keys that has a one-month supply.
+
+    costs: keys, the columns of first, days (1: a month, 2: three), type and amount of pref,
+    std and mail as in tier_costs, ded_applies ("N": no; null and all else: yes) and insulin.
+    Of several rows of a supply, the first by the columns of first counts. retail is the
+    preferred price, else the standard one; retail_standard only where it differs; mail_90 is
+    the mail price of three months. Insulin has its own limit instead. A share that cannot be
+    said is left out of text.
+    """
+    parts = ("pref_type", "pref_amount", "std_type", "std_amount", "mail_type", "mail_amount", "ded_applies", "insulin")
+    of = lambda days: F.min_by(F.when(F.col("days") == days, F.struct(*parts)), F.when(F.col("days") == days, F.struct(*first, *parts)))
+    both = costs.groupBy(*keys).agg(of(1).alias("one"), of(2).alias("three")).where("one is not null")
+    pref, std = (said.share(F.col(f"one.{k}_type"), F.col(f"one.{k}_amount")) for k in ("pref", "std"))
+    rows = both.select(*keys, "one", F.coalesce(pref, std).alias("retail"), F.coalesce(std, pref).alias("_std"), said.share(F.col("three.mail_type"), F.col("three.mail_amount")).alias("mail_90"))
+    rows = rows.withColumn("retail_standard", F.when(~F.col("_std").eqNullSafe(F.col("retail")), F.col("_std")))
+    applies, insulin = ~F.col("one.ded_applies").eqNullSafe("N"), F.coalesce(F.col("one.insulin"), F.lit(False))
+    two = F.col("retail_standard").isNotNull()
+    line = F.concat_ws(
+        said.BETWEEN,
+        F.concat(F.col("retail"), F.when(two, " (preferred pharmacy)").otherwise("")),
+        F.concat(F.col("retail_standard"), F.lit(" standard")),
+        F.when(applies, "deductible applies").otherwise("no deductible"),
+    )
+    short = F.concat(F.regexp_replace(F.coalesce("retail", F.lit("")), " coinsurance", ""), F.when(two, " pref.").otherwise(""), F.when(applies, " · ded. applies").otherwise(" · no ded."))
+    return rows.select(
+        *keys, "retail", "retail_standard", "mail_90", applies.alias("deductible_applies"), insulin.alias("insulin_cap"),
+        F.when(insulin, "$35/month max (insulin)").otherwise(line).alias("text"), F.when(insulin, "$35/mo max (insulin)").otherwise(short).alias("short"),
+    )

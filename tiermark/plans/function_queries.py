@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiermark.functions import clean, text
+from tiermark.functions import clean, said, text
 from tiermark.functions.geo import miles
 from tiermark.operators import benefits
 from tiermark.plans.proxies import Tables
@@ -117,11 +117,14 @@ def gated_sql(*names: str) -> str:
     return "coalesce(" + ", ".join(f"case when {Y[n + '_yn']} then {N[n + '_yn']} end" for n in names) + ", null)"
 
 
-@query("b12_benefit_rules", f"""select plan, case when {Y['pbp_d_out_pocket_amt_yn']} then {N['pbp_d_out_pocket_amt_yn']} end as oop_max_inn, case when {Y['pbp_d_comb_max_enr_amt_yn']} then {N['pbp_d_comb_max_enr_amt_yn']} end as oop_max_comb,
+BENEFITS_SQL = f"""select plan, case when {Y['pbp_d_out_pocket_amt_yn']} then {N['pbp_d_out_pocket_amt_yn']} end as oop_max_inn, case when {Y['pbp_d_comb_max_enr_amt_yn']} then {N['pbp_d_comb_max_enr_amt_yn']} end as oop_max_comb,
   coalesce({gated_sql('pbp_d_ann_deduct', 'pbp_d_inn_deduct', 'pbp_d_comb_deduct')}, 0) as medical_deductible, {gated_sql('pbp_d_mco_pay_reduct')} as part_b_giveback, {share_sql('b7a', 'pcp')}, {share_sql('b7d', 'spec')}, {share_sql('b4a', 'er')},
   case when {Y['pbp_b1a_copay_yn']} then coalesce({N['pbp_b1a_copay_yn']}, (plan % 90)::double) when {Y['pbp_b1a_coins_yn']} then null else 0 end as hosp_copay, case when {Y['pbp_b1a_copay_yn']} then null when {Y['pbp_b1a_coins_yn']} then {N['pbp_b1a_coins_yn']} end as hosp_coins,
   case when {Y['pbp_b1a_copay_yn']} and {N['pbp_b1a_copay_yn']} is not null then 1.0 end::double as hosp_day_begin, case when {Y['pbp_b1a_copay_yn']} and {N['pbp_b1a_copay_yn']} is not null then (plan % 7 + 1)::double end as hosp_day_end,
-  {gated_sql('pbp_b16c_maxplan_cmp', 'pbp_b16b_maxplan_pv')} as dental_allowance, {gated_sql('pbp_b17b_comb_maxplan')} as vision_allowance, {gated_sql('pbp_b18b_maxplan')} as hearing_allowance, {gated_sql('pbp_b13b_maxplan')} as otc_amount, case when plan % 4 = 0 or plan % 6 = 1 then 1.0 end::double as fitness_included from plans""")
+  {gated_sql('pbp_b16c_maxplan_cmp', 'pbp_b16b_maxplan_pv')} as dental_allowance, {gated_sql('pbp_b17b_comb_maxplan')} as vision_allowance, {gated_sql('pbp_b18b_maxplan')} as hearing_allowance, {gated_sql('pbp_b13b_maxplan')} as otc_amount, case when plan % 4 = 0 or plan % 6 = 1 then 1.0 end::double as fitness_included from plans"""
+
+
+@query("b12_benefit_rules", BENEFITS_SQL)
 def b12_rules(t: Tables) -> DataFrame:
     """All gated benefits of a plan, by rules that are data."""
     k = F.col("plan")
@@ -154,7 +157,10 @@ def supply_sql(m: int) -> str:
     return f"select plan, tier, {1 if m == 1 else 2} as days, coalesce({split(0)}, {split(1)}) as p, coalesce({split(1)}, {split(0)}) as s, coalesce({cost_sql(3, m)}, {cost_sql(4, m)}, {cost_sql(5, m)}, {{t: 0, a: 0.0::double}}) as o from plans, (values (1), (2), (3), (4), (5)) v(tier)"
 
 
-@query("b10_tier_costs", f"select plan, tier, days, p.t as pref_type, p.a as pref_amount, s.t as std_type, s.a as std_amount, o.t as mail_type, o.a as mail_amount from ({supply_sql(1)} union all {supply_sql(3)}) where p is not null")
+TIERS_SQL = f"select plan, tier, days, p.t as pref_type, p.a as pref_amount, s.t as std_type, s.a as std_amount, o.t as mail_type, o.a as mail_amount from ({supply_sql(1)} union all {supply_sql(3)}) where p is not null"
+
+
+@query("b10_tier_costs", TIERS_SQL)
 def b10_tiers(t: Tables) -> DataFrame:
     """Wide tier columns as rows, by the grammar of their names: copay before coinsurance, split before unsplit prefixes."""
     each = t.plans.select("plan", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tier"))
@@ -163,18 +169,59 @@ def b10_tiers(t: Tables) -> DataFrame:
     return benefits.tier_costs(each.select("plan", "tier", *[c.alias(n) for n, c in wide.items()]), ["plan", "tier"])
 
 
-@query("b13_benefit_text", """select plan, case when giveback = 0 then 'none' when giveback < 4 then '$' || giveback || ' copay' else giveback || '%' end as benefit from plans""")
+def dollars_sql(x: str) -> str:
+    return f"('$' || format('{{:,}}', round_even(({x})::double, 0)::bigint))"
+
+
+def percent_sql(x: str) -> str:
+    return f"(round_even(({x})::double, 0)::bigint || '%')"
+
+
+def visit_sql(name: str) -> str:
+    return f"coalesce({dollars_sql(name + '_copay')}, {percent_sql(name + '_coins')}, '—')"
+
+
+ALLOWANCES = {"dental": "dental_allowance", "vision": "vision_allowance", "hearing": "hearing_allowance", "otc": "otc_amount"}
+
+
+@query("b13_benefit_text", f"""with raw as ({BENEFITS_SQL}), large as (select * replace (case when plan % 10 = 3 then 0.0::double else oop_max_inn * 41 end as oop_max_inn, case when plan % 8 = 0 then 0.0::double else part_b_giveback end as part_b_giveback, medical_deductible * 11.5 as medical_deductible) from raw)
+    select plan, coalesce({dollars_sql("case when oop_max_inn is null or oop_max_inn = 0 then oop_max_comb else oop_max_inn end")}, '—') as oop_max, coalesce({dollars_sql("medical_deductible")}, '—') as deductible, case when part_b_giveback <> 0 then '+' || {dollars_sql("part_b_giveback")} || ' / mo' end as part_b_giveback,
+    {visit_sql("pcp")} as pcp_visit, {visit_sql("spec")} as specialist_visit, {visit_sql("er")} as emergency_room, {visit_sql("hosp")} as hospital_amount, case when hosp_copay is not null then case when hosp_day_begin is not null and hosp_day_end is not null then 'days ' || hosp_day_begin::bigint || '–' || hosp_day_end::bigint else 'per stay' end end as hospital_note,
+    {", ".join(f"coalesce({dollars_sql(c)}, 'See plan') as {n}" for n, c in ALLOWANCES.items())}, case when fitness_included = 1 then 'Included' else '—' end as fitness, case when plan % 6 > 0 then 2 + (plan % 6) * 0.5 end::double as star_rating from large""")
 def b13(t: Tables) -> DataFrame:
-    g = F.col("giveback")
-    said = F.when(g == 0, "none").when(g < 4, F.format_string("$%d copay", g)).otherwise(F.format_string("%d%%", g))
-    return t.plans.select("plan", said.alias("benefit"))
+    """The benefits of the rules as text; limits are made larger, some zero, for the separators and the fall-backs."""
+    k = F.col("plan")
+    large = b12_rules(t).withColumns({
+        "oop_max_inn": F.when(k % 10 == 3, 0.0).otherwise(F.col("oop_max_inn") * 41),
+        "part_b_giveback": F.when(k % 8 == 0, 0.0).otherwise(F.col("part_b_giveback")),
+        "medical_deductible": F.col("medical_deductible") * 11.5,
+    })
+    stars = F.when(k % 6 > 0, 2 + (k % 6) * 0.5).alias("star_rating")
+    rows = large.select("plan", *[c.alias(n) for n, c in said.benefit_texts().items()], stars)
+    return rows.select("*", F.col("hospital_per_day.amount").alias("hospital_amount"), F.col("hospital_per_day.note").alias("hospital_note")).drop("hospital_per_day")
+
+
+def share_text_sql(k: str) -> str:
+    return f"case when {k}_type = 1 then replace(format('${{:,.2f}}', coalesce({k}_amount, 0)::double) || ' copay', '.00 ', ' ') when {k}_type = 2 then case when coalesce({k}_amount, 0) = 0 then '$0' else format('{{:g}}', {k}_amount * 100) || '% coinsurance' end end"
+
+
+SHARES_SQL = f"""shares as (select plan, tier, segment, days, {share_text_sql("pref")} as pref, {share_text_sql("std")} as std, {share_text_sql("mail")} as mail, coalesce(ded, 'Y') <> 'N' as applies, insulin from (select plan, tier, days, segment, case when pref_type = 1 then pref_amount + (plan % 4) * 0.25 + (plan % 3) * 1000 else pref_amount end as pref_amount, case when segment = 2 then 0 else pref_type end as pref_type, std_type, std_amount, mail_type, mail_amount,
+    case when (plan + tier) % 3 = 0 then 'N' when (plan + tier) % 3 = 1 then 'Y' end as ded, tier = 3 and plan % 5 = 0 as insulin from ({TIERS_SQL}), (values (1), (2)) v(segment) where not (segment = 1 and plan % 7 = 0)) x),
+    firsts as (select *, row_number() over (partition by plan, tier, days order by segment) as rn from shares),
+    paired as (select o.plan, o.tier, coalesce(o.pref, o.std) as retail, nullif(coalesce(o.std, o.pref), coalesce(o.pref, o.std)) as standard, m.mail, o.applies, o.insulin from (select * from firsts where rn = 1 and days = 1) o left join (select * from firsts where rn = 1 and days = 2) m using (plan, tier))"""
 
 
-@query("b14_cost_share_text", """select plan, tier, case when cost_type = 2 then cost_amt || '% of the price' else '$' || (cost_amt // 100) || '.' || lpad((cost_amt % 100)::varchar, 2, '0') || ' copay' end || case when ded_applies then ' after deductible' else '' end as share from tier_cost""")
+@query("b14_cost_share_text", f"""with {SHARES_SQL} select plan, tier, retail, standard as retail_standard, mail as mail_90, applies as deductible_applies, insulin as insulin_cap,
+    case when insulin then '$35/month max (insulin)' else coalesce(retail || case when standard is not null then ' (preferred pharmacy) · ' || standard || ' standard' else '' end || ' · ', '') || case when applies then 'deductible applies' else 'no deductible' end end as text,
+    case when insulin then '$35/mo max (insulin)' else coalesce(replace(retail, ' coinsurance', ''), '') || case when standard is not null then ' pref.' else '' end || case when applies then ' · ded. applies' else ' · no ded.' end end as short from paired""")
 def b14(t: Tables) -> DataFrame:
-    a = F.col("cost_amt")
-    said = F.when(F.col("cost_type") == 2, F.format_string("%d%% of the price", a)).otherwise(F.format_string("$%d.%02d copay", F.expr("cost_amt div 100"), a % 100))
-    return t.tier_cost.select("plan", "tier", F.concat(said, F.when(F.col("ded_applies"), " after deductible").otherwise("")).alias("share"))
+    """What each tier asks, from the tier columns of the benefit files, the first of a plan's segments."""
+    k, tier = F.col("plan"), F.col("tier")
+    amount = F.when(F.col("pref_type") == 1, F.col("pref_amount") + (k % 4) * 0.25 + (k % 3) * 1000).otherwise(F.col("pref_amount"))
+    rows = b10_tiers(t).withColumn("segment", F.explode(F.array(F.lit(1), F.lit(2)))).where(~((F.col("segment") == 1) & (k % 7 == 0)))
+    rows = rows.withColumn("pref_amount", amount).withColumn("pref_type", F.when(F.col("segment") == 2, 0).otherwise(F.col("pref_type")))
+    applies = F.when((k + tier) % 3 == 0, "N").when((k + tier) % 3 == 1, "Y")
+    return benefits.cost_shares(rows.withColumn("ded_applies", applies).withColumn("insulin", (tier == 3) & (k % 5 == 0)), ["plan", "tier"])
 
 
 STATUS = """case when price is not null and flat is not null then 'insulin' when price is not null then 'covered' when drug % 5 = 0 then 'not on list' when flat is not null then 'flat only' else 'not covered' end"""
