@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tiermark.operators import loads, quality, rows
-from tiermark.plans.coverage_queries import NEAR_SQL, near
 from tiermark.plans.function_queries import STATUS, status
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
@@ -68,15 +67,6 @@ def f3(t: Tables) -> DataFrame:
     return missed.orderBy(F.desc("miss"), "l_orderkey", "l_linenumber").limit(25).select("l_orderkey", "l_linenumber", "miss")
 
 
-@query("f4_store_grid", f"""with {NEAR_SQL}, nearest as (select client, chain, npi, tenths from (select *, row_number() over (partition by client, chain order by tenths, npi) as rn from near) where rn = 1), shown as (select *, row_number() over (partition by client order by tenths, npi) as place from nearest)
-    select client, max(case when place = 1 then npi end) as s1, max(case when place = 2 then npi end) as s2, max(case when place = 3 then npi end) as s3, max(case when place = 4 then npi end) as s4 from shown where place <= 4 group by client""")
-def f4(t: Tables) -> DataFrame:
-    """The nearest store of each of the four nearest chains, side by side."""
-    nearest = rows.first_by(near(t), ["client", "chain"], ["tenths", "npi"], ["npi", "tenths"])
-    shown = nearest.withColumn("place", F.row_number().over(Window.partitionBy("client").orderBy("tenths", "npi"))).where("place <= 4")
-    return shown.groupBy("client").pivot("place", [1, 2, 3, 4]).agg(F.max("npi")).toDF("client", "s1", "s2", "s3", "s4")
-
-
 @query("f5_mail_or_store", f"""{YEAR_SQL}, sums as (select client, plan, sum(cost)::bigint as store, sum(case when drug % 4 <> 0 then cost * 9 // 10 end)::bigint as mail, bool_or(drug % 4 = 0) as partial from costs group by client, plan)
     select client, plan, case when mail is null then 'none' when mail - store > 10000 then 'costs more' when store - mail > 10000 then 'saves' else 'same' end as said, partial from sums""")
 def f5(t: Tables) -> DataFrame:

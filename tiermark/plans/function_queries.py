@@ -381,16 +381,6 @@ def h1(t: Tables) -> DataFrame:
     return a.join(b, "zip").select("c_custkey", "s_suppkey", F.floor(miles(F.col("a1"), F.col("o1"), F.col("lat"), F.col("lon")) * 10).cast("long").alias("tenths"))
 
 
-@query("h15_cost_story", """select plan, tier, 'first ' || (1 + plan % 3) || case when plan % 3 = 0 then ' month: ' else ' months: ' end || '$' || (premium // 100) || '; then ' || case when cost_type = 2 then cost_amt || '%' else '$' || (cost_amt // 100) end || case when ded_applies then ', after the deductible' else '' end as story
-    from tier_cost join plans using (plan)""")
-def h15(t: Tables) -> DataFrame:
-    rows = t.tier_cost.join(t.plans.select("plan", "premium"), "plan")
-    n = 1 + F.col("plan") % 3
-    first = F.format_string("first %d month%s: $%d", n, F.when(n == 1, "").otherwise("s"), F.expr("premium div 100"))
-    then = F.when(F.col("cost_type") == 2, F.format_string("%d%%", "cost_amt")).otherwise(F.format_string("$%d", F.expr("cost_amt div 100")))
-    return rows.select("plan", "tier", text.story([first, F.concat(F.lit("then "), then)], F.when(F.col("ded_applies"), "after the deductible")).alias("story"))
-
-
 @query("b21_parallel_lists", """with lists as (select client, string_agg(d.drug_name, ', ' order by r.pos) as names, string_agg(d.strength || case when d.drug % 3 = 0 then ',000 mg' else ' mg' end, ',' order by r.pos) || case when client % 9 = 0 then ',7' else '' end as doses from regimen r join products d on r.drug = d.drug group by client),
     cut as (select client, string_split(names, ',') as n, list_transform(string_split(regexp_replace(doses, '(\\d),(000 )', '\\1;\\2', 'g'), ','), lambda x: replace(x, ';', ',')) as d from lists)
     select client, i::int as pos, trim(n[i]) as name, case when len(n) = len(d) then d[i] end as dose from (select *, unnest(range(1, len(n) + 1)) as i from cut)""")
