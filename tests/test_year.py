@@ -126,3 +126,29 @@ def test_month_texts(spark):
     assert [(r["first_month"], r["last_month"]) for r in year.spans(changes, ["g"], 12).orderBy("first_month").collect()] == [(1, 2), (3, 5), (6, 12)]
     assert year.typical_month(monthly, ["g"]).first()["typical"] == 300
     assert year.group_year(monthly.withColumns({"ded_run": F.lit(0), "deductible": F.lit(5), "cap_run": F.lit(0), "cap_add": F.lit(0)}), ["g"], 1).first()["year"] == 1900
+
+
+# Months that the public plan finder shows for two people's drugs (dollars), and their terms there as
+# (price in cents, percent of the price or None for a copay of nothing), the deductible holding for what has a percent.
+FINDER = [
+    (
+        [736.89, 374.12, 374.12, 374.12, 151.15, 0, 0, 0, 0, 0, 0, 0],
+        [(2540, 25), (1220, 25), (137270, 25), *[(p, None) for p in (196, 260, 1040, 620, 3500, 320, 1220, 710, 1100, 740, 1820, 1100, 3260, 140, 350, 200, 880, 650)]],
+        (8615, 2154),
+    ),
+    (
+        [807.49, 437.87, 437.87, 437.87, 1.28, 0, 0, 0, 0, 0, 0, 0],
+        [(9855, 50), (9135, 25), (137175, 25), *[(p, None) for p in (187, 135, None, 615, 3495, 765, 315, 195, 255, 735, 1815, 1095, 2265, 135, 345, 195, 635, 645)]],
+        (8610, 2152),
+    ),
+]
+
+
+@pytest.mark.parametrize("shown, terms, insulin", FINDER)
+def test_months_of_the_plan_finder(spark, shown, terms, insulin):
+    """A year within 15 dollars of what is shown, and the cap in the same month."""
+    rows = [(0, i, p, 0, 2 if share else 1, share or 0, bool(share), None, 70000, "gross") for i, (p, share) in enumerate(terms)]
+    rows.append((0, len(rows), insulin[0], 0, 0, 0, False, insulin[1], 70000, "gross"))
+    made = year.group_year(year.year_costs(spark.createDataFrame(rows, SCHEMA), ["g"], 2400, 700), ["g"], 2400).first()
+    assert abs(made.year / 10000 - sum(shown)) <= 15
+    assert made.capped == max(m for m, paid in enumerate(shown, 1) if paid > 0)
