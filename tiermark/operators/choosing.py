@@ -92,3 +92,17 @@ def routed(plans: DataFrame, prior: DataFrame, alike: DataFrame) -> DataFrame:
     other = alike.join(lent, "source").groupBy("plan").agg(F.min("source").alias("_other"))
     how = F.when(F.col("_same").isNotNull(), "same").when(F.col("_other").isNotNull(), "alike").otherwise("none")
     return plans.join(same, "plan", "left").join(other, "plan", "left").select("plan", F.coalesce("_same", "_other").alias("source"), how.alias("how"))
+
+
+def carried(rows: DataFrame, plans: DataFrame, prior: DataFrame, alike: DataFrame) -> DataFrame:
+    """Last year's rows (plan and others) as those of this year's plans.
+
+    As in routed, but a plan takes the rows of all last year's plans that it is alike to,
+    and one of last year's plans feeds all this year's plans alike to it; one that is there
+    this year feeds itself alone. Routes are pairs of plans, as small as the plan tables.
+    """
+    same = prior.join(plans, "plan", "left_semi").select(F.col("plan").alias("source"), "plan")
+    lent = prior.join(plans, "plan", "left_anti").select(F.col("plan").alias("source"))
+    fallback = alike.join(plans.join(prior, "plan", "left_anti"), "plan", "left_semi").join(lent, "source").select("source", "plan")
+    routes = same.unionByName(fallback).distinct()
+    return rows.withColumnRenamed("plan", "source").join(routes, "source")

@@ -52,6 +52,16 @@ def c4(t: Tables) -> DataFrame:
     return choosing.routed(now, prior, alike)
 
 
+@query("c4_network", """with prior as (select plan from plans where plan % 3 = 0), now as (select plan from plans where plan % 5 <> 0), routes as (select plan as source, plan from prior join now using (plan) union select q.plan, n.plan from now n join prior q on q.plan in (n.plan - 1, n.plan - 2, n.plan + 1) where q.plan not in (select plan from now) and n.plan not in (select plan from prior)),
+    network as (select distinct plan, drug % 200 as npi from captures) select r.plan, r.source, n.npi from network n join routes r on r.source = n.plan""")
+def c4_network(t: Tables) -> DataFrame:
+    """Last year's network rows by this year's plans: one of last year's plans may feed several."""
+    now, prior = t.plans.where("plan % 5 <> 0").select("plan"), t.plans.where("plan % 3 = 0").select("plan")
+    alike = now.withColumn("source", F.explode(F.array(*[F.col("plan") + d for d in (-1, -2, 1)])))
+    network = t.captures.select("plan", (F.col("drug") % 200).alias("npi")).distinct()
+    return choosing.carried(network, now, prior, alike).select("plan", "source", "npi")
+
+
 ZIPS_SQL = "zips as (select distinct zip::int as zip, county from clients where client % 5 <> 0), places as (select distinct 'city ' || (client % 7) as place, county from clients where client % 2 = 0)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tiermark.functions import clean
 from tiermark.functions.geo import RADIUS as EARTH
-from tiermark.operators import rows, stores
+from tiermark.operators import listed, rows, stores
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 
@@ -107,6 +107,22 @@ def c10(t: Tables) -> DataFrame:
     return near(t).select("client", "npi", "tenths")
 
 
+AREAS_SQL = "areas as (select zip, 43.5 + (k * 77 % 900) * 0.0055 as lat, -97.0 + (k * 191 % 900) * 0.0075 as lon from (select distinct zip, zip::int - 55001 as k from stores))"
+SPREAD_SQL = f"{AREAS_SQL}, shops as (select s.npi, s.zip, case when s.npi % 7 = 0 then null when s.npi % 11 = 0 then 0 else a.lat + (s.npi % 9 - 4) * 0.02 end as lat, a.lon + (s.npi % 5 - 2) * 0.02 as lon from stores s join areas a on a.zip = s.zip)"
+
+
+@query("c10_by_area", f"""with {SPREAD_SQL}, reached as (select c.client, c.lat as clat, c.lon as clon, s.zip, {MILES_SQL} as centre from clients c join areas s on abs(s.lat - c.lat) < 1 and abs(s.lon - c.lon) < 1.5)
+    select client, npi, floor(10 * case when s.lat is null or s.lat = 0 then centre else {MILES_SQL.replace("c.lat", "c.clat").replace("c.lon", "c.clon")} end)::bigint as tenths, s.lat is null or s.lat = 0 as approximate from reached c join shops s on s.zip = c.zip where centre <= 30""")
+def c10_by_area(t: Tables) -> DataFrame:
+    """Stores of the ZIP areas near a client; some have no coordinates of their own."""
+    k = F.col("zip").cast("int") - 55001
+    areas = t.stores.select("zip").distinct().select("zip", (43.5 + (k * 77 % 900) * 0.0055).alias("lat"), (-97.0 + (k * 191 % 900) * 0.0075).alias("lon"))
+    n = F.col("npi")
+    own = t.stores.select("npi", "zip").join(areas, "zip").withColumn("lat", F.when(n % 7 == 0, None).when(n % 11 == 0, 0.0).otherwise(F.col("lat") + (n % 9 - 4) * 0.02)).withColumn("lon", F.col("lon") + (n % 5 - 2) * 0.02)
+    found = stores.nearby_by_area(t.clients.select("client", "lat", "lon"), areas, own)
+    return found.select("client", "npi", F.floor(F.col("distance") * 10).cast("long").alias("tenths"), "approximate")
+
+
 @query("c11_price_key", """with keys as (select distinct plan, 'chain' || (l_orderkey % 6) as key from captures where l_orderkey % 6 <> 5 union select distinct plan, 'npi:' || (l_orderkey % 200) from captures)
     select p.plan, s.npi, coalesce(a.key, b.key) as key from plans p join stores s on (p.plan + s.npi) % 20 = 0 left join keys a on a.plan = p.plan and a.key = s.chain left join keys b on b.plan = p.plan and b.key = 'npi:' || s.npi""")
 def c11(t: Tables) -> DataFrame:
@@ -150,13 +166,28 @@ def c18(t: Tables) -> DataFrame:
     return kept.groupBy("client", "drug").agg(F.when(n == 1, F.min("label")).alias("label"), n.alias("choices"))
 
 
-@query("c19_hand_list", """with lists as (select p_brand as name, p_partkey as id, 1 + p_size % 5 as tier, p_size from part), best as (select name, id, min(tier) as tier from (select name, id, tier from lists union all select name, id, 5 from lists) group by name, id), codes as (select distinct l_partkey as id, l_suppkey as ndc from lineitem where l_suppkey % 5 = 0)
-    select name, best.id, tier, coalesce(ndc::varchar, 'RX' || best.id) as ndc from best left join codes on codes.id = best.id""")
+LIMITS = ("QL", "PA ST", "BEST", "QL;PA", "step", "ST/QL 30")
+
+
+def limits_sql(n: str) -> str:
+    return f"case when ({n}) % 7 < 6 then [{', '.join(repr(x) for x in LIMITS)}][({n}) % 7 + 1] end"
+
+
+@query("c19_hand_list", f"""with listed as (select p_brand as list, p_partkey as id, 1 + p_size % 5 as tier, p_partkey * 2 as pos, {limits_sql("p_partkey")} as limits from part union all select p_brand, p_partkey, 5 - p_size % 3, p_partkey * 2 - 1, {limits_sql("p_partkey + 3")} from part),
+    best as (select *, min(pos) over (partition by list, id) as first, row_number() over (partition by list, id order by tier, pos) as rn from listed), codes as (select distinct l_partkey as id, l_suppkey as ndc from lineitem),
+    coded as (select list, b.id, tier, limits, first, coalesce(ndc::varchar, 'RX' || b.id) as code from best b left join codes c on c.id = b.id where rn = 1)
+    select list, id, code, tier, coalesce(limits like '%QL%', false) as quantity_limit, coalesce(limits like '%PA%', false) as prior_auth, coalesce(regexp_matches(limits, '\\bST\\b'), false) as step_therapy from (select *, row_number() over (partition by list, code order by first, id) as k from coded) where k = 1""")
 def c19(t: Tables) -> DataFrame:
-    listed = t.read("part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("id"), F.explode(F.array(1 + F.col("p_size") % 5, F.lit(5))).alias("tier"))
-    best = listed.groupBy("name", "id").agg(F.min("tier").alias("tier"))
-    codes = t.read("lineitem").where("l_suppkey % 5 = 0").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("code")).distinct()
-    return best.join(codes, "id", "left").select("name", "id", "tier", F.coalesce(F.col("code").cast("string"), F.concat(F.lit("RX"), F.col("id").cast("string"))).alias("ndc"))
+    """Lists by brand, each part on two lines; codes of all suppliers that sell it."""
+    k = F.col("p_partkey")
+
+    def line(tier, pos, n):
+        limits = F.when(n % 7 < 6, F.element_at(F.array(*map(F.lit, LIMITS)), (n % 7 % 6 + 1).cast("int")))
+        return F.struct(tier.cast("int").alias("tier"), pos.alias("pos"), limits.alias("limits"))
+
+    lines = F.array(line(1 + F.col("p_size") % 5, k * 2, k), line(5 - F.col("p_size") % 3, k * 2 - 1, k + 3))
+    listed_ = t.read("part").select(F.col("p_brand").alias("list"), k.alias("id"), F.explode(lines).alias("x")).select("list", "id", "x.*")
+    return listed.hand_lists(listed_, t.read("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("code")))
 
 
 @query("d1_one_row_a_plan", "select plan, min(premium) as premium, arg_min(plan_name, county) as plan_name, count(distinct segment_id) as segments, count(*) as counties from service_area group by plan")
