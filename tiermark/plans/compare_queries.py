@@ -160,24 +160,6 @@ def q6(t: Tables) -> DataFrame:
     return quality.replace_if_rows(kept, t.plans.where("plan_type = 'MA'").select("plan", "premium"))
 
 
-@query("y1_terms", "select client, plan, drug, price, case when tier >= 3 then fee + 25 else fee end as fee, case when flat is not null then 'flat' when price is null then 'unknown' else 'priced' end as kind from terms")
-def y1(t: Tables) -> DataFrame:
-    kind = F.when(F.col("flat").isNotNull(), "flat").when(F.col("price").isNull(), "unknown").otherwise("priced")
-    return t.terms.select("client", "plan", "drug", "price", F.when(F.col("tier") >= 3, F.col("fee") + 25).otherwise(F.col("fee")).alias("fee"), kind.alias("kind"))
-
-
-@query("y3_mail_terms", "select client, plan, drug, price // 3 as price, case when cost_type = 1 then cost_amt // 3 else cost_amt end as cost_amt, (plan + tier) % 4 <> 0 as offered from terms")
-def y3(t: Tables) -> DataFrame:
-    return t.terms.select("client", "plan", "drug", F.expr("price div 3").alias("price"), F.expr("case when cost_type = 1 then cost_amt div 3 else cost_amt end").alias("cost_amt"), ((F.col("plan") + F.col("tier")) % 4 != 0).alias("offered"))
-
-
-@query("y14_predicted_phase", "select c.l_orderkey, c.l_linenumber, case when t.ded_applies then c.retail else least(c.retail, case when t.cost_type = 1 then t.cost_amt else c.retail * t.cost_amt // 100 end) end as deductible_phase, least(c.retail, case when t.cost_type = 1 then t.cost_amt else c.retail * t.cost_amt // 100 end) as initial_phase from captures c join products p on p.drug = c.drug join tier_cost t on t.plan = c.plan and t.tier = p.tier")
-def y14(t: Tables) -> DataFrame:
-    both = t.captures.join(t.products.select("drug", "tier"), "drug").join(t.tier_cost, ["plan", "tier"])
-    share = F.least(F.col("retail"), F.when(F.col("cost_type") == 1, F.col("cost_amt")).otherwise(F.expr("retail * cost_amt div 100")))
-    return both.select("l_orderkey", "l_linenumber", F.when(F.col("ded_applies"), F.col("retail")).otherwise(share).cast("long").alias("deductible_phase"), share.cast("long").alias("initial_phase"))
-
-
 @query("d14_grouped_warnings", f"""with {STATUS_SQL}, n as (select client, count(distinct plan) as n from st group by client), w as (select distinct client, plan, lower(case when plan % 2 = 0 then upper(drug_name) else drug_name end) as name from st join products p on p.drug = st.drug where status = 'not covered')
     select w.client, name, case when count(*) = max(n.n) and max(n.n) > 1 then 'all ' || max(n.n) || ' plans' else string_agg(plan::varchar, ', ' order by plan) end as said from w join n on n.client = w.client group by w.client, name""")
 def d14(t: Tables) -> DataFrame:
@@ -231,9 +213,12 @@ def g3(t: Tables) -> DataFrame:
 INSULIN = "rates as (select plan, tier, case when plan % 6 = 0 then '.' else tier::varchar end as at, case when (plan + tier) % 3 <> 0 then 1000 * tier end as copay_pref, case when (plan + tier) % 4 <> 0 then 1500 * tier end as copay, case when plan % 5 = 0 then 10 * tier end as coins_pref, case when plan % 2 = 0 then 12 * tier end as coins from tier_cost where plan % 6 <> 0 or tier = 1)"
 
 
-@query("y2_insulin_month", f"""with {INSULIN}, asked as (select t.client, t.plan, t.drug, t.tier, t.price, (t.client + t.plan) % 2 = 0 as preferred from terms t where t.flat is not null),
+INSULIN_SQL = f"""with {INSULIN}, asked as (select t.client, t.plan, t.drug, t.tier, t.price, (t.client + t.plan) % 2 = 0 as preferred from terms t where t.flat is not null),
     found as (select a.*, r.at, r.copay_pref, r.copay, r.coins_pref, r.coins, row_number() over (partition by a.client, a.plan, a.drug order by (r.at = '.')::int) as rn from asked a left join rates r on r.plan = a.plan and r.at in (a.tier::varchar, '.'))
-    select client, plan, drug, least(3500, case when preferred then coalesce(copay_pref, copay) else coalesce(copay, copay_pref) end, price * case when preferred then coalesce(coins_pref, coins) else coalesce(coins, coins_pref) end // 100, price)::bigint as month_cost from found where rn = 1""")
+    select client, plan, drug, least(3500, case when preferred then coalesce(copay_pref, copay) else coalesce(copay, copay_pref) end, price * case when preferred then coalesce(coins_pref, coins) else coalesce(coins, coins_pref) end // 100, price)::bigint as month_cost from found where rn = 1"""
+
+
+@query("y2_insulin_month", INSULIN_SQL)
 def y2(t: Tables) -> DataFrame:
     """An insulin's month: the least of the cap, the plan's copay or share by the kind of store, and the price; a tier's own row before the one for all."""
     k, tier = F.col("plan"), F.col("tier")
