@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiermark.functions import clean, said, text
+from tiermark.functions import clean, labels, said, text
 from tiermark.functions.geo import miles
-from tiermark.operators import benefits
+from tiermark.operators import benefits, gates
 from tiermark.plans.proxies import Tables
 from tiermark.plans.registry import query
 
@@ -44,6 +44,22 @@ def b5(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", clean.first_rule(F.col("p_name"), [("^red", "Red family"), ("widget|gear", "Machine")]).alias("label"))
 
 
+#: How official names are written in the proxy, and what is left of them, by a plan's remainder.
+OFFICIAL = [("AARP Medicare Advantage from UHC MN-1 (PPO)", "UHC MN-1 (PPO)", "UHC"), ("HumanaChoice H5216-275 (PPO)", "Choice (PPO)", "Choice (PPO)"), ("Medica", "Medica", "Medica"), ("AARP Rx Saver from UHC (PDP)", "AARP Rx Saver (PDP)", "UHC"), ("Other Plan S1234-001", "Other Plan", "Other Plan"), ("", None, None)]
+
+
+@query("b5_plan_names", f"""with carriers as (select n_nationkey, 'H' || lpad(n_nationkey::varchar, 4, '0') as contract, n_name as carrier from nation where n_nationkey % 3 <> 0), named as (select plan, plan_name, family as nation, plan % 7 as k from plans)
+    select plan, case k {' '.join(f"when {i} then '{b}'" for i, (_, b, _) in enumerate(OFFICIAL) if b)} else plan_name end as shown, case k {' '.join(f"when {i} then '{c}'" for i, (_, _, c) in enumerate(OFFICIAL) if c)} else plan_name end as family, coalesce(carrier, case when plan % 2 = 0 then 'org ' || nation else 'H' || lpad(nation::varchar, 4, '0') end) as carrier from named left join carriers on n_nationkey = nation""")
+def b5_names(t: Tables) -> DataFrame:
+    """Plans' official names as they are shown, their carrier by contract, else the organisation, else the contract."""
+    nation = t.read("nation").select(F.format_string("H%04d", "n_nationkey").alias("contract"), F.col("n_name").alias("known"), "n_nationkey")
+    official = F.get(F.array(*[F.lit(o) for o, _, _ in OFFICIAL], F.lit(None).cast("string")), (F.col("plan") % 7).cast("int"))
+    rows = t.plans.select("plan", "plan_name", official.alias("official"), labels.contract_key(F.format_string(" h%04d ", "family")).alias("contract"), F.when(F.col("plan") % 2 == 0, F.format_string(" org %d", "family")).alias("org"))
+    both = rows.join(nation.where("n_nationkey % 3 <> 0").select("contract", "known"), "contract", "left")
+    shown = labels.plan_name(F.col("official"), F.col("plan_name"))
+    return both.select("plan", shown.alias("shown"), labels.family(shown).alias("family"), F.coalesce("known", F.trim("org"), "contract").alias("carrier"))
+
+
 COST_COLUMNS = "select plan, tier, (plan + tier) % 3 as pt, cost_amt * 1.0 as pa, (plan * tier) % 3 as st, cost_amt + 5.0 as sa from tier_cost"
 
 
@@ -245,13 +261,19 @@ def b16(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", clean.yes(f).alias("restricted"))
 
 
-@query("b17_gates", """select plan, case when (select count(*) from captures) > 0 then premium end as premium, case when (select count(*) from plans where plan_type = 'none') > 0 then deductible end as deductible from plans""")
+@query("b17_gates", """with meta as (select p_name as key, (r_regionkey % 2)::varchar as value from region, (values (1, 'prices_estimated'), (2, 'network_estimated')) v(place, p_name) where r_regionkey = place union all select 'stars_year', '2027' from region where r_regionkey = 0 union all select 'year', ' 2027' from region where r_regionkey = 3),
+    lists as (select plan % 40 as list, min(coalesce(case when plan % 40 % 3 = 0 then 'carrier' when plan % 40 % 3 = 1 then 'cms' end, 'cms')) <> 'carrier' as official from plans where plan % 40 <> 7 group by 1)
+    select plan, case when coalesce((select max(value) from meta where key = 'prices_estimated'), '') <> '1' then premium end as premium, case when coalesce((select max(value) from meta where key = 'network_estimated'), '') <> '1' then family end as family, (case when (select max(value) from meta where key = 'stars_year')::int = (select max(value) from meta where key = 'year')::int then plan % 6 end)::bigint as stars,
+    case when coalesce(official, false) then deductible end as deductible, coalesce(official, false) as list_official from plans p left join lists l on l.list = case when p.plan % 9 > 0 then p.plan % 40 end""")
 def b17(t: Tables) -> DataFrame:
-    """Dollar columns only where their source is official; the gates are one row."""
-    prices = t.captures.agg((F.count(F.lit(1)) > 0).alias("prices"))
-    networks = t.plans.where("plan_type = 'none'").agg((F.count(F.lit(1)) > 0).alias("networks"))
-    gates = prices.crossJoin(networks)  # one row with one row
-    return t.plans.crossJoin(F.broadcast(gates)).select("plan", F.when(F.col("prices"), F.col("premium")).alias("premium"), F.when(F.col("networks"), F.col("deductible")).alias("deductible"))
+    """Columns only where their source is official: prices, networks, stars by their year, and the drug list's own source."""
+    r = F.col("r_regionkey")
+    keys = F.when(r == 1, "prices_estimated").when(r == 2, "network_estimated").when(r == 0, "stars_year").when(r == 3, "year")
+    meta = t.read("region").select(keys.alias("key"), F.when(r.isin(1, 2), (r % 2).cast("string")).when(r == 0, "2027").otherwise(" 2027").alias("value"))
+    n = F.col("plan") % 40
+    lists = t.plans.where(n != 7).select(n.alias("list"), F.when(n % 3 == 0, "carrier").when(n % 3 == 1, "cms").alias("source"))
+    rows = t.plans.select("plan", "premium", "family", "deductible", (F.col("plan") % 6).alias("stars"), F.when(F.col("plan") % 9 > 0, n).alias("list"))
+    return gates.masked(rows, meta, {"premium": "prices", "family": "networks", "stars": "stars", "deductible": "list"}, lists).drop("list")
 
 
 NEGOTIATED = "negotiated as (select name, min(cents)::bigint as price from (select split_part(drug_name, ' ', 1) as name, cents from products where drug % 7 = 0 union all select drug_name, cents from products where drug % 11 = 0) group by name)"
