@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from tiermark.llm.quality import COUNTS, op3, quality
+from pyspark.sql import functions as F
+
+from tiermark.llm.quality import COUNTS, op3, quality, threshold, trusted_ids, weights
 
 
 def plain(text):
@@ -49,3 +51,31 @@ def test_odd_rows(spark, odd, nothing):
     assert sorted((str(r["row"]["doc_id"]), *[r[c] for c in COUNTS], r["base_failed"]) for r in rows) == want
     assert all(r["row"]["kept"] == "clash" for r in rows)
     assert quality(nothing, labels).collect() == []
+
+
+def test_all_trusted_count(spark):
+    """25,000 trusted documents, all there are: each bucket has one share among them and in the corpus, so no weight."""
+    ids = spark.range(25_000)
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    docs = ids.select(F.col("id").alias("_id"), F.concat(F.lit("w"), "id").alias("_text"))
+    assert trusted_ids(labels).count() == 25_000
+    assert not any(weights(docs, trusted_ids(labels)))
+    half = weights(docs, trusted_ids(labels.where("doc_id % 2 = 0")))
+    assert any(half)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert weights(docs, trusted_ids(labels.where("doc_id % 2 = 0"))) == half
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_threshold_is_exact(spark):
+    scores = [(i, (i * 7919) % 30_011 - 15_000) for i in range(30_000)]
+    trusted = {i for i, _ in scores if i % 3}
+    made = spark.createDataFrame([*scores, (1, None), (None, -10**6)], "_id long, _whole long")
+    ids = spark.createDataFrame([(i,) for i in trusted], "_trusted long")
+    values = sorted(s for i, s in scores if i in trusted)
+    for recall in (0.998, 0.5, 1.0):
+        least = threshold(made, ids, recall)
+        assert sum(v >= least for v in values) >= recall * len(values) > sum(v > least for v in values)
+    assert threshold(made.where("_whole is null"), ids) is None

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiermark.llm.common import SPACE, words
+from tiermark.llm.common import SPACE, kept, words
 
 #: Buckets of the n-grams' hashes (a power of two).
 BUCKETS = 1 << 16
-#: Trusted rows of labels that the target multinomial and the threshold are fitted on, at most.
-TRUSTED = 20_000
 #: Share of trusted documents that the threshold keeps.
 RECALL = 0.998
 #: Weights are whole millionths, so that sums do not depend on their order.
 SCALE = 1_000_000
+#: Whole scores of a bin, when the threshold is sought.
+BIN = 4096
 WINDOW = 8
 
 
@@ -37,19 +38,21 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """doc_id of documents of good quality that are not toxic, the first by hash; limit bounds the table."""
-    ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
-    return ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents of good quality that are not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Each bucket's log ratio of its shares among the n-grams of trusted documents and of all, in millionths.
 
     docs: _id, _text. Sums every document's n-grams of one and two words by bucket
-    within each task before the shuffle; what comes back is BUCKETS rows.
+    within each task before the shuffle; what comes back is BUCKETS rows. The ids may be
+    too many to be broadcast: texts are shuffled to them, once, and need no sort. Rows
+    without an id meet none.
     """
-    grams = hashed(docs.join(F.broadcast(trusted), docs["_id"] == trusted["_trusted"], "left"))
+    named = docs.where("_id is not null").join(trusted.hint("shuffle_hash"), F.col("_id") == F.col("_trusted"), "left")
+    grams = hashed(named.unionByName(docs.where("_id is null"), allowMissingColumns=True))
     grams = grams.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(F.concat("_one", "_two")).alias("h"))
     rows = grams.groupBy(_bucket(F.col("h")).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t")).collect()
     found = {r["k"]: (r["n"], r["t"]) for r in rows}
@@ -66,11 +69,27 @@ def _score(one: Column, two: Column, table: list[int]) -> Column:
     return F.when(n > 0, (total(one) + total(two)) / (n * F.lit(float(SCALE))))
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, table: list[int], recall: float = RECALL) -> float:
-    """The score that `recall` of the trusted documents reach; none is below it if there are none."""
-    some = docs.join(F.broadcast(trusted), docs["_id"] == trusted["_trusted"], "left_semi")
-    found = hashed(some).select(_score(F.col("_one"), F.col("_two"), table).alias("s")).agg(F.percentile("s", F.lit(1 - recall))).first()[0]
-    return -math.inf if found is None else float(found)
+def threshold(scores: DataFrame, trusted: DataFrame, recall: float = RECALL) -> int | None:
+    """The largest whole score that `recall` of the trusted documents reach; none if no trusted one has a score.
+
+    scores: _id, _whole. Found exactly, from counts by bins of scores and then by the
+    scores of one bin, as weights bound the scores, and so the bins that come back.
+    """
+    known = scores.where("_whole is not null").join(trusted, F.col("_id") == F.col("_trusted"), "left_semi")
+    n = lambda df, key: sorted(map(tuple, df.groupBy(key.alias("k")).count().collect()))
+    bins = n(known, F.floor(F.col("_whole") / BIN))
+    total = sum(c for _, c in bins)
+    below = total - math.ceil(recall * total)
+    for at, count in bins:
+        if below < count:
+            break
+        below -= count
+    else:
+        return None
+    for whole, count in n(known.where(F.col("_whole").between(at * BIN, at * BIN + BIN - 1)), F.col("_whole")):
+        if below < count:
+            return whole
+        below -= count
 
 
 def _repeats(two: Column) -> Column:
@@ -100,8 +119,8 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _measures(text: Column, table: list[int], least: float) -> Column:
-    """A struct of the counts, base_failed, score and kept."""
+def _measures(text: Column, table: list[int]) -> Column:
+    """A struct of the counts and the score."""
     both = lambda a, b: F.xxhash64(a, b)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))
 
@@ -115,40 +134,38 @@ def _measures(text: Column, table: list[int], least: float) -> Column:
             _score(one, two, table).alias("score"),
         )
 
-    def verdict(x: Column) -> Column:
-        failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
-        kept = ~failed & (F.coalesce(x["score"], F.lit(0.0)) >= F.lit(least))
-        return F.struct(*[x[c].alias(c) for c in COUNTS], failed.alias("base_failed"), x["score"].alias("score"), kept.alias("kept"))
-
-    made = let(words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: let(_pairs(one, 1, both), lambda two: counts(w, one, two))))
-    return let(made, verdict)
+    return let(words(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: let(_pairs(one, 1, both), lambda two: counts(w, one, two))))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each row of docs: row (its columns, as a struct), the counts, base_failed, score and kept.
+def quality(docs: DataFrame, labels: DataFrame, columns: Sequence[str] = ("*",)) -> DataFrame:
+    """For each row of docs: row (its columns, or those named, as a struct), the counts, base_failed, score and kept.
 
-    docs: doc_id, text, and any other columns. labels: doc_id, quality, toxic. Trusted
-    documents, of good quality and not toxic, give the target multinomial over hashed
-    n-grams of one and two words; all documents give the corpus's. A document's score
-    is the mean of its n-grams' log-likelihood ratios. It is kept if it passes the
-    base rules and its score is at least the one that 99.8 % of the trusted reach.
-    A null or empty text has no words and fails the base rules. Without trusted
-    documents, the base rules alone decide. Repeated rows count as often as they are
-    there, and an empty table gives an empty one. One verdict a document, the same in
-    each run. Three reads of docs, none of which shuffles a text.
+    docs: doc_id, text, and any other columns; columns must have doc_id. labels: doc_id,
+    quality, toxic. All trusted documents, of good quality and not toxic, give the target
+    multinomial over hashed n-grams of one and two words; all documents give the corpus's.
+    A document's score is the mean of its n-grams' log-likelihood ratios. It is kept if it
+    passes the base rules and its score is at least the one that 99.8 % of the trusted
+    reach, in whole millionths. A null or empty text has no words and fails the base
+    rules. Without trusted documents, the base rules alone decide. Repeated rows count as
+    often as they are there, and an empty table gives an empty one. One verdict a
+    document, the same in each run. Two reads of docs; the second one's rows are written
+    below the checkpoint folder, so that the trusted ones' scores are found by id.
     """
     plain = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
     trusted = trusted_ids(labels)
     table = weights(plain, trusted)
-    least = threshold(plain, trusted, table)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), _measures(text, table, least).alias("m"))
-    return rows.select("row", *[f"m.{c}" for c in COUNTS], "m.base_failed", "m.score", "m.kept")
+    rows = kept(docs.select(F.struct(*columns).alias("row"), _measures(text, table).alias("m")), "quality").select("row", "m.*")
+    whole = F.floor(F.col("score") * SCALE)
+    least = threshold(rows.select(F.col("row.doc_id").alias("_id"), whole.alias("_whole")), trusted)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    good = F.lit(True) if least is None else F.coalesce(whole, F.lit(0)) >= least
+    return rows.select("row", *COUNTS, failed.alias("base_failed"), "score", (~failed & good).alias("kept"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality(docs.select("doc_id", "text"), labels).select("row.doc_id", *COUNTS, "base_failed", "kept", "score")
+    return quality(docs, labels, ["doc_id"]).select("row.doc_id", *COUNTS, "base_failed", "kept", "score")
