@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
@@ -37,6 +38,32 @@ def test_words_equal_whole_texts(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_stems_are_encoded_once_and_tails_apart(library, monkeypatch):
+    words, asked = Words(PATH), []
+    learn = words._learn_letters
+    monkeypatch.setattr(words, "_learn_letters", lambda some: asked.extend(some) or learn(some))
+    rng = random.Random(3)
+    stems = ["word", "Word", "WORD", "été", "ÉTÉ", "Straße", "µm", "ªº", "a", "don't", "x1", "<|endoftext", "<|ENDOFTEXT", "q" * 63, "q" * 64, "日本", "_a", "", "e\u0301"]
+    tails = ["", ".", ",", "!!", "...", "|>", ")-", "<|", "'", "'s", "=", "\u0338", "."*70]
+    texts = [" ".join(rng.choice(stems) + rng.choice(tails) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    for part in (texts[:5], texts[5:1000], texts[1000:]):
+        for t, ids in zip(part, words.encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(asked) == len(set(asked)) and sorted(asked) == sorted(["word", "été", "straße", "µm", "ªº", "a", "q" * 63, "q" * 64])
+
+
+def test_columns_with_nulls_and_forgotten_words(library, monkeypatch):
+    monkeypatch.setattr(token_files, "KEEP", 3)
+    words = Words(PATH)
+    rows = ["skipped", None, "", "one  two,\n three", "four " * 3, None, "One two"]
+    for _ in range(3):
+        ids, sizes = words.encode_column(pa.array(rows, pa.string()).slice(1), [2])
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in rows[1:]]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    ids, sizes = words.encode_column(pa.array([], pa.string()), [2])
+    assert len(ids) == len(sizes) == 0 and words.encode([]) == []
+
+
 def test_query(spark, documents, library):
     rows = op7(spark, "/root/testdata/sf0.001").collect()
     want = plain(library, sorted((r["doc_id"], r["text"]) for r in documents.collect()))

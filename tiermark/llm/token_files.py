@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from tiermark.llm.common import small_batches, use_checkpoints
 KEEP, LONG = 1_000_000, 64
 #: Words that are encoded in one call, and the character from which on a word is encoded by itself.
 TOGETHER, PLAIN = 128, "\u0250"
+#: What parts from the letters before it at a word's end: neither letters nor digits, and no apostrophe.
+TAIL = ".,;:!?%$#*&|<>()\"-"
 #: Bytes of an ORC stripe, rows between two entries of its row index, and bytes of text for a file, about.
 STRIPE, STRIDE, FILE = 32 << 20, 1000, 128 << 20
 
@@ -29,40 +32,46 @@ class Words:
 
     Only the space and the line feed part words here. The tokenizer drops white space,
     none of its patterns or characters reaches across it, so a text's ids are those
-    of its words in a row.
+    of its words in a row. A batch's words are told apart by Arrow, so that only its
+    different ones are looked up.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        #: The same merges for small Latin-1 letters alone, which its other steps leave as they are.
+        self.letters = Tokenizer(self.model.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab()
         #: Whether a token ends a run of letters.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, many encoded at a time, as a call takes longer than a word.
+    def _learn_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of small Latin-1 letters, many encoded at a time; they end where a token does that ends a run of letters."""
+        found: dict[str, bytes] = {}
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, made in zip(groups, self.letters.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, dtype="<u4")
+            raw, at = ids.tobytes(), 0
+            for w, x in zip(group, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                found[w] = raw[at:x]
+                at = x
+        return found
 
-        Words of letters alone end where a token does that ends a run of letters; tokens
-        of others find their words by their places.
-        """
+    def _learn_others(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of any characters; their tokens find them by their places."""
         found: dict[str, bytes] = {}
         plain = [w for w in words if len(w) <= LONG and (w.isascii() or max(w) < PLAIN)]
-        # a letter beyond Latin-1 may become a letter and a mark when it is made small
-        letters = [w for w in plain if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
-        mixed = list(set(plain).difference(letters))
-        cut = lambda some: [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
         alone = [[w] for w in words if len(w) > LONG or not w.isascii() and max(w) >= PLAIN]
-        groups, n = [*cut(letters), *cut(mixed), *alone], -(-len(letters) // TOGETHER)
-        for k, (group, made) in enumerate(zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True)):
+        groups = [*[plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)], *alone]
+        for group, made in zip(groups, self.model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(made.ids, dtype="<u4")
             if len(group) == 1:
                 upto = [len(ids)]
-            elif k < n:
-                upto = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             else:
                 starts = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
                 upto = np.searchsorted([s for s, _ in made.offsets], [*starts[1:], 1 << 60]).tolist()
@@ -72,20 +81,59 @@ class Words:
                 at = 4 * x
         return found
 
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words, and of the stems that they share.
+
+        Latin-1 letters before a tail have the ids of the same small letters, then come
+        the tail's; all others are encoded as they are.
+        """
+        whole, stems, tails, others = [], [], [], []
+        for w in words:
+            stem = w.rstrip(TAIL)
+            # a letter beyond Latin-1 may become a letter and a mark when it is made small
+            if stem.isalpha() and len(w) <= LONG and (stem.isascii() or max(stem) < "\u0100"):
+                whole.append(w)
+                stems.append(stem.lower())
+                tails.append(w[len(stem) :])
+            else:
+                others.append(w)
+        known = self.known
+        new = set(stems).difference(known)
+        found = self._learn_others(list(set(tails).difference(known).union(others)))
+        found.update(self._learn_letters(list(new)))
+        of = lambda some: [known[x] if x in known else found[x] for x in some]
+        found.update(zip(whole, map(bytes.__add__, of(stems), of(tails)), strict=True))
+        return found
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different words, 4 little-endian bytes each."""
+        found = list(map(self.known.get, words))
+        made = self.learn([w for w, x in zip(words, found, strict=True) if x is None])
+        if len(self.known) + len(made) > KEEP:
+            self.known = {"": b""}
+        self.known.update(made if max(map(len, made), default=0) <= LONG else {w: x for w, x in made.items() if len(w) <= LONG})
+        return [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+
+    def encode_column(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, end after each, and how many each has."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.values.dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids.append(np.array(end, dtype="<u4").tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        last = cut.offsets.to_numpy()[1:]
+        word = np.insert(coded.indices.to_numpy(), last, len(ids) - 1)
+        n = sizes[word]
+        upto = np.cumsum(n)
+        # each word's first id, less the place that it goes to; in a row, ids are one place apart in both
+        from_ = np.repeat((np.cumsum(sizes) - sizes)[word] - (upto - n), n)
+        from_ += np.arange(len(from_))
+        return np.frombuffer(b"".join(ids), "<u4")[from_], np.diff(upto[last + np.arange(len(last))], prepend=0)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 4 little-endian bytes each."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*cut)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > KEEP:
-            self.known, new = {"": b""}, every.difference([""])
-        found = self.learn(list(new))
-        long = {w: found.pop(w) for w in [w for w in found if len(w) > LONG]}
-        known = self.known
-        known.update(found)
-        if long:
-            return [b"".join([long[w] if len(w) > LONG else known[w] for w in ws]) for ws in cut]
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()), [])
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -109,11 +157,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, place, shard = _loaded(tokenizer), 0, TaskContext.get().partitionId()
-        tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [x + tail for x in model.encode([t or "" for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            ids, sizes = model.encode_column(batch.column("text"), [end_id])
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(ids.view("<i4")))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n)), batch.column("doc_id"), pa.array(sizes), values], ["shard", "place", "doc_id", "n_tokens", "ids"])
             place += n
