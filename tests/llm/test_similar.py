@@ -1,10 +1,12 @@
 import random
+import time
 
 import numpy as np
 
 from tests.llm.test_simhash import union
+from tiermark.llm import similar
 from tiermark.llm.simhash import fingerprint
-from tiermark.llm.similar import deduplicated, overlaps, signature, similar_groups
+from tiermark.llm.similar import deduplicated, overlaps, signature, similar_groups, told_apart
 
 
 def shingles(text, width=5):
@@ -95,3 +97,45 @@ def test_overlaps():
     sizes = [np.array([len(x) for x in s]) for s in sets]
     assert overlaps(flat[0], sizes[0], flat[1], sizes[1]).tolist() == [[len({*a} & {*b}) for b in sets[1]] for a in sets[0]]
     assert not overlaps(flat[0], sizes[0], flat[1] + 9000, sizes[1]).any()
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    time.sleep(0.5)  # what executors did is summed up every 0.1 s
+    sc.range(0, 1, 1, 1).count()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_only_texts_in_doubt_are_shuffled(spark, tmp_path):
+    """Of 200 texts two are near copies and one row is repeated: the texts of all others stay in their tasks."""
+    rng = random.Random(8)
+    base = [[f"{rng.getrandbits(60):x}" for _ in range(2000)] for _ in range(200)]
+    rows = list(enumerate(map(" ".join, base))) + [(300, edited(rng, base[7], 20)), (301, edited(rng, base[9], 20)), (11, " ".join(base[11]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, before = spark.read.parquet(str(tmp_path / "docs")), shuffled(spark)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "256k")  # else so small a table is sent to all tasks
+    try:
+        made = deduplicated(docs).collect()
+    finally:
+        spark.conf.set(name, usual)
+    assert sorted(map(tuple, made)) == rows[:200]
+    assert shuffled(spark) - before < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_a_full_filter_loses_and_adds_nothing(spark, odd, monkeypatch):
+    """With so few bits that most are set, names are told apart by the join alone."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(3000)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(i + 5000, " ".join(b)) for i, b in enumerate(base[:2000])] + [(i, " ".join(b)) for i, b in enumerate(base[:500])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "MOST", 10)
+    assert sorted(map(tuple, deduplicated(docs).collect())) == rows[:3000]
+    names = spark.createDataFrame([(k << 40, k) for k in range(-(1 << 22), 1 << 22, 1 << 12)], "_t long, _u long")
+    some, clear = told_apart(names.union(names), names.where("_u % 8192 = 0"))
+    assert some.where("_u % 8192 = 0").count() == 2048 and some.count() + clear.count() == 4096
+    some, clear = told_apart(names, names.where("false"))
+    assert not some.count() and clear.count() == 2048

@@ -32,6 +32,8 @@ TILE, HASHES = 256, 1 << 18
 #: spare the exact comparison of what is far from it: a pair at the similarity is lost with a chance of 0.00003.
 SLACK = 4
 WIDE = 4
+#: Bits of a filter of names for each name, and the power of two that they are at most; past that it lets more through.
+BITS, MOST = 16, 25
 
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +113,21 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_t", F.xxhash64(*parts)).withColumn("_u", F.xxhash64(F.lit(1), *parts))
 
 
+def told_apart(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of rows whose names may be among names, and those whose names surely are not; rows are not shuffled.
+
+    rows and names have _t and _u. Each name sets the bit that its first digits point to,
+    and the bits, 64 in a row, are sent to all tasks. They are bounded in number, so more
+    names let more rows through, but none that is named is ever missed.
+    """
+    size = min(MOST, max(10, (names.count() * BITS - 1).bit_length()))
+    at = F.shiftrightunsigned("_t", 64 - size)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_t, {64 - size}) & 63 as int))")
+    bits = checkpoint(names.groupBy(F.shiftright(at, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    held = (F.shiftright(at, 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)
+    return rows.join(F.broadcast(bits), held, "left_semi"), rows.join(F.broadcast(bits), held, "left_anti")
+
+
 def marked(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, _t, _u, component_id and kept for each row of docs, as in similar_groups; kept: it is its group's first row.
 
@@ -151,7 +168,7 @@ def marked(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-6
     likely = checkpoint(candidates.join(side("a"), "a").join(side("b"), "b").where(alike & (bits <= most_bits(similarity))).select("a", "b"))
     needed = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).union(crowd.select("rep")).distinct()
-    sets = shingle_sets(plain, reps.select("rep", "d0", "lead").join(needed, "rep").select("rep", "d0", "lead._t", "lead._u"), width)
+    sets = shingle_sets(plain, checkpoint(reps.select("rep", "d0", "lead").join(needed, "rep").select("rep", "d0", "lead._t", "lead._u")), width)
     links = verified(likely, sets, similarity).union(crowd_links(crowd, sets, similarity))
     found = components(links)
     of_set = checkpoint(reps.join(found, F.col("rep") == F.col("node"), "left").select(*same, "lead", F.coalesce("component", "rep").alias("component")))
@@ -183,7 +200,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 def shingle_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """rep, d0 and hashes (the sorted hashes of its shingles) of each of reps, whose texts are made of docs again.
 
-    docs: text, _t, _u; reps: rep, d0, _t, _u.
+    docs: text, _t, _u; reps: rep, d0, _t, _u, each name once. Texts that none of reps names are not shuffled.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +209,9 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("d0"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "d0", "hashes"])
 
     small_batches(docs.sparkSession)
-    some = docs.join(reps, ["_t", "_u"]).select("rep", "d0", "text")
     # rows that repeat an id and its text give the same set
-    return checkpoint(some.mapInArrow(of, "rep long, d0 long, hashes array<long>").dropDuplicates(["rep"]))
+    once = told_apart(docs.select("_t", "_u", "text"), reps)[0].dropDuplicates(["_t", "_u"])
+    return checkpoint(once.join(reps, ["_t", "_u"]).select("rep", "d0", "text").mapInArrow(of, "rep long, d0 long, hashes array<long>"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -267,9 +284,12 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     """One row of docs for each group of near-duplicates, that of the smallest doc_id.
 
     Rows are grouped as in similar_groups; of rows that repeat a doc_id and its text, one
-    is kept. Columns are those of docs.
+    is kept. Columns are those of docs. Rows that a filter tells from all that go or are
+    repeated stay where they are; only the others are shuffled, and decided by their names.
     """
-    keep = marked(docs, width, similarity).where("kept").groupBy("_t", "_u").agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed({"_t": "_kt", "_u": "_ku"})
-    rows = _named(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).join(keep, (F.col("_t") == F.col("_kt")) & (F.col("_u") == F.col("_ku")))
-    once, more = rows.where("_n = 1").select("_row"), rows.where("_n > 1").dropDuplicates(["_t", "_u"]).select("_row")
-    return once.union(more).select("_row.*")
+    names = marked(docs, width, similarity).groupBy("_t", "_u").agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    doubtful = checkpoint(names.where("not _kept or _n > 1").select(F.col("_t").alias("_kt"), F.col("_u").alias("_ku"), "_kept"))
+    rows = _named(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).select("_row", "_t", "_u")
+    some, clear = told_apart(rows, doubtful.withColumnsRenamed({"_kt": "_t", "_ku": "_u"}))
+    known = some.dropDuplicates(["_t", "_u"]).join(doubtful, (F.col("_t") == F.col("_kt")) & (F.col("_u") == F.col("_ku")), "left")
+    return clear.select("_row").union(known.where("_kept is null or _kept").select("_row")).select("_row.*")
