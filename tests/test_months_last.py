@@ -6,7 +6,7 @@ from tiermark.operators import year
 from tiermark.plans.all_queries import QUERIES
 from tests.test_year import SCHEMA
 
-NAMES = ["y10_by_channel", "u3_switches", "d9_store_totals", "f2_cheapest_plan", "y5_first_fill", "y6_year_classic", "y7_year_gross", "e9_free_from", "d13_typical_month", "f5_mail_or_store"]
+NAMES = ["h15_cost_story", "f4_store_grid", "y10_by_channel", "u3_switches", "d9_store_totals", "f2_cheapest_plan", "y5_first_fill", "y6_year_classic", "y7_year_gross", "e9_free_from", "d13_typical_month", "f5_mail_or_store"]
 
 
 @pytest.mark.parametrize("name", NAMES)
